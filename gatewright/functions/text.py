@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The markup entities replaced inside the JVM, in this order; the ampersand comes last.
 COMMON_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
@@ -20,7 +21,7 @@ REPORT_FILE = [r"<!--\s*BUGFILE\s*(.*?)\s*-->", r"File:\s*</td>\s*<td[^>]*>(.*?)
 REPORT_LINE = [r"<!--\s*BUGLINE\s*(\d+)\s*-->", r"Line:\s*</td>\s*<td[^>]*>(\d+)</td>", r"Line:\s*(\d+)"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 

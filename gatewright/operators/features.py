@@ -64,21 +64,13 @@ def tfidf_rows(df: DataFrame, key: str, tokens: Column, size: int) -> DataFrame:
     return weighted.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("tfidf"))
 
 
-_TOKEN_SQL = {
-    "code": f"regexp_extract_all(coalesce({{c}}, ''), '[{WORD}]+', 0)",
-    "words": f"regexp_extract_all(lower(coalesce({{c}}, '')), '[{WORD}]{{{{2,}}}}', 0)",
-}
-
-
 def _token_stage(kind: str, column: str, output: str) -> SQLTransformer:
     """A stage that can be saved with the model, unlike a Python function."""
-    def quoted(text: str) -> str:
-        return text.replace("\\", "\\\\")
-
+    word = WORD.replace("\\", "\\\\")  # the statement reads a backslash pair as one
     if kind == "code":
-        expr = quoted(_TOKEN_SQL["code"].format(c=column))
+        expr = f"regexp_extract_all(coalesce({column}, ''), '[{word}]+', 0)"
     else:
-        words = quoted(_TOKEN_SQL["words"].format(c=column))
+        words = f"regexp_extract_all(lower(coalesce({column}, '')), '[{word}]{{2,}}', 0)"
         last = f"greatest(size({words}) - 1, 0)"
         expr = (
             f"concat({words}, zip_with(slice({words}, 1, {last}), slice({words}, 2, {last}), "

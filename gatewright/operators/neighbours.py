@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from gatewright.functions.numbers import round_half_up
 from gatewright.operators.ranking import exact_quantile, running_before
+from gatewright.session import cut_lineage
 
 SLAB = 2000
 CHUNK = 4000
@@ -60,6 +61,8 @@ def _nearest(queries: pd.DataFrame, points: pd.DataFrame, k: int) -> pd.DataFram
 
 def knn(points: DataFrame, k: int, slab: int = SLAB, chunk: int = CHUNK) -> DataFrame:
     """(repo_id, point, neighbour, distance, weight): the k nearest others of each point, copies counted by weight."""
+    if slab <= k:
+        raise ValueError("a slab must hold more points than the neighbours asked for")
     # Mean of the coordinates times sqrt(d): the length of the projection on the diagonal, so distances only shrink.
     size = F.size("x").cast("double")
     position = F.aggregate("x", F.lit(0.0), lambda a, b: a + b) / F.sqrt(size)
@@ -68,11 +71,15 @@ def knn(points: DataFrame, k: int, slab: int = SLAB, chunk: int = CHUNK) -> Data
     placed = placed.withColumn("slabs", slabs).withColumn(
         "slab", F.least(F.floor(F.col("n_before") / slab), F.col("slabs") - 1)
     ).drop("n_before")
+    placed = cut_lineage(placed, "slabs")
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         return _nearest(pdf, pdf, k)
 
     first = placed.groupBy("repo_id", "slab").applyInPandas(inside, _NEAR)
+    if placed.filter("slabs > 1").isEmpty():
+        return first
+    first = cut_lineage(first, "slab-neighbours")
     small = placed.filter("slabs = 1").select("repo_id").distinct()
     large = placed.filter("slabs > 1")
     done = first.join(small, "repo_id", "left_semi")
@@ -99,14 +106,15 @@ def knn(points: DataFrame, k: int, slab: int = SLAB, chunk: int = CHUNK) -> Data
     )
     asked = reach.select("repo_id", "point", "x", "weight", F.explode(cells).alias("cell")).join(crowd, ["repo_id", "cell"])
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    columns = ["repo_id", "cell", "part", "share", "point", "x", "weight"]
     # Queries of a (cell, part) are cut as well, so no task holds an unbounded group.
     load = asked.groupBy("repo_id", "cell", "part").agg((F.floor(F.count(F.lit(1)) / chunk) + 1).alias("shares"))
     asked = asked.join(load, ["repo_id", "cell", "part"]).withColumn(
         "share", F.pmod(F.xxhash64("point", F.lit(2)), F.col("shares"))
-    ).select("repo_id", "cell", "part", "share", "point", "x", "weight")
+    ).select(*columns)
     stored = stored.join(load, ["repo_id", "cell", "part"]).withColumn(
         "share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
-    ).select("repo_id", "cell", "part", "share", "point", "x", "weight")
+    ).select(*columns).toDF(*columns)  # fresh column identities: both sides come from the same table
 
     def across(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if q.empty or p.empty:
@@ -126,7 +134,7 @@ def local_outlier_factor(df: DataFrame, features: list[str], k: int = 10, contam
                          slab: int = SLAB, chunk: int = CHUNK) -> DataFrame:
     """Input rows with ``lof_score`` (negative factor) and ``prediction`` (-1 below the contamination quantile)."""
     points = weighted_points(df, features, point)
-    near = knn(points, k, slab, chunk)
+    near = cut_lineage(knn(points, k, slab, chunk), "neighbours")
     # With fewer than k others, all of them are used.
     kdist = near.groupBy("repo_id", "point").agg(F.max("distance").alias("kdist"), F.sum("weight").alias("k"))
     other = kdist.select("repo_id", F.col("point").alias("neighbour"), F.col("kdist").alias("their_kdist"))

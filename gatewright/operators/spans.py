@@ -12,6 +12,7 @@ from collections import defaultdict
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What may head a function, and what may not.
 CONTROL_HEAD = re.compile(r"\b(if|for|while|switch|catch)\s*\(")
@@ -24,7 +25,9 @@ TYPED_HEAD = re.compile(
 HEAD_LINES = 8
 NO_NAME = "anonymous_function"
 
-SPAN_ARRAY = "array<struct<function_name:string,start_line:int,end_line:int>>"
+SPAN_ARRAY = T.ArrayType(
+    T.StructType().add("function_name", T.StringType()).add("start_line", T.IntegerType()).add("end_line", T.IntegerType())
+)
 
 
 class _Braces:

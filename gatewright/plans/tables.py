@@ -224,7 +224,7 @@ class Tables:
         family = F.element_at(F.array(*[F.lit(f) for f in families]), (F.col("l_linenumber") % 7 + 1).cast("int"))
         part = F.when(F.col("l_partkey") % 3 == 0, "_bad").when(F.col("l_partkey") % 3 == 1, "_goodG2B").otherwise("_12b")
         return li.select(
-            glue("=C/testcases/", family, "=/s01/", family, "=__t_", F.col("l_orderkey"), "=x", part, "=.c").alias("source_file")
+            glue("=C/testcases/", family, "=/s01/", family, "=__t_", F.col("l_orderkey"), "=xy", part, "=.c").alias("source_file")
         ).distinct()
 
     @cached_property

@@ -145,7 +145,7 @@ SELECT DISTINCT repo_id, run_id, file_path, CAST(line AS INTEGER) AS line FROM (
     "touched": (["spans", "lines"], """
 SELECT * FROM spans s WHERE EXISTS (SELECT 1 FROM lines l WHERE l.file_path = s.file_path AND l.line BETWEEN s.start_line AND s.end_line)"""),
     "case_files": ([], f"""
-SELECT DISTINCT 'C/testcases/' || family || '/s01/' || family || '__t_' || l_orderkey || 'x' ||
+SELECT DISTINCT 'C/testcases/' || family || '/s01/' || family || '__t_' || l_orderkey || 'xy' ||
  CASE l_partkey % 3 WHEN 0 THEN '_bad' WHEN 1 THEN '_goodG2B' ELSE '_12b' END || '.c' AS source_file
 FROM (SELECT *, ([{listed(_case_families)}])[l_linenumber % 7 + 1] AS family FROM lineitem)"""),
     "labelled": ([], """

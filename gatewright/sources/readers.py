@@ -191,8 +191,12 @@ def read_plists(spark: SparkSession, path: str) -> DataFrame:
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", "*.plist").option("recursiveFileLookup", True).load(path)
     )
-    named = files.filter("length > 0").select(F.col("_metadata.file_name").alias("report"), "content")
-    return named.mapInPandas(_parse_plists, PLIST_SCHEMA)
+    return parse_plists(files.filter("length > 0").select(F.col("_metadata.file_name").alias("report"), "content"))
+
+
+def parse_plists(files: DataFrame) -> DataFrame:
+    """(report, files, diagnostics) from (report, content)."""
+    return files.mapInPandas(_parse_plists, PLIST_SCHEMA)
 
 
 def plist_index(plists: DataFrame) -> DataFrame:
@@ -217,7 +221,7 @@ def read_sources(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("file_path"), _decode("content").alias("content"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decode(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: b.decode("utf-8", errors="ignore"), na_action="ignore")
 
