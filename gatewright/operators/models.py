@@ -20,6 +20,7 @@ from pyspark.ml.feature import (
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType
 
 from gatewright import params as P
 from gatewright.functions import alerts as A
@@ -142,7 +143,7 @@ def train_and_select(
 
 
 def _nullable_schema(table: DataFrame):
-    schema = table.schema.add("selection_rank", "int").add("selected", "boolean")
+    schema = table.schema.add("selection_rank", IntegerType()).add("selected", BooleanType())
     for field in schema.fields:
         field.nullable = True
     return schema

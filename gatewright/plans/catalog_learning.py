@@ -247,7 +247,7 @@ l AS (SELECT n.repo_id, n.point, 1 / (sum(greatest(n.dist, k.kd) * n.w) / sum(n.
 f AS (SELECT n.repo_id, n.point, sum(l.lrd * n.w) / sum(n.w) AS m FROM n JOIN l ON n.repo_id = l.repo_id AND n.nb = l.point GROUP BY ALL),
 s AS (SELECT f.repo_id, f.point, {r('-f.m / l.lrd', 6)} AS lof_score FROM f JOIN l USING (repo_id, point)),
 z AS (SELECT rows.repo_id, rows.run_id, s.lof_score FROM rows JOIN pt USING (repo_id, {cols}) JOIN s USING (repo_id, point))
-SELECT repo_id, run_id, lof_score, CASE WHEN lof_score < quantile_cont(lof_score, 0.1) OVER (PARTITION BY repo_id) THEN -1 ELSE 1 END AS prediction FROM z"""
+SELECT repo_id, run_id, {r('ln(-lof_score)', 6)} AS log_factor, CASE WHEN lof_score < quantile_cont(lof_score, 0.1) OVER (PARTITION BY repo_id) THEN -1 ELSE 1 END AS prediction FROM z"""
 
 
 _lof = ["total_alerts", "high_alerts", "medium_alerts"]
@@ -256,7 +256,8 @@ _lof = ["total_alerts", "high_alerts", "medium_alerts"]
 @query("ml12_local_outlier_factor", ["history"], _lof_sql(_lof, f"SELECT repo_id, run_id, {', '.join(_lof)} FROM history"))
 def _(t: Tables):
     scored = local_outlier_factor(t.history.select("repo_id", "run_id", *_lof), _lof)
-    return scored.select("repo_id", "run_id", "lof_score", "prediction")
+    # Copies of one point are infinitely dense, so factors span many magnitudes: compare their logarithms.
+    return scored.select("repo_id", "run_id", round_half_up(F.log(-F.col("lof_score")), 6).alias("log_factor"), "prediction")
 
 
 @query("ml12_lof_in_sample")
