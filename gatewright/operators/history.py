@@ -33,7 +33,8 @@ def prior_baseline(history: DataFrame, features: list[str] | None = None, time:
     columns = []
     for f in features:
         mean = F.try_divide(F.col(f"{f}_s_before"), n)
-        spread = F.sqrt(F.greatest(F.try_divide(F.col(f"{f}_q_before"), n) - mean * mean, F.lit(0.0)))
+        variance = F.try_divide(F.col(f"{f}_q_before"), n) - mean * mean
+        spread = F.when(n > 0, F.sqrt(F.greatest(variance, F.lit(0.0))))
         columns += [round_half_up(mean, 6).alias(f"{f}_prior_mean"), round_half_up(spread, 6).alias(f"{f}_prior_std")]
     return placed.select(*history.columns, n.alias("prior_runs"), *columns)
 

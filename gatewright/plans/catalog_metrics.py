@@ -331,7 +331,7 @@ _prior = ["total_alerts", "alerts_per_file"]
 
 @query("win08_prior_baseline", ["history"], """
 SELECT repo_id, run_id, n AS prior_runs, """ + ", ".join(
-    f"{r(f'm_{f}', 6)} AS {f}_prior_mean, {r(f'sqrt(greatest(q_{f} - m_{f} * m_{f}, 0))', 6)} AS {f}_prior_std" for f in _prior) + """ FROM (
+    f"{r(f'm_{f}', 6)} AS {f}_prior_mean, {r(f'CASE WHEN n > 0 THEN sqrt(greatest(q_{f} - m_{f} * m_{f}, 0)) END', 6)} AS {f}_prior_std" for f in _prior) + """ FROM (
 SELECT repo_id, run_id, count(*) OVER o AS n, """ + ", ".join(
     f"avg(CAST({f} AS DOUBLE)) OVER o AS m_{f}, avg(CAST({f} AS DOUBLE) * CAST({f} AS DOUBLE)) OVER o AS q_{f}" for f in _prior) + """ FROM history
 WINDOW o AS (PARTITION BY repo_id ORDER BY ts, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""")

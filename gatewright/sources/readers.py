@@ -132,10 +132,9 @@ def html_alerts(pages: DataFrame, content: str, name: str, all_entities: bool =
 def read_html_reports(spark: SparkSession, path: str) -> DataFrame:
     """All ``report-*.html`` files below a folder."""
     files = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "report-*.html")
+        spark.read.option("pathGlobFilter", "report-*.html")
         .option("recursiveFileLookup", True)
-        .text(path)
+        .text(path, wholetext=True)
         .select("value", F.col("_metadata.file_path").alias("report_file"))
     )
     return html_alerts(files, "value", "report_file", all_entities=True)
@@ -230,7 +229,7 @@ def read_scan_status(spark: SparkSession, path: str) -> DataFrame:
     """One row with the trimmed scan-status marker; empty where the file is missing."""
     if not path_exists(spark, path):
         return spark.createDataFrame([("",)], "scan_status string")
-    return spark.read.option("wholetext", True).text(path).select(F.trim("value").alias("scan_status"))
+    return spark.read.text(path, wholetext=True).select(F.trim("value").alias("scan_status"))
 
 
 def missing_columns(df: DataFrame, columns: list[str]) -> list[str]:
