@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatewright.operators.spans import function_span_array, source_lines
+from gatewright.operators.spans import code_of, function_span_array, source_lines
 
 # Fixed value: the header of a unified-diff hunk.
 HUNK = r"@@ -[0-9]+(?:,[0-9]+)? \+([0-9]+)(?:,([0-9]+))? @@"
@@ -83,7 +83,8 @@ def changed_functions(sources: DataFrame, diffs: DataFrame, keys: list[str] | No
     changed = diffs.select(*keys).distinct()
     files = sources.join(changed, keys, "left_semi").join(hunks, keys, "left")
     none = F.array().cast("array<struct<start_line:int,end_line:int>>")
-    spans = files.withColumn("hunks", F.coalesce("hunks", none)).withColumn("__spans", function_span_array("content"))
+    files = files.withColumns({"hunks": F.coalesce("hunks", none), "__lines": source_lines(F.col("content"))})
+    spans = files.withColumn("__spans", function_span_array("content"))
     touched = F.filter(
         "__spans",
         lambda s: F.exists("hunks", lambda h: (h.start_line <= s.end_line) & (s.start_line <= h.end_line)),
@@ -92,23 +93,19 @@ def changed_functions(sources: DataFrame, diffs: DataFrame, keys: list[str] | No
         F.struct(
             F.lit(FALLBACK_NAME).alias("function_name"),
             F.lit(1).alias("start_line"),
-            F.size(source_lines(F.col("content"))).alias("end_line"),
+            F.size("__lines").alias("end_line"),
         )
     )
-    rows = spans.withColumn("__touched", touched).withColumn(
-        "__f", F.explode(F.when(F.size("__touched") > 0, F.col("__touched")).otherwise(whole))
+    picked = spans.withColumn("__touched", touched).select(
+        *keys, "content", "__lines", F.explode(F.when(F.size("__touched") > 0, F.col("__touched")).otherwise(whole)).alias("f")
     )
-    fallback = F.col("__f.function_name") == FALLBACK_NAME
-    part = F.array_join(
-        F.slice(source_lines(F.col("content")), F.col("__f.start_line"), F.greatest(F.col("__f.end_line") - F.col("__f.start_line") + 1, F.lit(0))),
-        "\n",
-    )
-    return rows.select(
+    fallback = F.col("f.function_name") == FALLBACK_NAME
+    return picked.select(
         *keys,
-        "__f.function_name",
-        "__f.start_line",
-        "__f.end_line",
-        F.when(fallback, F.col("content")).otherwise(part).alias("function_code"),
+        "f.function_name",
+        "f.start_line",
+        "f.end_line",
+        F.when(fallback, F.col("content")).otherwise(code_of("__lines", F.col("f"))).alias("function_code"),
         fallback.alias("fallback_used"),
     )
 

@@ -154,13 +154,15 @@ def source_lines(content: Column) -> Column:
 
 
 def function_spans(sources: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per function with its code."""
-    spans = sources.withColumn("__s", F.explode(function_span_array("content")))
-    code = F.array_join(
-        F.slice(source_lines(F.col("content")), F.col("__s.start_line"), F.col("__s.end_line") - F.col("__s.start_line") + 1),
-        "\n",
-    )
-    return spans.select(*keys, "__s.function_name", "__s.start_line", "__s.end_line", code.alias("function_code"))
+    """One row per function with its code. The text is split into lines once per file, not once per function."""
+    files = sources.select(*keys, source_lines(F.col("content")).alias("__lines"), function_span_array("content").alias("__spans"))
+    spans = files.select(*keys, "__lines", F.explode("__spans").alias("s"))
+    return spans.select(*keys, "s.function_name", "s.start_line", "s.end_line", code_of("__lines", F.col("s")).alias("function_code"))
+
+
+def code_of(lines: str, span: Column) -> Column:
+    """Text of a span from the lines of its file."""
+    return F.array_join(F.slice(lines, span.start_line, F.greatest(span.end_line - span.start_line + 1, F.lit(0))), "\n")
 
 
 def typed_function_spans(sources: DataFrame, keys: list[str]) -> DataFrame:

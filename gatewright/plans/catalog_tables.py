@@ -175,8 +175,7 @@ def _(t: Tables):
     K.write_report(wanted, path)
     empty = scratch_dir(t.spark, "empty")
     K.write_report(wanted.filter("line < 0"), empty)
-    schema = "run_id string, priority string, file string, line long, message string, repo_id string"
-    return t.spark.read.schema(schema).parquet(path).unionByName(t.spark.read.parquet(empty))
+    return t.spark.read.schema(wanted.schema).parquet(path).unionByName(t.spark.read.parquet(empty))
 
 
 @query("snk02_append_once", ["metrics"], "SELECT repo_id, run_id, total_alerts FROM metrics")

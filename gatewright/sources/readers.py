@@ -229,7 +229,9 @@ def read_scan_status(spark: SparkSession, path: str) -> DataFrame:
     """One row with the trimmed scan-status marker; empty where the file is missing."""
     if not path_exists(spark, path):
         return spark.createDataFrame([("",)], "scan_status string")
-    return spark.read.text(path, wholetext=True).select(F.trim("value").alias("scan_status"))
+    return spark.read.text(path, wholetext=True).select(
+        F.regexp_replace("value", r"^\s+|\s+$", "").alias("scan_status")
+    )
 
 
 def missing_columns(df: DataFrame, columns: list[str]) -> list[str]:

@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from gatewright.sources.readers import path_exists
 
 
-def write_report(df: DataFrame, path: str, csv: bool = False) -> None:
-    """Parquet partitioned by repository (if present) or CSV with header; an empty result still leaves its schema."""
+def write_report(df: DataFrame, path: str, csv: bool = False, partition_by: list[str] | None = None) -> None:
+    """Parquet, or CSV with header; an empty result still leaves its schema.
+
+    Rows of a repository are brought together and sorted, so a reader of one repository skips all other row groups.
+    The rebalance hint lets AQE split a repository that outgrows one file and merge small ones. A folder per repository
+    (``partition_by``) is for few, large repositories only.
+    """
     if csv:
         flat = [
             F.array_join(F.col(f"`{f.name}`").cast("array<string>"), "|").alias(f.name)
@@ -19,10 +24,11 @@ def write_report(df: DataFrame, path: str, csv: bool = False) -> None:
         ]
         df.select(*flat).write.mode("overwrite").csv(path, header=True, escape='"')
         return
+    keys = [c for c in (partition_by or ["repo_id"]) if c in df.columns]
+    if keys:
+        df = df.hint("rebalance", *keys).sortWithinPartitions(*keys)
     writer = df.write.mode("overwrite")
-    if "repo_id" in df.columns and len(df.columns) > 1 and not df.isEmpty():
-        writer = writer.partitionBy("repo_id")
-    writer.parquet(path)
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
 def new_runs(history: DataFrame, rows: DataFrame, keys: tuple[str, ...] = ("repo_id", "run_id")) -> DataFrame:
