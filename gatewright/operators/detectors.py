@@ -15,6 +15,7 @@ from gatewright import params as P
 from gatewright.functions.numbers import hash_unit, round_half_even_int, round_half_up
 from gatewright.operators.features import scaling_stats, scaled
 from gatewright.operators.ranking import exact_quantile
+from gatewright.session import spread
 
 TREES = 100
 SAMPLE = 256
@@ -168,7 +169,7 @@ def fit_forest(train: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed:
         grown = grow_forest(x, tree, trees, limit, _repo_rng(repo, seed))
         return pd.DataFrame([{"repo_id": repo, **grown, "trees": trees, "sample_size": size}])
 
-    return rows.groupBy("repo_id").applyInPandas(build, FOREST_SCHEMA)
+    return spread(rows, "repo_id").groupBy("repo_id").applyInPandas(build, FOREST_SCHEMA)
 
 
 def _forest_scores(x: np.ndarray, forest: pd.Series) -> np.ndarray:
@@ -201,7 +202,7 @@ def forest_score(rows: DataFrame, forest: DataFrame) -> DataFrame:
     never broadcast, since there are as many as repositories.
     """
     shares = rows.groupBy("repo_id").agg((F.floor(F.count(F.lit(1)) / ROWS_PER_TASK) + 1).alias("shares"))
-    spread = rows.join(shares, "repo_id").withColumn(
+    shared = rows.join(shares, "repo_id").withColumn(
         "share", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "repo_id"]), F.col("shares"))
     ).drop("shares")
     copies = forest.join(shares, "repo_id").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
@@ -215,7 +216,7 @@ def forest_score(rows: DataFrame, forest: DataFrame) -> DataFrame:
         return left[names]
 
     keys = ["repo_id", "share"]
-    return spread.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(score, schema)
+    return spread(shared, *keys).groupBy(*keys).cogroup(spread(copies, *keys).groupBy(*keys)).applyInPandas(score, schema)
 
 
 # ---- RBF one-class score -----------------------------------------------------------------------------------------
@@ -252,9 +253,9 @@ def fit_rbf(train: DataFrame, width: int, seed: int = P.SEED) -> DataFrame:
 
     square = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
     plain = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
-    spread = train.groupBy("repo_id").agg(F.avg(square).alias("q"), F.avg(plain).alias("s"))
+    moments = train.groupBy("repo_id").agg(F.avg(square).alias("q"), F.avg(plain).alias("s"))
     variance = F.col("q") / width - (F.col("s") / width) * (F.col("s") / width)
-    gammas = spread.select(
+    gammas = moments.select(
         "repo_id", F.when(variance > 1e-9, F.lit(1.0) / (F.lit(float(width)) * variance)).otherwise(F.lit(1.0)).alias("gamma")
     )
     z = F.transform("x", lambda v: v * F.sqrt(2 * F.col("gamma")))

@@ -33,15 +33,18 @@ def message_tokens(c: Column) -> Column:
     return F.concat(words, pairs)
 
 
-def term_counts(df: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """(key, term, tf). A text's tokens are counted in the map task before the shuffle."""
-    return df.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+def vocabulary(df: DataFrame, tokens: Column, size: int) -> DataFrame:
+    """(term, total, df): the ``size`` most frequent terms, ties in alphabetical order.
 
-
-def vocabulary(counts: DataFrame, size: int) -> DataFrame:
-    """(term, df, idx): the ``size`` most frequent terms, ties in alphabetical order, numbered alphabetically."""
-    totals = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-    return totals.orderBy(F.desc("total"), F.asc("term")).limit(size).select("term", "total", "df")
+    Each text sends its tokens and, marked, its distinct tokens; both counts are combined in the map tasks, so the shuffle
+    holds terms, not tokens, and nothing is grouped by text.
+    """
+    listed = df.select(tokens.alias("t"))
+    every = F.transform("t", lambda x: F.struct(x.alias("term"), F.lit(0).alias("once")))
+    once = F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(1).alias("once")))
+    marked = listed.select(F.inline(F.concat(every, once)))
+    totals = marked.groupBy("term").agg(F.count_if(F.col("once") == 0).alias("total"), F.count_if(F.col("once") == 1).alias("df"))
+    return totals.orderBy(F.desc("total"), F.asc("term")).limit(size)
 
 
 def inverse_frequency(n: Column, df: Column) -> Column:
@@ -52,16 +55,16 @@ def inverse_frequency(n: Column, df: Column) -> Column:
 def tfidf_rows(df: DataFrame, key: str, tokens: Column, size: int) -> DataFrame:
     """(key, term, tfidf) with unit length per text: the relational form, used for checks and reports.
 
-    The vocabulary has at most ``size`` rows, so it is broadcast; the norm is a partial aggregate per text.
+    The vocabulary has at most ``size`` rows, so it is broadcast. One shuffle by text serves both the counts per term and
+    the norm; a text's list of weights has at most ``size`` entries.
     """
-    counts = term_counts(df, key, tokens)
     n = df.agg(F.count(F.lit(1)).alias("n_docs"))
-    terms = F.broadcast(vocabulary(counts, size).join(F.broadcast(n)))  # at most ``size`` rows; ``n`` is one row
-    weighted = counts.join(terms, "term").select(
-        key, "term", (F.col("tf") * inverse_frequency(F.col("n_docs"), F.col("df"))).alias("w")
-    )
-    norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("tfidf"))
+    idf = inverse_frequency(F.col("n_docs"), F.col("df")).alias("idf")
+    terms = F.broadcast(vocabulary(df, tokens, size).join(F.broadcast(n)).select("term", idf))  # ``n`` is one row
+    words = df.select(key, F.explode(tokens).alias("term")).join(terms, "term").repartition(key)
+    counts = words.groupBy(key, "term").agg((F.count(F.lit(1)) * F.first("idf")).alias("w"))
+    lists = counts.groupBy(key).agg(F.collect_list(F.struct("term", "w")).alias("l"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return lists.select(key, "norm", F.inline("l")).select(key, "term", (F.col("w") / F.col("norm")).alias("tfidf"))
 
 
 def _token_stage(kind: str, column: str, output: str) -> SQLTransformer:
@@ -82,10 +85,8 @@ def _token_stage(kind: str, column: str, output: str) -> SQLTransformer:
 def fit_tfidf(train: DataFrame, column: str, kind: str, size: int, output: str) -> list[Transformer]:
     """Fitted TF-IDF stages for a text column. Only the vocabulary (at most ``size`` terms) comes to the driver."""
     tokens = code_tokens(F.col(column)) if kind == "code" else message_tokens(F.col(column))
-    keyed = train.select(F.monotonically_increasing_id().alias("__k"), column)
     n = train.count()
-    counts = term_counts(keyed, "__k", tokens)
-    rows = vocabulary(counts, size).withColumn("idf", inverse_frequency(F.lit(n), F.col("df"))).orderBy("term").collect()
+    rows = vocabulary(train.select(column), tokens, size).withColumn("idf", inverse_frequency(F.lit(n), F.col("df"))).orderBy("term").collect()
     terms, weights = ([r["term"] for r in rows], [r["idf"] for r in rows]) if rows else (["__none__"], [1.0])
     t, c, w = f"__{output}_tokens", f"__{output}_counts", f"__{output}_weighted"
     return [

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from gatewright.functions.numbers import round_half_up
 from gatewright.operators.ranking import exact_quantile, running_before
-from gatewright.session import cut_lineage
+from gatewright.session import cut_lineage, spread
 
 SLAB = 2000
 CHUNK = 4000
@@ -76,7 +76,7 @@ def knn(points: DataFrame, k: int, slab: int = SLAB, chunk: int = CHUNK) -> Data
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         return _nearest(pdf, pdf, k)
 
-    first = placed.groupBy("repo_id", "slab").applyInPandas(inside, _NEAR)
+    first = spread(placed, "repo_id", "slab").groupBy("repo_id", "slab").applyInPandas(inside, _NEAR)
     if placed.filter("slabs > 1").isEmpty():
         return first
     first = cut_lineage(first, "slab-neighbours")
@@ -122,7 +122,7 @@ def knn(points: DataFrame, k: int, slab: int = SLAB, chunk: int = CHUNK) -> Data
         return _nearest(q, p, k)
 
     keys = ["repo_id", "cell", "part", "share"]
-    found = asked.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInPandas(across, _NEAR)
+    found = spread(asked, *keys).groupBy(*keys).cogroup(spread(stored, *keys).groupBy(*keys)).applyInPandas(across, _NEAR)
     # A neighbour's weight in one chunk may be cut at k, never below what the merged list can use.
     order = Window.partitionBy("repo_id", "point").orderBy("distance", "neighbour")
     before = F.coalesce(F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -9,7 +9,7 @@ import re
 from bisect import bisect_left
 from collections import defaultdict
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,18 +132,20 @@ def typed_spans(text: str) -> list[tuple[str, int, int]]:
     return spans
 
 
-def _span_rows(texts: pd.Series, find) -> pd.Series:
+def _span_rows(texts: pa.Array, find) -> pa.Array:
     keys = ("function_name", "start_line", "end_line")
-    return texts.map(lambda t: [dict(zip(keys, s)) for s in find(t or "")])
+    rows = [[dict(zip(keys, s)) for s in find(t or "")] for t in texts.to_pylist()]
+    item = pa.struct([("function_name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32())])
+    return pa.array(rows, type=pa.list_(item))
 
 
-@F.pandas_udf(SPAN_ARRAY)
-def function_span_array(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(SPAN_ARRAY)
+def function_span_array(texts: pa.Array) -> pa.Array:
     return _span_rows(texts, heuristic_spans)
 
 
-@F.pandas_udf(SPAN_ARRAY)
-def typed_span_array(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(SPAN_ARRAY)
+def typed_span_array(texts: pa.Array) -> pa.Array:
     return _span_rows(texts, typed_spans)
 
 

@@ -21,7 +21,7 @@ from gatewright.plans.catalog_tables import training_rows
 from gatewright.plans.registry import query
 from gatewright.plans.tables import Tables, glue
 from gatewright.plans.views import r, unit
-from gatewright.session import cut_lineage, scratch_dir
+from gatewright.session import cut_lineage, scratch_dir, widen
 from gatewright.streaming import history as ST
 
 
@@ -36,7 +36,7 @@ SELECT {key}, term, {r(f'w / sqrt(sum(w * w) OVER (PARTITION BY {key}))', 6)} AS
 
 @query("ml01_code_tfidf", [], _tfidf("SELECT doc_id, text FROM documents", "doc_id", r"regexp_extract_all(text, '[\p{L}\p{N}_]+')", X.CODE_TERMS))
 def _(t: Tables):
-    rows = X.tfidf_rows(t.read("documents").select("doc_id", "text"), "doc_id", X.code_tokens(F.col("text")), X.CODE_TERMS)
+    rows = X.tfidf_rows(widen(t.read("documents").select("doc_id", "text")), "doc_id", X.code_tokens(F.col("text")), X.CODE_TERMS)
     return rows.withColumn("tfidf", round_half_up(F.col("tfidf"), 6))
 
 
@@ -57,7 +57,7 @@ _words = r"regexp_extract_all(lower(message), '[\p{L}\p{N}_]{2,}')"
     'SELECT ord, "warningMessage" AS message FROM messages', "ord",
     f"list_concat({_words}, [a || ' ' || ({_words})[i + 1] FOR a, i IN {_words} IF i < len({_words})])", 3000))
 def _(t: Tables):
-    rows = t.messages.select("ord", F.col("warningMessage").alias("message"))
+    rows = widen(t.messages.select("ord", F.col("warningMessage").alias("message")))
     weights = X.tfidf_rows(rows, "ord", X.message_tokens(F.col("message")), X.MESSAGE_TERMS)
     return weights.withColumn("tfidf", round_half_up(F.col("tfidf"), 6))
 

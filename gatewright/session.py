@@ -48,3 +48,21 @@ def cut_lineage(df, label: str = "stage"):
     path = scratch_dir(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df, *keys: str):
+    """Hash partitions for a grouped Python step.
+
+    AQE sizes shuffle partitions by bytes and would merge a few megabytes into one task, although each group may cost
+    seconds of Python. A numbered repartition keeps its width and is the exchange the grouping needs anyway.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def widen(scan):
+    """Spread a scan that yields fewer tasks than there are cores (one unsplittable file) before heavy text work.
+
+    Only for plain scans and projections: counting their tasks runs nothing. A large table is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan._jdf.rdd().getNumPartitions() >= cores else scan.repartition(cores)
