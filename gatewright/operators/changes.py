@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatewright.operators.spans import code_of, function_span_array, source_lines
@@ -14,17 +14,20 @@ FILE_KEYS = ["repo_id", "run_id", "file_path"]
 LINE_BIN = 256
 
 
-def changed_hunks(diffs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def hunk_array(diff_text: Column) -> Column:
     """Changed line ranges (start_line, end_line) of the new file; ranges of zero lines are no change."""
-    lines = diffs.select(*(keys or FILE_KEYS), F.explode(F.split("diff_text", r"\r\n|\r|\n")).alias("l"))
-    heads = lines.filter(F.col("l").startswith("@@") & F.col("l").rlike(HUNK))
-    start = F.regexp_extract("l", HUNK, 1).cast("int")
-    count = F.coalesce(F.nullif(F.regexp_extract("l", HUNK, 2), F.lit("")).cast("int"), F.lit(1))
-    return (
-        heads.select(*(keys or FILE_KEYS), start.alias("start_line"), count.alias("n"))
-        .filter("n > 0")
-        .select(*(keys or FILE_KEYS), "start_line", (F.col("start_line") + F.col("n") - 1).alias("end_line"))
-    )
+    heads = F.filter(F.split(diff_text, r"\r\n|\r|\n"), lambda x: x.startswith("@@") & x.rlike(HUNK))
+
+    def bounds(head: Column) -> Column:
+        start = F.regexp_extract(head, HUNK, 1).try_cast("int")
+        count = F.coalesce(F.nullif(F.regexp_extract(head, HUNK, 2), F.lit("")).try_cast("int"), F.lit(1))
+        return F.struct(start.alias("start_line"), (start + count - 1).alias("end_line"))
+
+    return F.filter(F.transform(heads, bounds), lambda h: h.end_line >= h.start_line)
+
+
+def changed_hunks(diffs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    return diffs.select(*(keys or FILE_KEYS), F.inline(hunk_array(F.col("diff_text"))))
 
 
 def changed_lines(diffs: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -77,13 +80,8 @@ def changed_functions(sources: DataFrame, diffs: DataFrame, keys: list[str] | No
     join: the only shuffle is the equality join of sources and diffs on the file key.
     """
     keys = keys or FILE_KEYS
-    hunks = changed_hunks(diffs, keys).groupBy(*keys).agg(
-        F.collect_list(F.struct("start_line", "end_line")).alias("hunks")
-    )
-    changed = diffs.select(*keys).distinct()
-    files = sources.join(changed, keys, "left_semi").join(hunks, keys, "left")
-    none = F.array().cast("array<struct<start_line:int,end_line:int>>")
-    files = files.withColumns({"hunks": F.coalesce("hunks", none), "__lines": source_lines(F.col("content"))})
+    hunks = diffs.groupBy(*keys).agg(F.flatten(F.collect_list(hunk_array(F.col("diff_text")))).alias("hunks"))
+    files = sources.join(hunks, keys).withColumn("__lines", source_lines(F.col("content")))
     spans = files.withColumn("__spans", function_span_array("content"))
     touched = F.filter(
         "__spans",

@@ -15,6 +15,7 @@ from gatewright.functions import alerts as A
 from gatewright.functions.numbers import md5_text
 from gatewright.operators import runs as R
 from gatewright.operators.quality import scoring_block
+from gatewright.session import widen
 
 SEVERITY_OF_EVENT = {"error": "error", "purchase": "warning", "signup": "style", "click": "information"}
 FAMILY_OF_PRIORITY = {
@@ -121,7 +122,7 @@ class Tables:
     @cached_property
     def console(self) -> DataFrame:
         """Console lines: alerts, notes and other lines."""
-        o, k = self.read("orders"), F.col("o_orderkey")
+        o, k = widen(self.read("orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")), F.col("o_orderkey")
         family = A.lookup(F.col("o_orderpriority"), FAMILY_OF_PRIORITY)
         path = glue(
             "=/work/testcases/", family, "=/s0", k % 9, "=/", family, "=__case_", F.col("o_custkey") % 40,
@@ -180,7 +181,7 @@ class Tables:
     @cached_property
     def source_parts(self) -> DataFrame:
         """Each line item as a piece of C++ text: a function, a method, a declaration or a struct."""
-        li = self.read("lineitem")
+        li = widen(self.read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
         n = glue("l_linenumber", "=_", "l_partkey", "=_", "l_suppkey")
         kind = F.col("l_quantity").cast("int") % 4
         piece = (
@@ -241,7 +242,8 @@ class Tables:
     @cached_property
     def messages(self) -> DataFrame:
         """Part-flavoured warnings, one per line item: raw records as a warning file would hold them."""
-        li = self.read("lineitem")
+        used = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]
+        li = widen(self.read("lineitem").select(*used))
         words = F.array(*[F.lit(w) for w in WORDS_OF_PART])
         word = F.element_at(words, (F.col("l_partkey") % len(WORDS_OF_PART) + 1).cast("int"))
         severity = F.when(F.col("l_returnflag") == "A", "error").when(F.col("l_returnflag") == "N", "Warning").otherwise("style")
