@@ -77,7 +77,7 @@ def candidates(task: str, rows: int, width: int, seed: int = P.SEED) -> dict[str
     inputs = min(width, MLP_INPUTS)
     return {
         "Logistic Regression": LogisticRegression(weightCol="weight", regParam=1.0 / rows, maxIter=100),
-        "SVM": svm if classes == 2 else OneVsRest(classifier=svm, weightCol="weight"),
+        "SVM": svm if classes == 2 else OneVsRest(classifier=svm, weightCol="weight", parallelism=classes),
         "Random Forest": RandomForestClassifier(numTrees=trees, maxDepth=12, weightCol="weight", seed=seed,
                                                 maxMemoryInMB=512, cacheNodeIds=False),
         "ANN": Pipeline(stages=[
