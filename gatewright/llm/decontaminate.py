@@ -259,18 +259,21 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_column: str
     """The rows of ``docs`` whose text holds no benchmark item; all columns stay. Rows are judged by their text, not their id."""
     out = docs
     for block in blocks_of(benchmark, "item_id", "text"):
-
-        @F.arrow_udf("boolean")
-        def clean(batches: Iterator[pa.Array], block=block) -> Iterator[pa.Array]:
-            index = Index.of(block, rate)
-            for texts in batches:
-                batch = pa.record_batch([texts], names=["text"])
-                ok = np.ones(len(texts), bool)
-                at = 0
-                for piece in pieces([batch], "text"):
-                    ok[[at + g[0] for g in search(piece.column("text"), index)]] = False
-                    at += piece.num_rows
-                yield pa.array(ok)
-
-        out = out.where(clean(as_bytes(text_column)))
+        out = out.where(_clean(block, rate)(as_bytes(text_column)))
     return out
+
+
+def _clean(block: list[tuple[int, str]], rate: float):
+    """A column function of texts: whether they hold none of the items."""
+
+    @F.arrow_udf("boolean")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        index = Index.of(block, rate)
+        for texts in batches:
+            ok, at = np.ones(len(texts), bool), 0
+            for part in pieces([pa.record_batch([texts], names=["text"])], "text"):
+                ok[[at + g[0] for g in search(part.column("text"), index)]] = False
+                at += part.num_rows
+            yield pa.array(ok)
+
+    return clean
