@@ -8,11 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gatewright.llm.encode import default_vocabulary, encoder
 from gatewright.llm.texts import as_bytes, pieces
 
-SPANS = "array<struct<section:long,start:long,end:long>>"
+SPANS = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("section", "start", "end")]))
 RULES = ("start", "end", "most")
 
 
