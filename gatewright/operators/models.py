@@ -73,10 +73,10 @@ def candidates(task: str, rows: int, width: int, seed: int = P.SEED) -> dict[str
     trees = {"commit_risk": 100, "cppcheck": 200, "clang": 300}[task]
     hidden = [64] if task == "commit_risk" else [128, 64]
     classes = 2 if task == "commit_risk" else 3
-    svm = LinearSVC(weightCol="weight", regParam=1.0 / rows, maxIter=100)
+    svm = LinearSVC(weightCol="weight", regParam=1.0 / rows, maxIter=5000, standardization=False)
     inputs = min(width, MLP_INPUTS)
     return {
-        "Logistic Regression": LogisticRegression(weightCol="weight", regParam=1.0 / rows, maxIter=100),
+        "Logistic Regression": LogisticRegression(weightCol="weight", regParam=1.0 / rows, maxIter=2000, standardization=False),
         "SVM": svm if classes == 2 else OneVsRest(classifier=svm, weightCol="weight", parallelism=classes),
         "Random Forest": RandomForestClassifier(numTrees=trees, maxDepth=12, weightCol="weight", seed=seed,
                                                 maxMemoryInMB=512, cacheNodeIds=False),

@@ -124,14 +124,14 @@ def _(t: Tables):
     from pyspark.ml.functions import vector_to_array
 
     train, valid, _ = alert_splits(t)
-    model = M.feature_model(train, "cppcheck", 300)
+    model = M.feature_model(train, "cppcheck")
     v = vector_to_array("features")
     return model.transform(valid).select("ord", F.size(v).alias("width"), F.size(F.filter(v, lambda x: x != 0)).alias("filled"))
 
 
 def _candidates(t: Tables, names: list[str]):
     train, valid, test = alert_splits(t)
-    features = M.feature_model(train, "cppcheck", 200)
+    features = M.feature_model(train, "cppcheck")
     return M.train_and_select(train, valid, test, "cppcheck", features, names)
 
 

@@ -120,8 +120,11 @@ def _(t: Tables):
 
 
 @query("jn06_enclosing_function", ["parts", "spans"], """
-SELECT p.file_path, p.l_linenumber, p.l_partkey, p.l_suppkey, CAST(p.l_partkey % 30 + 1 AS INTEGER) AS line, s.function_name AS enclosing_function
-FROM parts p LEFT JOIN spans s ON p.file_path = s.file_path AND p.l_partkey % 30 + 1 BETWEEN s.start_line AND s.end_line""")
+WITH pl AS MATERIALIZED (SELECT row_number() OVER () AS n, file_path, l_linenumber, l_partkey, l_suppkey, CAST(l_partkey % 30 + 1 AS INTEGER) AS line FROM parts),
+sp AS MATERIALIZED (SELECT file_path, start_line, end_line, function_name FROM spans),
+held AS MATERIALIZED (SELECT pl.n, sp.function_name FROM pl JOIN sp ON pl.file_path = sp.file_path WHERE pl.line BETWEEN sp.start_line AND sp.end_line)
+SELECT pl.file_path, pl.l_linenumber, pl.l_partkey, pl.l_suppkey, pl.line, held.function_name AS enclosing_function
+FROM pl LEFT JOIN held ON pl.n = held.n""")
 def _(t: Tables):
     at = t.source_parts.select(
         *KEYS, "place.l_linenumber", "place.l_partkey", "place.l_suppkey", (F.col("place.l_partkey") % 30 + 1).cast("int").alias("line")

@@ -306,7 +306,7 @@ def _(t: Tables):
     return S.grouped_split(t.read("lineitem"), "l_orderkey").groupBy("l_orderkey", "split").agg(F.count(F.lit(1)).alias("rows"))
 
 
-TRIALS = 12
+TRIALS = 120
 _names = ["train", "valid", "test"]
 _distance = " + ".join(
     f"abs({r(f'(train_n{x} + valid_n{x} + test_n{x}) / CAST(al AS DOUBLE)', 6)} - {r(f'{s}_n{x} / CAST({s}_n AS DOUBLE)', 6)})" for s in _names for x in LABELS)

@@ -192,7 +192,7 @@ def _(t: Tables):
 @query("snk03_model_metadata")
 def _(t: Tables):
     train = t.labelled.filter("split = 'train'")
-    model = fit_code_tfidf(train, size=500)
+    model = fit_code_tfidf(train)
     path = scratch_dir(t.spark, "model")
     meta = H.dataset_fingerprint(train, ["function_code", "target"], "doc_id").withColumns({
         "feature_type": F.lit("TF-IDF"), "input_level": F.lit("function-level"),

@@ -242,13 +242,15 @@ class Tables:
     @cached_property
     def messages(self) -> DataFrame:
         """Part-flavoured warnings, one per line item: raw records as a warning file would hold them."""
-        used = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]
+        # the first six tell line items apart: some share order, line, part and supplier
+        used = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus"]
         li = widen(self.read("lineitem").select(*used))
         words = F.array(*[F.lit(w) for w in WORDS_OF_PART])
         word = F.element_at(words, (F.col("l_partkey") % len(WORDS_OF_PART) + 1).cast("int"))
         severity = F.when(F.col("l_returnflag") == "A", "error").when(F.col("l_returnflag") == "N", "Warning").otherwise("style")
         return li.select(
-            (F.col("l_orderkey") * 100000000 + F.col("l_linenumber") * 10000000 + F.col("l_partkey") * 100 + F.col("l_suppkey") % 100).alias("ord"),
+            F.concat_ws("|", *[F.col(c).cast("long").cast("string") for c in used[:4]],
+                        *[F.round(F.col(c) * 100).cast("long").cast("string") for c in used[4:6]]).alias("ord"),
             F.when(F.col("l_suppkey") % 5 == 0, "CppCheck 2.1").otherwise("other").alias("toolName"),
             glue("=src/f", F.col("l_orderkey") % 500, "=.c").alias("filePath"),
             F.when(F.col("l_partkey") % 9 == 0, "n/a").otherwise(text(F.col("l_partkey") % 300)).alias("lineNumber"),

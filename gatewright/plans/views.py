@@ -153,7 +153,8 @@ SELECT doc_id, CASE WHEN b < 154 THEN 'train' WHEN b < 205 THEN 'valid' ELSE 'te
  quality AS target, source, toxic FROM (SELECT *, CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 2)) AS INTEGER) AS b
  FROM documents JOIN labels USING (doc_id))"""),
     "messages": ([], f"""
-SELECT l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey * 100 + l_suppkey % 100 AS ord,
+SELECT concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_quantity * 100) AS BIGINT),
+ CAST(round(l_extendedprice * 100) AS BIGINT)) AS ord,
  CASE WHEN l_suppkey % 5 = 0 THEN 'CppCheck 2.1' ELSE 'other' END AS "toolName", 'src/f' || (l_orderkey % 500) || '.c' AS "filePath",
  CASE WHEN l_partkey % 9 = 0 THEN 'n/a' ELSE CAST(l_partkey % 300 AS VARCHAR) END AS "lineNumber",
  'id' || (l_suppkey % 12) AS "warningType",

@@ -31,10 +31,14 @@ def build_session(app: str = "gatewright", master: str | None = None, **conf: st
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under the cluster's ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) a local temporary folder is used instead.
+    Where that setting is absent, a local master (tests, a laptop) gets a temporary folder and any other master an error:
+    executors would each write to their own disk and the driver would read back only its own part.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="gatewright-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
