@@ -32,6 +32,8 @@ ARCHIVE_BYTES = 16 << 20
 #: The dictionary is trained on so many payloads at most, of so many bytes each at most; longer ones are not drawn.
 SAMPLES, SAMPLE_BYTES, DICTIONARY_BYTES = 200, 1 << 16, 1 << 15
 REVISIT_BYTES = 1000
+#: Tasks that read archives, at most.
+READERS = 20_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
 _PAGE = "urn:page:"
@@ -258,7 +260,8 @@ def read_archives(manifest: DataFrame, folder: str, with_payload: bool = False)
                 if part:
                     yield _batch(part, names, kinds)
 
-    spread = manifest.repartition(F.col("path"))
+    # a given number of tasks: AQE would size them by the manifest's few bytes and read all archives in one
+    spread = manifest.repartition(max(1, min(manifest.count(), READERS)), F.col("path"))
     types = ["long", "long", "string", "string", "long", "string", "binary"]
     return spread.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in list(zip(names, types))[:keep]))
 
