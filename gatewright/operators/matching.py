@@ -118,13 +118,13 @@ def match_diagnostic(alerts: DataFrame, diagnostics: DataFrame, alert_key: str =
     fits = (F.col("d.description") == F.col("a.__msg")) | (F.col("a.__msg") == "") | named
     found = (
         a.join(d, same_spot & same_file & fits)
-        .groupBy(F.col(f"a.{alert_key}").alias(alert_key))
+        .groupBy(F.col("a.repo_id").alias("repo_id"), F.col(f"a.{alert_key}").alias(alert_key))
         .agg(F.count(F.lit(1)).alias("__n"), F.min("d.kind").alias("__kind"), F.min("d.context").alias("__context"))
         .filter("__n = 1")
     )
     is_function = F.col("__kind") == "function"
     return (
-        alerts.join(found, alert_key, "left")
+        alerts.join(found, ["repo_id", alert_key], "left")
         .withColumn("source_function", F.when(is_function, F.col("__context")).otherwise(F.lit("")))
         .withColumn("has_plist_match", F.col("__n").isNotNull() | F.col("matched_file").isNotNull())
         .select(*alerts.columns, "source_function", "has_plist_match")

@@ -14,7 +14,6 @@ from pyspark.ml.feature import (
     OneHotEncoder,
     SQLTransformer,
     StringIndexer,
-    UnivariateFeatureSelector,
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
@@ -37,7 +36,7 @@ from gatewright.operators.rows import rank_alerts
 from gatewright.operators.runs import score_risk
 from gatewright.session import scratch_dir
 
-MLP_INPUTS = 256  # the network is dense, so it sees the strongest columns only
+TREE_DEPTH = 30  # as deep as MLlib allows: trees grow until their leaves are pure
 
 
 def one_hot_stages(columns: list[str]) -> list[Estimator]:
@@ -68,25 +67,18 @@ def scaling_stage(train: DataFrame, columns: list[str]) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")
 
 
-def candidates(task: str, rows: int, width: int, seed: int = P.SEED) -> dict[str, Estimator]:
+def candidates(task: str, rows: int, width: int, seed: int = P.SEED, depth: int = TREE_DEPTH) -> dict[str, Estimator]:
     """Four classifiers. ``task``: commit_risk (two classes), cppcheck or clang (three classes)."""
     trees = {"commit_risk": 100, "cppcheck": 200, "clang": 300}[task]
     hidden = [64] if task == "commit_risk" else [128, 64]
     classes = 2 if task == "commit_risk" else 3
     svm = LinearSVC(weightCol="weight", regParam=1.0 / rows, maxIter=5000, standardization=False)
-    inputs = min(width, MLP_INPUTS)
     return {
         "Logistic Regression": LogisticRegression(weightCol="weight", regParam=1.0 / rows, maxIter=2000, standardization=False),
         "SVM": svm if classes == 2 else OneVsRest(classifier=svm, weightCol="weight", parallelism=classes),
-        "Random Forest": RandomForestClassifier(numTrees=trees, maxDepth=12, weightCol="weight", seed=seed,
+        "Random Forest": RandomForestClassifier(numTrees=trees, maxDepth=depth, weightCol="weight", seed=seed,
                                                 maxMemoryInMB=512, cacheNodeIds=False),
-        "ANN": Pipeline(stages=[
-            UnivariateFeatureSelector(featuresCol="features", outputCol="__strong", labelCol="label",
-                                      selectionMode="numTopFeatures").setFeatureType("continuous")
-            .setLabelType("categorical").setSelectionThreshold(inputs),
-            MultilayerPerceptronClassifier(featuresCol="__strong", layers=[inputs, *hidden, classes], seed=seed,
-                                           maxIter=20 if task == "commit_risk" else 100),
-        ]),
+        "ANN": MultilayerPerceptronClassifier(layers=[width, *hidden, classes], seed=seed, maxIter=20 if task == "commit_risk" else 500),
     }
 
 

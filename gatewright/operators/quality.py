@@ -91,9 +91,8 @@ def has_classes(df: DataFrame, by: list[str], label: str = "label") -> DataFrame
 def split_overlap(df: DataFrame, keys: list[str], split: str = "split") -> DataFrame:
     """Number of keys shared by each pair of splits, from one pass over the keys."""
     names = ["train", "valid", "test"]
-    value = [F.coalesce(F.col(k).cast("string"), F.lit("__NA__")).alias(k) for k in keys]
     flags = [F.max((F.col(split) == s).cast("int")).alias(s) for s in names]
-    per_key = df.select(*value, split).groupBy(*keys).agg(*flags)
+    per_key = df.groupBy(*keys).agg(*flags)
     return per_key.agg(
         *[F.coalesce(F.sum(F.col(a) * F.col(b)), F.lit(0)).cast("long").alias(f"{a}_{b}") for a, b in combinations(names, 2)]
     )

@@ -141,11 +141,10 @@ def run_facts(runs: DataFrame, alerts: DataFrame, functions: DataFrame, anomalie
         none = {"anomaly_status": "string", "anomaly_score": "double", "anomaly_reason": "string", "anomaly_seen": "boolean"}
         facts = facts.withColumns({k: F.lit(None).cast(t) for k, t in none.items()})
     else:
-        seen = anomalies.groupBy(*RUN).agg(
-            F.first("anomaly_status").alias("anomaly_status"),
-            F.first("anomaly_score").alias("anomaly_score"),
-            F.first("reason" if "reason" in anomalies.columns else F.lit(None).cast("string")).alias("anomaly_reason"),
-            F.lit(True).alias("anomaly_seen"),
-        )
+        reason = F.col("reason") if "reason" in anomalies.columns else F.lit(None).cast("string")
+        report = F.struct("anomaly_status", "anomaly_score", reason.alias("anomaly_reason"))
+        # of several reports for a run one whole report, the same whatever the order of tasks
+        order = F.col("ord") if "ord" in anomalies.columns else report
+        seen = anomalies.groupBy(*RUN).agg(F.min_by(report, order).alias("__a")).select(*RUN, "__a.*", F.lit(True).alias("anomaly_seen"))
         facts = facts.join(seen, RUN, "left")
     return anomaly_defaults(facts)

@@ -282,7 +282,7 @@ def _(t: Tables):
     )
 
 
-@query("fn28_now_utc")
+@query("fn28_now_utc", [], "SELECT event_id, true AS is_past FROM events")
 def _(t: Tables):
     return t.read("events").select("event_id", (risk.now_utc() > F.col("ts").cast("timestamp")).alias("is_past"))
 

@@ -19,7 +19,7 @@ from gatewright.plans import gate as G
 from gatewright.plans.catalog_metrics import ALERT_DIGEST, COMMIT_DIGEST
 from gatewright.plans.catalog_tables import training_rows
 from gatewright.plans.registry import query
-from gatewright.plans.tables import Tables, glue
+from gatewright.plans.tables import Tables
 from gatewright.plans.views import r, unit
 from gatewright.session import cut_lineage, scratch_dir, widen
 from gatewright.streaming import history as ST
@@ -250,7 +250,7 @@ z AS (SELECT rows.repo_id, rows.run_id, s.lof_score FROM rows JOIN pt USING (rep
 SELECT repo_id, run_id, {r('ln(-lof_score)', 6)} AS log_factor, CASE WHEN lof_score < quantile_cont(lof_score, 0.1) OVER (PARTITION BY repo_id) THEN -1 ELSE 1 END AS prediction FROM z"""
 
 
-_lof = ["total_alerts", "high_alerts", "medium_alerts"]
+_lof = list(P.ANOMALY_FEATURES)
 
 
 @query("ml12_local_outlier_factor", ["history"], _lof_sql(_lof, f"SELECT repo_id, run_id, {', '.join(_lof)} FROM history"))
@@ -409,8 +409,7 @@ def _(t: Tables):
 
 @query("stm02_daily_metrics_stream", ["alerts"], """
 SELECT repo_id, run_id AS day, count(*) AS total_alerts, count(*) FILTER (priority = 'HIGH') AS high_alerts,
- count(*) FILTER (priority = 'MEDIUM') AS medium_alerts, count(*) FILTER (priority = 'LOW') AS low_alerts FROM alerts
-WHERE CAST(strptime(run_id, '%Y-%m-%d') AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ALL""")
+ count(*) FILTER (priority = 'MEDIUM') AS medium_alerts, count(*) FILTER (priority = 'LOW') AS low_alerts FROM alerts GROUP BY ALL""")
 def _(t: Tables):
     from gatewright.functions.alerts import lookup, priority_a
     from gatewright.plans.tables import SEVERITY_OF_EVENT
@@ -419,9 +418,9 @@ def _(t: Tables):
     severity = lookup(F.col("event_type"), SEVERITY_OF_EVENT, "none")
     alerts = _event_stream(t).select(
         F.col("user_id").cast("string").alias("repo_id"), "ts", priority_a(F.col("event_type") != "view", severity).alias("priority"))
-    ST.run_to_end(ST.write_stream(ST.daily_metrics(alerts, "1 hour"), table, mark))
-    schema = "repo_id string, day timestamp, total_alerts long, high_alerts long, medium_alerts long, low_alerts long"
-    return ST.read_table(t.spark, table, schema).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    ST.run_to_end(ST.write_updates(ST.daily_metrics(alerts, "1 hour"), table, mark))
+    schema = "repo_id string, day timestamp, total_alerts long, high_alerts long, medium_alerts long, low_alerts long, batch long"
+    return ST.latest(ST.read_table(t.spark, table, schema), ["repo_id", "day"]).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @query("stm03_stream_scores", ["metrics"], f"""
@@ -440,5 +439,3 @@ def _(t: Tables):
     ST.run_to_end(ST.stream_score(stream, base, out, mark))
     return t.spark.read.schema("repo_id string, run_id string, total_alerts long, z double").parquet(f"{out}/batch=*")
 
-
-__all__ = ["glue"]

@@ -178,27 +178,22 @@ def _(t: Tables):
     return K.new_runs(seen, rows.unionByName(rows))
 
 
-_vectors = "SELECT CAST(label AS VARCHAR) AS repo_id, lpad(CAST(vec_id AS VARCHAR), 9, '0') AS point, embedding FROM embeddings"
-_distance = "round(sqrt(list_sum([pow(CAST(p AS DOUBLE) - CAST(q AS DOUBLE), 2) FOR p, i IN x])), 9)"
-
-
 @query("jn10_nearest_neighbours", [], f"""
-WITH v AS (SELECT CAST(label AS VARCHAR) AS repo_id, lpad(CAST(vec_id AS VARCHAR), 9, '0') AS point,
-  [{', '.join(f'floor(CAST(embedding[{i}] AS DOUBLE) * 20)' for i in range(1, 9))}] AS x FROM embeddings),
+WITH v AS (SELECT CAST(label AS VARCHAR) AS repo_id, lpad(CAST(vec_id AS VARCHAR), 9, '0') AS point, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
 w AS (SELECT repo_id, x, min(point) AS point, count(*) AS weight FROM v GROUP BY ALL),
 d AS (SELECT a.repo_id, a.point, b.point AS neighbour, b.weight - CAST(a.point = b.point AS INTEGER) AS weight,
- sqrt({' + '.join(f'pow(a.x[{i}] - b.x[{i}], 2)' for i in range(1, 9))}) AS distance FROM w a JOIN w b USING (repo_id)),
+ round(list_distance(a.x, b.x), 9) AS distance FROM w a JOIN w b USING (repo_id)),
 o AS (SELECT *, coalesce(sum(weight) OVER (PARTITION BY repo_id, point ORDER BY distance, neighbour ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
  FROM d WHERE weight > 0)
 SELECT repo_id, point, neighbour, {r('distance', 6)} AS distance, CAST(least(weight, 10 - b) AS BIGINT) AS weight FROM o WHERE b < 10""")
 def _(t: Tables):
     from gatewright.functions.numbers import round_half_up
 
-    x = [F.floor(F.col("embedding")[i].cast("double") * 20).cast("double").alias(f"x{i}") for i in range(8)]
     rows = t.read("embeddings").select(
-        F.col("label").cast("string").alias("repo_id"), F.lpad(F.col("vec_id").cast("string"), 9, "0").alias("run_id"), *x
+        F.col("label").cast("string").alias("repo_id"), F.lpad(F.col("vec_id").cast("string"), 9, "0").alias("run_id"),
+        *[F.col("embedding")[i].alias(f"x{i}") for i in range(64)],
     )
-    near = knn(weighted_points(rows, [f"x{i}" for i in range(8)]), 10)
+    near = knn(weighted_points(rows, [f"x{i}" for i in range(64)]), 10)
     return near.withColumn("distance", round_half_up(F.col("distance"), 6))
 
 

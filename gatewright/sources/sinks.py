@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,19 +42,37 @@ def new_runs(history: DataFrame, rows: DataFrame, keys: tuple[str, ...] = ("repo
 
 
 def append_once(spark, path: str, rows: DataFrame, keys: tuple[str, ...] = ("repo_id", "run_id")) -> bool:
-    """Append only unseen runs to the history table. An unreadable history is left as it is and nothing is added."""
-    if not path_exists(spark, path):
-        new_runs(rows.limit(0), rows, keys).write.mode("errorifexists").parquet(path)
-        return True
+    """Append only unseen runs to the history table.
+
+    A folder without data files (a first write that never ended) counts as no history yet. An unreadable history, or one without
+    the keys, is left as it is: nothing is added and the answer is False, which a stream must not pass over. Only the part of the
+    history within the batch's range of the last key is read, so its cost follows the batch where runs are named by time.
+    """
     try:
-        history = spark.read.parquet(path)
-        history.select(*keys)
-    except Exception:
+        history = _history(spark, path, keys)
+    except (PySparkException, Py4JJavaError):
         return False
+    if history is None:
+        history = rows.limit(0)
+    else:
+        low, high = rows.agg(F.min(keys[-1]), F.max(keys[-1])).first()
+        history = history.where(F.col(keys[-1]).between(F.lit(low), F.lit(high)))
     new_runs(history, rows, keys).write.mode("append").parquet(path)
     return True
 
 
+def _history(spark, path: str, keys: tuple[str, ...]) -> DataFrame | None:
+    """The keys of the history table, None where no data file is there."""
+    if not path_exists(spark, path):
+        return None
+    try:
+        return spark.read.parquet(path).select(*keys)
+    except AnalysisException as error:
+        if error.getCondition() == "UNABLE_TO_INFER_SCHEMA":
+            return None
+        raise
+
+
 def history_size(spark, path: str) -> int:
     """Number of history rows; 0 where it is missing or unreadable."""
     if not path_exists(spark, path):

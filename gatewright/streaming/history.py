@@ -12,23 +12,26 @@ from gatewright.sources.readers import path_exists
 from gatewright.sources.sinks import append_once
 
 
-def stream_history(runs: DataFrame, table: str, checkpoint: str, delay: str = "1 day") -> StreamingQuery:
+def stream_history(runs: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Append each (repo_id, run_id) once.
 
-    State drops repeats within the watermark; the anti join on the table drops later ones and makes a replayed batch
-    harmless, so the result is the same after any restart.
+    The anti join on the table drops re-delivered runs and makes a replayed batch harmless, so the result is the same after any
+    restart. No watermark: a run that arrives late is appended like any other.
     """
     def append(batch: DataFrame, _: int) -> None:
-        append_once(batch.sparkSession, table, batch)
+        rows = batch.persist()  # read for the range of its runs and for the rows
+        try:
+            if not append_once(batch.sparkSession, table, rows):
+                raise RuntimeError(f"the history at {table} cannot be read; the batch stays uncommitted")
+        finally:
+            rows.unpersist()
 
-    once = runs.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["repo_id", "run_id"])
-    return (
-        once.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(append).start()
-    )
+    return runs.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(append).start()
 
 
 def daily_metrics(alerts: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Alert counts per repository and day, final once the watermark has passed the day."""
+    """Alert counts per repository and day, final once the watermark has passed the day; until then :func:`write_updates` keeps
+    the counts so far."""
     return (
         alerts.withWatermark("ts", delay)
         .groupBy("repo_id", F.window("ts", "1 day").alias("w"))
@@ -47,6 +50,22 @@ def write_stream(df: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     )
 
 
+def write_updates(df: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Rows that a batch changed, in a folder of that batch, which a replay overwrites; :func:`latest` tells what holds now."""
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+
+    return (
+        df.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start()
+    )
+
+
+def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each key the row of its last batch; combined before the shuffle."""
+    rest = [c for c in updates.columns if c not in (*keys, "batch")]
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("__r")).select(*keys, "__r.*")
+
+
 def stream_score(runs: DataFrame, baseline: str, output: str, checkpoint: str, feature: str = "total_alerts") -> StreamingQuery:
     """Score each arriving run against the last saved baseline (repo_id, mean, dev), never against itself."""
     def score(batch: DataFrame, batch_id: int) -> None:
@@ -72,4 +91,4 @@ def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
 
 
-__all__ = ["stream_history", "daily_metrics", "write_stream", "stream_score", "run_to_end", "read_table", "scratch_dir"]
+__all__ = ["stream_history", "daily_metrics", "write_stream", "write_updates", "latest", "stream_score", "run_to_end", "read_table", "scratch_dir"]

@@ -124,6 +124,10 @@ def test_append_once(spark, tmp_path):
     (tmp_path / "bad").mkdir()
     (tmp_path / "bad" / "x.parquet").write_text("not parquet")
     assert not K.append_once(spark, str(tmp_path / "bad"), spark.createDataFrame([("r", "1", 2)], schema))
+    # a first write that never ended left no data file behind
+    (tmp_path / "half" / "_temporary" / "0").mkdir(parents=True)
+    half = str(tmp_path / "half")
+    assert K.append_once(spark, half, spark.createDataFrame([("r", "1", 2)], schema)) and K.history_size(spark, half) == 1
 
 
 def test_stream_equals_batch_after_redelivery_and_restart(spark, tmp_path):
@@ -140,3 +144,34 @@ def test_stream_equals_batch_after_redelivery_and_restart(spark, tmp_path):
     ST.run_to_end(ST.stream_history(spark.readStream.schema(schema).parquet(source), table, mark))
     got = sorted((r["repo_id"], r["run_id"]) for r in spark.read.parquet(table).collect())
     assert got == sorted({(str(i % 4), str(i % 10)) for i in range(40)} | {("9", "9")})
+
+
+def test_stream_stops_at_an_unreadable_history_and_goes_on_once_it_is_gone(spark, tmp_path):
+    source, bad, mark = str(tmp_path / "in"), tmp_path / "out", str(tmp_path / "mark")
+    schema = "repo_id string, run_id string, ts timestamp, ord int"
+    spark.range(6).selectExpr("string(id % 2) repo_id", "string(id) run_id", "timestamp_seconds(id * 60) ts", "int(id) ord").write.parquet(source)
+    bad.mkdir()
+    (bad / "x.parquet").write_text("not parquet")
+    stream = lambda: ST.stream_history(spark.readStream.schema(schema).parquet(source), str(bad), mark)
+    with pytest.raises(Exception, match="cannot be read"):
+        ST.run_to_end(stream())
+    (bad / "x.parquet").unlink()
+    ST.run_to_end(stream())
+    assert sorted(r["run_id"] for r in spark.read.parquet(str(bad)).collect()) == ["0", "1", "2", "3", "4", "5"]
+
+
+def test_daily_counts_hold_the_last_day_and_follow_later_batches(spark, tmp_path):
+    source, table, mark = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "mark")
+    schema = "repo_id string, ts timestamp, priority string"
+
+    def deliver(rows):
+        spark.createDataFrame(rows, "repo_id string, s long, priority string").selectExpr(
+            "repo_id", "timestamp_seconds(s) ts", "priority").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        ST.run_to_end(ST.write_updates(ST.daily_metrics(stream, "1 hour"), table, mark))
+        now = ST.latest(spark.read.parquet(table), ["repo_id", "day"])
+        return sorted((r["repo_id"], r["day"].day, r["total_alerts"], r["high_alerts"]) for r in now.collect())
+
+    day = 86400
+    assert deliver([("a", 10, "HIGH"), ("a", day + 10, "LOW"), ("b", 20, "LOW")]) == [("a", 1, 1, 1), ("a", 2, 1, 0), ("b", 1, 1, 0)]
+    assert deliver([("a", day + 60, "HIGH")]) == [("a", 1, 1, 1), ("a", 2, 2, 1), ("b", 1, 1, 0)]
