@@ -103,14 +103,13 @@ def repeated_words(
             )
 
     blocks = rows.mapInArrow(index, "key long, block long, id long")
-    # anchors in two documents or more; all others are literals
+    # anchors in two documents or more; all others are literals. Join sides that come out of an aggregate are written first:
+    # a join straight above an aggregate is one that AQE can neither broadcast by size nor split at a hot anchor
     keys = blocks.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key")
-    known = cut_lineage(blocks.join(keys, "key", "left_semi"), "known-blocks")
-    first = known.groupBy("key", "block").agg(F.min("id").alias("first"))
+    known = cut_lineage(blocks.join(cut_lineage(keys, "repeated-anchors"), "key", "left_semi"), "known-blocks")
+    first = cut_lineage(known.groupBy("key", "block").agg(F.min("id").alias("first")), "first-blocks")
     several = first.groupBy("key").agg(F.min("block").alias("x"), F.max("block").alias("y")).where("x < y").select("key")
-    first = cut_lineage(
-        first.join(several.withColumn("several", F.lit(True)), "key", "left"), "first-blocks"
-    )
+    first = first.join(cut_lineage(several, "split-anchors").withColumn("several", F.lit(True)), "key", "left")
     # what each document has to look at: blocks that earlier documents hold, and blocks to check by window
     marks = known.join(first, ["key", "block"]).select(
         "id", "key", "block", (F.col("first") < F.col("id")).alias("whole"), F.coalesce("several", F.lit(False)).alias("several")
@@ -133,8 +132,9 @@ def repeated_words(
             )
 
     windows = rows.join(checks, "id", "left").mapInArrow(boundary, "key long, hash long, id long")
+    windows = cut_lineage(windows, "boundary-windows")
     held = windows.groupBy("key", "hash").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    late = windows.join(held, ["key", "hash"]).where("id > first").select("id", "key", "hash")
+    late = windows.join(cut_lineage(held, "repeated-windows"), ["key", "hash"]).where("id > first").select("id", "key", "hash")
     found = (
         marks.where("whole").select("id", "key", F.col("block").alias("hash"), F.lit(True).alias("whole"))
         .unionByName(late.withColumn("whole", F.lit(False)))
