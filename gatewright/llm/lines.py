@@ -76,7 +76,9 @@ def repeated_lines(lines: DataFrame, min_docs: int, batches: int, fanout: int) -
         high = low if low is not None else high
         found = runs.merged()
         if found is not None:
-            batch = batch.join(found.where(F.col("n_docs") >= min_docs).select("h1", "h2"), ["h1", "h2"], "left_anti")
+            # written, so that AQE can broadcast it by size or split the join at a hot line
+            settled = cut_lineage(found.where(F.col("n_docs") >= min_docs).select("h1", "h2"), "settled-keys")
+            batch = batch.join(settled, ["h1", "h2"], "left_anti")
         per_doc = batch.select("id", "h1", "h2").distinct()
         runs.add(per_doc.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("id").alias("holder")))
     return runs.merged().where(F.col("n_docs") >= min_docs).select("h1", "h2", "holder")
@@ -104,8 +106,9 @@ def without_repeated_lines(
     ident = F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID))
     source = docs.select(ident.alias("id"), text.alias("text"))
     lines = cut_lineage(keyed_lines(source, min_chars), "lines")
+    repeated = cut_lineage(repeated_lines(lines, min_docs, batches, fanout), "repeated-lines")
     gone = (
-        lines.join(repeated_lines(lines, min_docs, batches, fanout), ["h1", "h2"])
+        lines.join(repeated, ["h1", "h2"])
         .where(F.col("id") < F.col("holder"))
         .groupBy(F.col("id").alias("__id"), F.col("body").alias("__body"))
         .agg(F.array_sort(F.collect_set("pos")).alias("__gone"))
