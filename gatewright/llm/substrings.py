@@ -114,8 +114,9 @@ def repeated_words(
     marks = known.join(first, ["key", "block"]).select(
         "id", "key", "block", (F.col("first") < F.col("id")).alias("whole"), F.coalesce("several", F.lit(False)).alias("several")
     )
-    marks = cut_lineage(marks.where("whole or several").distinct(), "marks")
-    checks = marks.where("not whole").groupBy("id").agg(F.collect_list(F.struct("key", "block")).alias("found"))
+    # repeats go in the sets below: a distinct here would use the join's own partitioning, and AQE could not split it
+    marks = cut_lineage(marks.where("whole or several"), "marks")
+    checks = marks.where("not whole").groupBy("id").agg(F.collect_set(F.struct("key", "block")).alias("found"))
 
     def boundary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -140,8 +141,8 @@ def repeated_words(
         .unionByName(late.withColumn("whole", F.lit(False)))
         .groupBy("id")
         .agg(
-            F.collect_list(F.when(F.col("whole"), F.struct("key", F.col("hash").alias("block")))).alias("found"),
-            F.collect_list(F.when(~F.col("whole"), F.struct("key", F.col("hash").alias("block")))).alias("late"),
+            F.collect_set(F.when(F.col("whole"), F.struct("key", F.col("hash").alias("block")))).alias("found"),
+            F.collect_set(F.when(~F.col("whole"), F.struct("key", F.col("hash").alias("block")))).alias("late"),
         )
     )
 
