@@ -3,6 +3,10 @@
 Distinct fingerprints go to the shards of a tree whose vantage points come from a small sample. A fingerprint within the
 radius of a sphere's inside edge also goes to the outer shard, so by the triangle inequality each pair within the radius
 meets in one shard. A shard is searched by a tree of its own and returns stars, not pairs; components join the stars.
+
+``near_duplicates`` links whole-text fingerprints. Texts whose shingle sets have a Jaccard similarity of 0.8 lie up to a dozen
+bits apart, a radius at which no sphere prunes. ``similar_documents`` therefore fingerprints min-wise samples of each text's
+shingles, finds near samples with the same tree, and decides by the exact similarity of the texts.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewright.llm.components import connected_components
-from gatewright.llm.texts import as_bytes, pieces, signed
+from gatewright.llm.texts import as_bytes, mix, pieces, signed
 from gatewright.session import cut_lineage
 
 SEED = 42
@@ -25,22 +29,26 @@ SHARD_ROWS = 16_384
 SAMPLE_PER_SHARD = 64
 LEAF_ROWS = 512
 PROBE_ROWS = 200_000
+#: Fingerprints of a text's shingle samples, and shingles in a sample: at similarity s, 1 - (1 - s ** 4) ** 12 of the pairs share one.
+SAMPLES, SAMPLE_SIZE = 12, 4
+_MULTIPLIERS = np.random.default_rng(SEED).integers(1, 1 << 63, SAMPLES * SAMPLE_SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def simhash(text: bytes, shingle: int = 3) -> int:
-    """The 64-bit fingerprint of one text: a bit is set if more than half of the shingles' XXH64 have it."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle of a text, repeats included; of the whole sequence if it has fewer words; none without words."""
     words = text.lower().split()
-    if not words:
-        return 0
     if len(words) < shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
-    else:
-        joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = (ends[: len(words) - shingle + 1] - [len(w) + 1 for w in words[: len(words) - shingle + 1]]).tolist()
-        hashes = np.fromiter(
-            (digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())), np.uint64, len(starts)
-        )
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    sizes = [len(w) + 1 for w in words]
+    ends = np.cumsum(sizes)
+    starts = (ends[: len(words) - shingle + 1] - sizes[: len(words) - shingle + 1]).tolist()
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())), np.uint64, len(starts))
+
+
+def simhash(text: bytes, shingle: int = 3) -> int:
+    """The 64-bit fingerprint of one text: a bit is set if more than half of the shingles' XXH64 have it."""
+    hashes = shingle_hashes(text, shingle)
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -205,3 +213,123 @@ def near_duplicates(
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",
     )
+
+
+# --- similar texts ----------------------------------------------------------------------------------------------------
+
+
+def sample_fingerprints(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of each min-wise sample of a text's distinct shingles; no shingles count as the shingle 0."""
+    hashes = hashes if len(hashes) else np.zeros(1, np.uint64)
+    least = np.full(len(_MULTIPLIERS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        np.minimum(least, (hashes[at : at + 4096, None] * _MULTIPLIERS).min(0), out=least)
+    drawn = mix(least + np.repeat(np.arange(1, SAMPLES + 1, dtype=np.uint64), SAMPLE_SIZE) * _MULTIPLIERS[0])
+    bits = np.unpackbits(drawn.view(np.uint8).reshape(SAMPLES, SAMPLE_SIZE, 8), axis=2, bitorder="little")
+    return np.packbits(bits.sum(1) * 2 > SAMPLE_SIZE, axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, body, n, fps) for rows (id, body, text): the number of distinct shingles and the samples' fingerprints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            n, fps = [], []
+            for text in batch.column("text").to_pylist():
+                hashes = np.unique(shingle_hashes(text, shingle))
+                n.append(len(hashes))
+                fps.append(signed(sample_fingerprints(hashes)))
+            yield pa.record_batch(
+                [batch.column("id"), batch.column("body"), pa.array(n, pa.int64()), pa.array(fps, pa.list_(pa.int64()))],
+                names=["id", "body", "n", "fps"],
+            )
+
+    return docs.mapInArrow(run, "id long, body long, n long, fps array<long>")
+
+
+def similarity_of(shingle: int):
+    """A column function of two texts: the Jaccard similarity of their shingle sets. Two texts without words have 1."""
+
+    def value(a: bytes, b: bytes) -> float:
+        x, y = (np.unique(shingle_hashes(t, shingle)) for t in (a, b))
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+    @F.arrow_udf("double")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for a, b in batches:
+            yield pa.array([value(x.as_py(), y.as_py()) for x, y in zip(a, b)], pa.float64())
+
+    return run
+
+
+def similar_documents(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    shingle: int = 5,
+    similarity: float = 0.8,
+    radius: int = 2,
+    rounds: int = 3,
+) -> DataFrame:
+    """(doc_id, component_id): one row per row of ``docs``; texts link at a Jaccard similarity of their word shingles of at
+    least ``similarity``, and the component's id is the smallest id reachable.
+
+    Every link is checked on the whole texts. Candidates are texts with a sample fingerprint within ``radius`` bits. In each round
+    all texts of such a group are compared with one text of it, chosen anew, unless both are linked already: comparisons grow
+    with the texts, not with their pairs. So a component can stay in parts if no chosen text connects them; recall is measured in
+    the tests. Texts that are null, empty or blank are alike. A text under ``shingle`` words is one shingle. A null id names no
+    component unless all ids of it are null. Repeated rows stay. An empty table gives an empty result. Other columns are not read.
+    Equal texts are told by a 64-bit hash.
+
+    Scale: sketches of about 120 bytes are shuffled; texts only of candidates, once per comparison.
+    """
+    text = as_bytes(text_column)
+    source = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("body"), text.alias("text"))
+    rows = cut_lineage(sketches(source, shingle), "sketches")
+    bodies = cut_lineage(
+        rows.groupBy("body").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("fps").alias("fps")), "bodies"
+    )
+    points = cut_lineage(bodies.select(F.explode("fps").alias("fp")).distinct(), "sample-points")
+    near = connected_components(near_links(points, points.count(), radius)).select(F.col("node").alias("fp"), "label")
+    exploded = bodies.select("body", "first", "n", F.explode("fps").alias("fp"))
+    groups = exploded.join(near, "fp", "left").select(F.coalesce("label", "fp").alias("label"), "body", "first", "n").distinct()
+    shared = groups.groupBy("label").agg(F.count("*").alias("texts")).where("texts > 1").select("label")
+    groups = cut_lineage(groups.join(cut_lineage(shared, "shared-groups"), "label"), "candidates")
+    texts = cut_lineage(
+        source.join(groups.select("body").distinct(), "body", "left_semi").groupBy("body").agg(F.first("text").alias("text")),
+        "candidate-texts",
+    )
+    links, labels = None, None
+    for turn in range(rounds):
+        # the smallest id first, then a text drawn for each group
+        order = F.struct("first", "body") if turn == 0 else F.struct(F.xxhash64("body", "label", F.lit(turn)), "body")
+        now = groups
+        if labels is not None:
+            now = groups.join(labels, groups["body"] == labels["node"], "left").select(
+                groups["*"], F.coalesce(labels["label"], "body").alias("part")
+            )
+        else:
+            now = now.withColumn("part", F.col("body"))
+        now = cut_lineage(now, "candidate-parts")
+        lead = now.groupBy("label").agg(F.min_by(F.struct("body", "n", "part"), order).alias("lead"))
+        pairs = (
+            now.join(cut_lineage(lead, "leads"), "label")
+            .where(F.col("part") != F.col("lead.part"))
+            .where(F.least("n", "lead.n") >= F.lit(similarity) * F.greatest("n", "lead.n"))
+            .select(F.least("body", "lead.body").alias("a"), F.greatest("body", "lead.body").alias("b"))
+            .distinct()
+        )
+        left = texts.select(F.col("body").alias("a"), F.col("text").alias("x"))
+        right = texts.select(F.col("body").alias("b"), F.col("text").alias("y"))
+        compared = cut_lineage(pairs, "pairs").join(left, "a").join(right, "b")
+        found = cut_lineage(compared.where(similarity_of(shingle)("x", "y") >= similarity).select("a", "b"), "similar")
+        links = found if links is None else links.unionByName(found)
+        labels = cut_lineage(connected_components(links), "parts")
+    named = bodies.join(labels, bodies["body"] == labels["node"], "left").select(
+        "body", "first", F.coalesce("label", "body").alias("label")
+    )
+    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
+    return rows.join(named.join(least, "label").select("body", "component_id"), "body").select(
+        F.col("id").alias("doc_id"), "component_id"
+    )

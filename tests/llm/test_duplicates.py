@@ -70,6 +70,48 @@ def test_near_duplicates_of_nothing(spark):
     assert simhash.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def brute_shingles(text: str | None) -> set[str]:
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_similar_documents_equal_brute_force(spark):
+    draw = random.Random(3)
+    rows = corpus(3, 40, 120)
+    base = [f"w{draw.randrange(500)}" for _ in range(150)]
+    for i in range(12):
+        body = base[:]
+        body[draw.randrange(150)] = f"edit{i}"
+        rows.append((2_000_000 - i, " ".join(body)))
+    sets = [brute_shingles(t) for _, t in rows]
+    like = [[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets]
+    group = list(range(len(rows)))
+    for _ in rows:
+        group = [min(g for g, near in zip(group, like[i]) if near) for i in range(len(rows))]
+    names = {}
+    for (i, _), g in zip(rows, group):
+        names.setdefault(g, []).append(i)
+    want = [(i, min((x for x in names[g] if x is not None), default=None)) for (i, _), g in zip(rows, group)]
+    found = [tuple(r) for r in simhash.similar_documents(docs_of(spark, rows)).collect()]
+    assert sorted(found, key=str) == sorted(want, key=str)
+    assert len({g for _, g in want}) < len(rows) - 18
+
+
+def test_similar_documents_of_nothing(spark):
+    assert simhash.similar_documents(docs_of(spark, [])).count() == 0
+
+
+def test_samples_are_equal_as_often_as_sets_are_alike():
+    draw = np.random.default_rng(7)
+    hit = 0
+    for _ in range(200):
+        words = draw.integers(0, 1 << 63, 180, dtype=np.uint64)
+        a, b = simhash.sample_fingerprints(words[:160]), simhash.sample_fingerprints(words[20:])
+        hit += int((a == b).sum())
+    assert abs(hit / (200 * simhash.SAMPLES) - (140 / 180) ** simhash.SAMPLE_SIZE) < 0.05
+    assert (simhash.sample_fingerprints(np.zeros(0, np.uint64)) == simhash.sample_fingerprints(np.zeros(1, np.uint64))).all()
+
+
 def test_shards_and_leaves_lose_no_link():
     draw = np.random.default_rng(5)
     centres = draw.integers(0, 1 << 63, 40, dtype=np.uint64)
