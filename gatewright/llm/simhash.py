@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewright.llm.components import connected_components
-from gatewright.llm.texts import as_bytes, mix, pieces, signed
+from gatewright.llm.texts import as_bytes, mix, pieces, signed, words_of
 from gatewright.session import cut_lineage
 
 SEED = 42
@@ -29,6 +29,8 @@ SHARD_ROWS = 16_384
 SAMPLE_PER_SHARD = 64
 LEAF_ROWS = 512
 PROBE_ROWS = 200_000
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
 #: Fingerprints of a text's shingle samples, and shingles in a sample: at similarity s, 1 - (1 - s ** 4) ** 12 of the pairs share one.
 SAMPLES, SAMPLE_SIZE = 12, 4
 _MULTIPLIERS = np.random.default_rng(SEED).integers(1, 1 << 63, SAMPLES * SAMPLE_SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -229,18 +231,31 @@ def sample_fingerprints(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits.sum(1) * 2 > SAMPLE_SIZE, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def shingle_sets(texts: pa.BinaryArray, shingle: int) -> list[np.ndarray]:
+    """The distinct hashes of each text's shingles, A-Z in lower case; a text of fewer words is one shingle."""
+    words = words_of(texts)
+    words.data = _FOLD[words.data]
+    runs, out = words.runs(), []
+    for a, b in zip(words.first.tolist(), words.first[1:].tolist()):
+        start = np.arange(a, max(b - shingle + 1, min(a + 1, b)))
+        out.append(np.unique(runs.hash(start, np.minimum(start + shingle, b))))
+    return out
+
+
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     """(id, body, n, fps) for rows (id, body, text): the number of distinct shingles and the samples' fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            n, fps = [], []
-            for text in batch.column("text").to_pylist():
-                hashes = np.unique(shingle_hashes(text, shingle))
-                n.append(len(hashes))
-                fps.append(signed(sample_fingerprints(hashes)))
+            sets = shingle_sets(batch.column("text"), shingle)
+            fps = [signed(sample_fingerprints(s)) for s in sets]
             yield pa.record_batch(
-                [batch.column("id"), batch.column("body"), pa.array(n, pa.int64()), pa.array(fps, pa.list_(pa.int64()))],
+                [
+                    batch.column("id"),
+                    batch.column("body"),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(fps, pa.list_(pa.int64())),
+                ],
                 names=["id", "body", "n", "fps"],
             )
 
@@ -250,15 +265,18 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
 def similarity_of(shingle: int):
     """A column function of two texts: the Jaccard similarity of their shingle sets. Two texts without words have 1."""
 
-    def value(a: bytes, b: bytes) -> float:
-        x, y = (np.unique(shingle_hashes(t, shingle)) for t in (a, b))
+    def value(x: np.ndarray, y: np.ndarray) -> float:
         both = len(np.intersect1d(x, y, assume_unique=True))
         return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
     @F.arrow_udf("double")
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for a, b in batches:
-            yield pa.array([value(x.as_py(), y.as_py()) for x, y in zip(a, b)], pa.float64())
+            found = []
+            for part in pieces([pa.record_batch([a, b], names=["a", "b"])], "a"):
+                sides = [shingle_sets(part.column(name), shingle) for name in ("a", "b")]
+                found += [value(x, y) for x, y in zip(*sides)]
+            yield pa.array(found, pa.float64())
 
     return run
 
@@ -269,7 +287,7 @@ def similar_documents(
     text_column: str = "text",
     shingle: int = 5,
     similarity: float = 0.8,
-    radius: int = 2,
+    radius: int = 1,
     rounds: int = 3,
 ) -> DataFrame:
     """(doc_id, component_id): one row per row of ``docs``; texts link at a Jaccard similarity of their word shingles of at
