@@ -186,14 +186,26 @@ def test_bad_archives_are_errors():
         warc.page_of(warc.parse_record(good.replace(b"body\r\n", b"bodY\r\n")))
 
 
+def shingles_of(text: str) -> set[tuple]:
+    words = text.encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
 def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    kept, ids = docs, [{r.doc_id for r in docs.collect()}]
+    kept, ids, texts = docs, [{r.doc_id for r in docs.collect()}], []
     for _, stage in corpus_pipeline.STAGES[:-1]:
         kept = stage(spark, kept, sf)
         assert kept.columns == docs.columns
         kept = spark.createDataFrame(kept.collect(), docs.schema)
         ids.append({r.doc_id for r in kept.collect()})
+        texts.append({r.doc_id: shingles_of(r.text) for r in kept.collect()})
+    # of texts alike, one stays; whatever goes is like some text of before
+    before, after = texts[1], texts[2]
+    for i, a in after.items():
+        assert not any(i < j and len(a & b) >= 0.8 * len(a | b) for j, b in after.items())
+    for i in before.keys() - after.keys():
+        assert any(i != j and len(before[i] & b) >= 0.8 * len(before[i] | b) for j, b in before.items())
     assert ids[1] < ids[0] and ids[2] == ids[1] and ids[3] < ids[2] and ids[4] < ids[3]
     # what is left: no toxic text, no two near copies, no benchmark item
     items = [decontaminate.normal(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
