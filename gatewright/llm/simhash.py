@@ -29,6 +29,8 @@ SHARD_ROWS = 16_384
 SAMPLE_PER_SHARD = 64
 LEAF_ROWS = 512
 PROBE_ROWS = 200_000
+#: Pairs of candidates that are compared in one round, once each group had its first lead; with more, leads are added round by round.
+PAIRS_AT_ONCE = 1_000_000
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 #: Fingerprints of a text's shingle samples, and shingles in a sample: at similarity s, 1 - (1 - s ** 4) ** 12 of the pairs share one.
@@ -274,8 +276,10 @@ def similarity_of(shingle: int):
         for a, b in batches:
             found = []
             for part in pieces([pa.record_batch([a, b], names=["a", "b"])], "a"):
-                sides = [shingle_sets(part.column(name), shingle) for name in ("a", "b")]
-                found += [value(x, y) for x, y in zip(*sides)]
+                # a lead's text comes in many rows
+                sides = [part.column(name).dictionary_encode() for name in ("a", "b")]
+                sets = [shingle_sets(side.dictionary, shingle) for side in sides]
+                found += [value(sets[0][i], sets[1][j]) for i, j in zip(*(side.indices.to_pylist() for side in sides))]
             yield pa.array(found, pa.float64())
 
     return run
@@ -288,17 +292,17 @@ def similar_documents(
     shingle: int = 5,
     similarity: float = 0.8,
     radius: int = 1,
-    rounds: int = 3,
 ) -> DataFrame:
     """(doc_id, component_id): one row per row of ``docs``; texts link at a Jaccard similarity of their word shingles of at
     least ``similarity``, and the component's id is the smallest id reachable.
 
     Every link is checked on the whole texts. Candidates are texts with a sample fingerprint within ``radius`` bits. In each round
-    all texts of such a group are compared with one text of it, chosen anew, unless both are linked already: comparisons grow
-    with the texts, not with their pairs. So a component can stay in parts if no chosen text connects them; recall is measured in
-    the tests. Texts that are null, empty or blank are alike. A text under ``shingle`` words is one shingle. A null id names no
-    component unless all ids of it are null. Repeated rows stay. An empty table gives an empty result. Other columns are not read.
-    Equal texts are told by a 64-bit hash.
+    all texts of such a group are compared with some of it that were not compared before, first with the one that shares most
+    groups, unless both are linked already; a group is done when the texts not yet compared are linked. So all pairs of candidates
+    are compared or linked, and a family of near copies takes as many comparisons as it has texts; only a group whose texts stay
+    apart takes as many as it has pairs. Texts that are null, empty or blank are alike. A text under ``shingle`` words is one
+    shingle. A null id names no component unless all ids of it are null. Repeated rows stay. An empty table gives an empty result.
+    Other columns are not read. Equal texts are told by a 64-bit hash.
 
     Scale: sketches of about 120 bytes are shuffled; texts only of candidates, once per comparison.
     """
@@ -312,27 +316,35 @@ def similar_documents(
     near = connected_components(near_links(points, points.count(), radius)).select(F.col("node").alias("fp"), "label")
     exploded = bodies.select("body", "first", "n", F.explode("fps").alias("fp"))
     groups = exploded.join(near, "fp", "left").select(F.coalesce("label", "fp").alias("label"), "body", "first", "n").distinct()
-    shared = groups.groupBy("label").agg(F.count("*").alias("texts")).where("texts > 1").select("label")
+    shared = groups.groupBy("label").agg(F.count("*").alias("texts")).where("texts > 1")
     groups = cut_lineage(groups.join(cut_lineage(shared, "shared-groups"), "label"), "candidates")
     texts = cut_lineage(
         source.join(groups.select("body").distinct(), "body", "left_semi").groupBy("body").agg(F.first("text").alias("text")),
         "candidate-texts",
     )
-    links, labels = None, None
-    for turn in range(rounds):
-        # the smallest id first, then a text drawn for each group
-        order = F.struct("first", "body") if turn == 0 else F.struct(F.xxhash64("body", "label", F.lit(turn)), "body")
-        now = groups
-        if labels is not None:
-            now = groups.join(labels, groups["body"] == labels["node"], "left").select(
-                groups["*"], F.coalesce(labels["label"], "body").alias("part")
-            )
+    mates = cut_lineage(groups.groupBy("body").agg(F.sum("texts").alias("mates")), "mates")
+    rest, labels, most, turn = groups.drop("texts").join(mates, "body"), bodies.select(F.col("body").alias("node"), F.col("body").alias("label")).limit(0), 1, 0
+    while True:
+        # texts of a group that were no lead yet; those of a single part are all linked
+        now = rest.join(labels.select(F.col("node").alias("body"), F.col("label").alias("part")), "body", "left")
+        now = cut_lineage(now.withColumn("part", F.coalesce("part", "body")), "candidate-parts")
+        apart = now.groupBy("label").agg(F.count("*").alias("texts"), F.min("part").alias("low"), F.max("part").alias("high"))
+        apart = cut_lineage(apart.where("low <> high").select("label", "texts"), "open-groups")
+        pairs_left = apart.agg(F.sum(F.col("texts").cast("double") * F.col("texts"))).first()[0]
+        if not pairs_left:
+            break
+        now = cut_lineage(now.join(apart.select("label"), "label", "left_semi"), "open-texts")
+        last = bool(turn) and pairs_left <= PAIRS_AT_ONCE
+        lead = F.struct("body", "n", "part")
+        if last:
+            leads = now.select("label", lead.alias("lead"))
         else:
-            now = now.withColumn("part", F.col("body"))
-        now = cut_lineage(now, "candidate-parts")
-        lead = now.groupBy("label").agg(F.min_by(F.struct("body", "n", "part"), order).alias("lead"))
+            # drawn by the text alone, so a text leads in all its groups at the same time
+            order = F.struct(-F.col("mates"), "first", "body") if turn == 0 else F.struct(F.xxhash64("body", F.lit(turn)), "body")
+            draw = F.pmod(F.xxhash64("body", F.lit(turn), F.lit("draw")), F.lit(most))
+            leads = cut_lineage(now.groupBy("label", draw.alias("draw")).agg(F.min_by(lead, order).alias("lead")).drop("draw"), "leads")
         pairs = (
-            now.join(cut_lineage(lead, "leads"), "label")
+            now.join(leads, "label")
             .where(F.col("part") != F.col("lead.part"))
             .where(F.least("n", "lead.n") >= F.lit(similarity) * F.greatest("n", "lead.n"))
             .select(F.least("body", "lead.body").alias("a"), F.greatest("body", "lead.body").alias("b"))
@@ -342,8 +354,12 @@ def similar_documents(
         right = texts.select(F.col("body").alias("b"), F.col("text").alias("y"))
         compared = cut_lineage(pairs, "pairs").join(left, "a").join(right, "b")
         found = cut_lineage(compared.where(similarity_of(shingle)("x", "y") >= similarity).select("a", "b"), "similar")
-        links = found if links is None else links.unionByName(found)
+        links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(found)
         labels = cut_lineage(connected_components(links), "parts")
+        if last:
+            break
+        taken = leads.select("label", F.col("lead.body").alias("body"))
+        rest, most, turn = now.drop("part").join(taken, ["label", "body"], "left_anti"), most * 8, turn + 1
     named = bodies.join(labels, bodies["body"] == labels["node"], "left").select(
         "body", "first", F.coalesce("label", "body").alias("label")
     )

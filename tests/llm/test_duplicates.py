@@ -97,6 +97,28 @@ def test_similar_documents_equal_brute_force(spark):
     assert len({g for _, g in want}) < len(rows) - 18
 
 
+def test_copies_of_a_late_original_and_a_chain_are_whole(spark, monkeypatch):
+    draw = random.Random(8)
+    base = [f"w{i}" for i in range(100)]
+    family = {10_000: " ".join(base)}
+    for i in range(1000):
+        body = base[:]
+        for at in draw.sample(range(100), 2):
+            body[at] = f"edit{i}at{at}"
+        family[i] = " ".join(body)
+    original = brute_shingles(family[10_000])
+    alike = {i for i, t in family.items() if len(original & brute_shingles(t)) >= 0.8 * len(original | brute_shingles(t))}
+    found = dict(tuple(r) for r in simhash.similar_documents(docs_of(spark, list(family.items()))).collect())
+    # a pair of similarity 0.81 is a candidate with probability 0.998
+    assert len(alike) > 990 and sum(found[i] == found[10_000] for i in alike) >= len(alike) - 12
+    # each text is like its neighbours only, so no single lead connects them; with few pairs at once, leads are added by rounds
+    words = [f"c{i}" for i in range(400)]
+    chain = [(i, " ".join(words[2 * i : 2 * i + 100])) for i in range(150)]
+    for most in (simhash.PAIRS_AT_ONCE, 100):
+        monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", most)
+        assert {r.component_id for r in simhash.similar_documents(docs_of(spark, chain)).collect()} == {0}
+
+
 def test_similar_documents_of_nothing(spark):
     assert simhash.similar_documents(docs_of(spark, [])).count() == 0
 
