@@ -20,10 +20,9 @@ from pyspark.sql import functions as F
 
 from gatewright.llm.texts import SPACE, U64, as_bytes, buffer_of, pieces
 
-#: Bytes of a piece that are looked up at every place of a text.
-HEAD = 8
-#: Code points of a piece at least: shorter ones are hit everywhere.
-PIECE = 12
+#: Bytes of a piece that are looked up at every place of a text: the most that all pieces of its item have.
+HEADS = (8, 5, 3)
+HEAD = HEADS[0]
 BITS = 20
 ERROR_RATE = 0.1
 BLOCK_BYTES = 4 << 20
@@ -39,8 +38,8 @@ def normal(text: str | None) -> str:
 
 
 def budget(length: int, rate: float) -> int:
-    """Edits allowed for an item of so many code points; each of the k + 1 pieces keeps at least ``PIECE`` of them."""
-    return max(0, min(int(length * rate), length // PIECE - 1))
+    """Edits allowed for an item of so many code points."""
+    return int(length * rate)
 
 
 def distance_ends(pattern: str, text: str, k: int) -> tuple[int, int] | None:
@@ -73,34 +72,61 @@ def distance_ends(pattern: str, text: str, k: int) -> tuple[int, int] | None:
 
 @dataclass
 class Index:
-    """Pieces of a block of items: sorted heads, the piece of each head, and a bitmap of the heads' hashes."""
+    """Pieces of a block of items: for each length of heads, the sorted heads, the pieces of each, and a bitmap of the heads' hashes."""
 
     items: list[tuple[int, str, int]]  # id, normal text, budget
-    heads: np.ndarray
-    owner: list[list[tuple]]  # per distinct head: (item, byte offset of the piece, piece, runs it is in: (offset, text, edits))
-    short: list[int]
-    seen: np.ndarray
+    tiers: list[tuple]  # (bytes of a head, heads, pieces per head, bitmap)
+    short: list[int]  # items searched without pieces
 
     @classmethod
     def of(cls, items: list[tuple[int, str]], rate: float) -> Index:
-        kept, by_head, short = [], {}, []
+        kept, tiers, short = [], {}, []
         for i, (name, text) in enumerate(items):
             k = budget(len(text), rate)
             kept.append((name, text, k))
-            if len(text.encode()) < HEAD:
+            cuts = [len(text) * p // (k + 1) for p in range(k + 2)]
+            parts = [text[a:b].encode() for a, b in zip(cuts, cuts[1:])]
+            size = next((h for h in HEADS if h <= min(map(len, parts))), 0)
+            if not size:
                 short.append(i)
                 continue
-            cuts = [len(text) * p // (k + 1) for p in range(k + 2)]
-            for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                piece = text[a:b].encode()
-                runs = [(len(text[: cuts[x]].encode()), text[cuts[x] : cuts[y]], y - x - 1) for x, y in _halves(p, k + 1)]
-                by_head.setdefault(int.from_bytes(piece[:HEAD], "little"), []).append(
-                    (i, len(text[:a].encode()), piece, runs)
-                )
-        heads = np.array(sorted(by_head), U64)
-        seen = np.zeros(1 << BITS, bool)
-        seen[_slot(heads)] = True
-        return cls(kept, heads, [by_head[int(h)] for h in heads], short, seen)
+            at = np.cumsum([0, *map(len, parts)]).tolist()
+            for p, piece in enumerate(parts):
+                runs = [_run(parts, at, text[cuts[x] : cuts[y]], p, x, y) for x, y in _halves(p, k + 1)]
+                head = int.from_bytes(piece[:size], "little")
+                tiers.setdefault(size, {}).setdefault(head, []).append((i, at[p], piece, runs))
+        out = []
+        for size, by_head in tiers.items():
+            heads = np.array(sorted(by_head), U64)
+            seen = np.zeros(1 << BITS, bool)
+            seen[_slot(heads)] = True
+            out.append((size, heads, [by_head[int(h)] for h in heads], seen))
+        return cls(kept, out, short)
+
+
+def _run(parts: list[bytes], at: list[int], text: str, p: int, x: int, y: int) -> tuple:
+    """(byte offset, text, its bytes, edits, near, far) of a run of the pieces x to y that holds the piece p. ``near`` and ``far``, for two pieces:
+    byte offset and bytes of the halves of the other piece; with a single edit, near stays in its place or far is within 4 bytes of it."""
+    near = far = None
+    if y - x == 2:
+        other = parts[x + y - 1 - p]
+        cut = len(other) // 2
+        while other[cut] & 0xC0 == 0x80:
+            cut -= 1
+        ends = (at[x + y - 1 - p], other[:cut]), (at[x + y - 1 - p] + cut, other[cut:])
+        near, far = ends if x == p else ends[::-1]
+    return at[x], text, at[y] - at[x], y - x - 1, near, far
+
+
+def _may_hold(raw: bytes, origin: int, start: int, end: int, run: tuple) -> bool:
+    """Whether the run can be at its place; ``origin``: where the item would begin."""
+    offset, text, size, k, near, far = run
+    if near:
+        if raw.startswith(near[1], max(0, origin + near[0])) and origin + near[0] >= start:
+            return True
+        place = origin + far[0]
+        return raw.find(far[1], max(start, place - 4), min(end, place + len(far[1]) + 4)) >= 0
+    return distance_ends(text, _window(raw, start, end, origin + offset, size, k)[1], k) is not None
 
 
 def _halves(piece: int, n: int) -> list[tuple[int, int]]:
@@ -139,35 +165,38 @@ def search(texts: pa.BinaryArray, index: Index) -> list[tuple[int, int, int, int
     """(row, item, distance, end in code points of the compared text) of each item found in each text."""
     data, starts = _folded(texts)
     found, raw = [], data.tobytes()
-    if len(data) > HEAD and len(index.heads):
-        # the HEAD bytes at each place as one number, by doubling
+    diagonals: dict[tuple[int, int], list[int]] = {}
+    for size, heads, owner, seen in index.tiers:
+        if len(data) <= HEAD:
+            continue
+        # the first bytes at each place as one number
         head = data[:-7].astype(U64)
-        for i in range(1, HEAD):
+        for i in range(1, size):
             head |= data[i : len(data) - 7 + i].astype(U64) << U64(8 * i)
-        at = np.flatnonzero(index.seen[_slot(head)])
-        which = np.minimum(np.searchsorted(index.heads, head[at]), len(index.heads) - 1)
-        exact = index.heads[which] == head[at]
+        at = np.flatnonzero(seen[_slot(head)])
+        which = np.minimum(np.searchsorted(heads, head[at]), len(heads) - 1)
+        exact = heads[which] == head[at]
         at, which = at[exact], which[exact]
         rows = np.searchsorted(starts, at, "right") - 1
-        diagonals: dict[tuple[int, int], list[int]] = {}
         for place, w, row in zip(at.tolist(), which.tolist(), rows.tolist()):
-            for item, offset, piece, runs in index.owner[w]:
-                start, end = int(starts[row]), int(starts[row + 1]) - 16
-                if raw.startswith(piece, place) and all(
-                    distance_ends(text, _window(raw, start, end, place - offset + o, len(text.encode()), k)[1], k)
-                    for o, text, k in runs
-                ):
+            start, end = int(starts[row]), int(starts[row + 1]) - 16
+            for item, offset, piece, runs in owner[w]:
+                if raw.startswith(piece, place) and all(_may_hold(raw, place - offset, start, end, run) for run in runs):
                     diagonals.setdefault((row, item), []).append(place - offset)
-        for (row, item), shifts in diagonals.items():
-            best = _best(raw, int(starts[row]), int(starts[row + 1]) - 16, index.items[item], sorted(set(shifts)))
-            if best:
-                found.append((row, item, *best))
+    for (row, item), shifts in diagonals.items():
+        best = _best(raw, int(starts[row]), int(starts[row + 1]) - 16, index.items[item], sorted(set(shifts)))
+        if best:
+            found.append((row, item, *best))
     for item in index.short:
-        body = index.items[item][1].encode()
+        _, text, k = index.items[item]
+        body = text.encode()
         for row in range(len(starts) - 1) if body else []:
-            place = raw.find(body, int(starts[row]), int(starts[row + 1]) - 16)
-            if place >= 0:
-                found.append((row, item, 0, len(raw[int(starts[row]) : place].decode()) + len(body.decode())))
+            start, end = int(starts[row]), int(starts[row + 1]) - 16
+            if k:
+                got = distance_ends(text, raw[start:end].decode(), k)
+                found += [(row, item, *got)] if got else []
+            elif (place := raw.find(body, start, end)) >= 0:
+                found.append((row, item, 0, len(raw[start:place].decode()) + len(text)))
     return found
 
 
@@ -226,10 +255,10 @@ def contaminated(
     rate: float = ERROR_RATE,
 ) -> DataFrame:
     """(doc_id, item_id, distance, end_char): a row per document row and benchmark item that it holds with at most
-    ``budget`` edits (a tenth of the item's code points, fewer where pieces would get shorter than ``PIECE``).
+    ``budget`` edits (a tenth of the item's code points).
 
     ``distance`` is the smallest one of the item in the text, ``end_char`` where that occurrence ends in the compared form.
-    Items under ``HEAD`` bytes must occur exactly. Null and empty texts hold nothing; null and blank items match nothing; null
+    Items under ten code points must occur exactly. Null and empty texts hold nothing; null and blank items match nothing; null
     ids and repeated rows stay as they are. Equal items are reported each. Empty tables give an empty result.
 
     Scale: the benchmark is a stated query set, held against all rows in blocks of 4 MB of item text; texts are not shuffled.

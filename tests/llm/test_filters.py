@@ -69,6 +69,26 @@ def test_contamination_equals_brute_force(spark, sf):
     assert sorted([r.doc_id for r in kept.collect()], key=str) == sorted([i for i, _ in rows if i not in bad], key=str)
 
 
+def test_items_with_a_tenth_of_edits_are_found():
+    import pyarrow as pa
+
+    draw = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz é世"
+    for rate in (0.1, 0.3):
+        for length in [*range(6, 48), 60, 100, 233]:
+            item = decontaminate.normal("".join(draw.choice(letters) for _ in range(length)) + "é" * length)[:length]
+            texts = []
+            for edits in {0, length * int(rate * 10) // 10, length * int(rate * 10) // 10 + 1, length // 12}:
+                for _ in range(3):
+                    body = list(item)
+                    for at in draw.sample(range(length), min(edits, length)):
+                        body[at] = draw.choice(["", "#", body[at] + "#"])
+                    texts.append(decontaminate.normal("lead " + "".join(body) + " tail"))
+            want = {(i, d) for i, t in enumerate(texts) if 10 * (d := distance_in(item, t)) <= length * int(rate * 10)}
+            index = decontaminate.Index.of([(1, item)], rate)
+            assert {(r, d) for r, _, d, _ in decontaminate.search(pa.array([t.encode() for t in texts], pa.binary()), index)} == want
+
+
 def test_contamination_of_and_by_nothing(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     docs = docs_of(spark, [(1, "some text")])
