@@ -1,7 +1,7 @@
 """Secret scan: candidate strings, and a random forest that tells secrets from harmless strings. DataFrame functions only.
 
-A candidate is a value of at least ``LEAST`` characters with a digit among them: a whole word, or what stands behind ``=`` or ``:``
-in it. The forest sees the value's length and make-up, changes between character classes, how much of its letters are words
+A candidate is whatever stands behind ``=`` or ``:`` and a name that tells of secrets, of any length and with or without digits; and
+any other value of at least ``LEAST`` characters with a digit among them. A word may hold several. The forest sees the value's length and make-up, changes between character classes, how much of its letters are words
 of the corpus, the document's path, and the words before and after.
 """
 
@@ -26,9 +26,15 @@ TRAINING_ROWS = 20_000
 TREES, DEPTH, SEED = 40, 8, 7
 HELD_OUT = 5
 BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
-#: One or two signs, a name, a value: ``key=value``, ``key: "value"`` or the bare value.
-VALUE = r"^[^A-Za-z0-9]*(?:([A-Za-z_][A-Za-z_0-9\-]*)[=:]+[\"']?)?([A-Za-z0-9+/_=@:.\-]{%d,}?)[^A-Za-z0-9+/_=]*$" % LEAST
+#: A name, if any, and a value: ``key=value``, ``"key":"value"`` or the bare value.
+VALUE = r"(?:(?<![A-Za-z_0-9\-])([A-Za-z_][A-Za-z_0-9\-]*)[\"'\\]*[=:]+[\"'\\]*)?(?<![A-Za-z0-9+/_=])([A-Za-z0-9+/_=@:.\-]{%d,}(?<![@:.\-]))" % LEAST
 KEY_WORDS = "passw|passphrase|pwd|secret|token|api|key|auth|cred"
+#: What stands behind an assignment: up to the closing quote, or up to a sign that parts values.
+ASSIGNED = r"(?:\"([^\"]+)|'([^']+)|([^\s\"'\\,;&?<>(){}\[\]]*[^\s\"'\\,;&?<>(){}\[\].:=]))"
+SECRET_NAME = r"(?i)(?<![A-Za-z_0-9\-])([A-Za-z_0-9\-]*(?:%s|pass)[A-Za-z_0-9\-]*)" % KEY_WORDS
+KEYED = SECRET_NAME + r"[\"'\\]*[=:]+>?\\?" + ASSIGNED
+#: The value of ``key = value``, where blanks part key, sign and value.
+BEHIND = r"^\\?" + ASSIGNED
 NEIGHBOUR_BINS = 8
 FEATURES = [
     "length", "digits", "uppers", "lowers", "signs", "hexes", "distinct", "changes", "dots", "ats", "coverage", "path_bin",
@@ -36,17 +42,40 @@ FEATURES = [
 ]
 
 
+def values(word: Column, before: Column, before2: Column) -> Column:
+    """Array of (name, value): the candidates in a word that stands behind two others."""
+
+    def found(text: Column, pattern: str, name: int, *groups: int) -> Column:
+        parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in groups]
+        names = F.regexp_extract_all(text, F.lit(pattern), F.lit(name)) if name else F.transform(parts[0], lambda p: F.lit(""))
+        return F.transform(names, lambda n, j: F.struct(F.lower(n).alias("name"), F.concat(*[F.get(p, j) for p in parts]).alias("value")))
+
+    none = F.filter(F.array(F.struct(F.lit("").alias("name"), F.lit("").alias("value"))), lambda x: F.lit(False))
+    # what one kind of candidate took, the next does not see
+    named = word.rlike("[=:]") & word.rlike("(?i)pass|" + KEY_WORDS)
+    left = F.when(named, F.regexp_replace(word, KEYED, " ")).otherwise(word)
+    sign = before.isin("=", ":", ":=", "=>", "==") & before2.rlike(SECRET_NAME)
+    follows = sign | (before.rlike("[=:]>?$") & before.rlike(SECRET_NAME + r"[\"'\\]*[=:]+>?$"))
+    rest = F.when(follows, F.regexp_replace(left, BEHIND, " ")).otherwise(left)
+    digits = (F.length(word) >= LEAST) & word.rlike("[0-9]")
+    return F.array_distinct(F.concat(
+        F.when(named, found(word, KEYED, 1, 2, 3, 4)).otherwise(none),
+        F.when(follows, found(left, BEHIND, 0, 1, 2, 3)).otherwise(none),
+        F.when(digits, F.filter(found(rest, VALUE, 1, 2), lambda x: x["value"].rlike("[0-9]"))).otherwise(none),
+    ))
+
+
 def candidates(docs: DataFrame, id_column: str, text_column: str, path_column: str) -> DataFrame:
-    """(doc_id, position, name, value, path, before2, before, after): a row per candidate word; ``position`` counts words from 0."""
+    """(doc_id, position, name, value, path, before2, before, after): a row per candidate; ``position`` counts words from 0."""
     words = docs.select(
         F.col(id_column).cast("long").alias("doc_id"),
         F.coalesce(F.col(path_column).cast("string"), F.lit("")).alias("path"),
         F.split(F.coalesce(F.col(text_column), F.lit("")), BLANKS, -1).alias("w"),
     )
-    hit = F.filter(
-        F.transform("w", lambda w, i: F.struct(i.alias("i"), w.alias("w"))),
-        lambda x: (F.length(x["w"]) >= LEAST) & x["w"].rlike("[0-9]") & x["w"].rlike(VALUE),
-    )
+    hit = F.flatten(F.transform("w", lambda w, i: F.transform(
+        values(w, F.lower(F.coalesce(F.get("w", i - 1), F.lit(""))), F.lower(F.coalesce(F.get("w", i - 2), F.lit("")))),
+        lambda v: F.struct(i.alias("i"), v["name"].alias("name"), v["value"].alias("value")),
+    )))
     rows = words.withColumn("hit", F.explode(hit))
 
     def near(step: int) -> Column:
@@ -55,7 +84,7 @@ def candidates(docs: DataFrame, id_column: str, text_column: str, path_column: s
     blank = F.when(F.get("w", F.lit(0)) == "", F.lit(1)).otherwise(F.lit(0))
     return rows.select(
         "doc_id", (F.col("hit.i") - blank).cast("long").alias("position"), "path",
-        F.lower(F.regexp_extract("hit.w", VALUE, 1)).alias("name"), F.regexp_extract("hit.w", VALUE, 2).alias("value"),
+        "hit.name", "hit.value",
         near(-2).alias("before2"), near(-1).alias("before"), near(1).alias("after"),
     )
 
