@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,23 +41,46 @@ def sections_of(docs: DataFrame, sections: DataFrame, id_column: str = "doc_id")
     return docs.join(spans, id_column, "left")
 
 
+def holders(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(points, place): from each point to the next, the last of the sections sorted by start that holds it; -1 where none does."""
+    if len(start) and (start[1:] >= end[:-1]).all() and (end > start).all():
+        # disjoint: a section, then a gap that may be empty
+        points = np.stack([start, end], 1).ravel()
+        return points, np.stack([np.arange(len(start)), np.full(len(start), -1)], 1).ravel()
+    points = np.unique(np.concatenate([start, end]))
+    place, open_, i = np.full(len(points), -1), [], 0
+    for k, point in enumerate(points.tolist()):
+        while i < len(start) and start[i] <= point:
+            heapq.heappush(open_, -i)
+            i += 1
+        while open_ and end[-open_[0]] <= point:
+            heapq.heappop(open_)
+        if open_:
+            place[k] = -open_[0]
+    return points, place
+
+
 def owners(tokens: np.ndarray, start: np.ndarray, end: np.ndarray, rule: str) -> np.ndarray:
     """For each token span the place of its section among sections sorted by start, or -1 if it is in none.
 
     ``start``: the section that holds the token's first code point; ``end``: its last one; ``most``: the one that holds most of
-    it, the earlier of equals. Where sections overlap, the one that starts last counts, as long as it lasts.
+    it, the earlier of equals. Where sections overlap, the one that starts last counts, as long as it lasts; then those around it
+    that still last count again.
     """
+    points, place = holders(start, end)
+
+    def part(point: np.ndarray) -> np.ndarray:
+        return np.searchsorted(points, point, "right") - 1
 
     def at(point: np.ndarray) -> np.ndarray:
-        place = np.searchsorted(start, point, "right") - 1
-        return np.where((place >= 0) & (point < end[place]), place, -1) if len(start) else np.full(len(point), -1)
+        return np.where(part(point) >= 0, place[part(point)], -1) if len(points) else np.full(len(point), -1)
 
     first, last = tokens[:, 0], np.maximum(tokens[:, 1] - 1, tokens[:, 0])
     head, tail = at(first), at(last)
     if rule != "most":
         return head if rule == "start" else tail
     best = head.copy()
-    for i in np.flatnonzero(head != tail):
+    for i in np.flatnonzero(part(first) != part(last)):
         inside = np.array([at(np.array([c]))[0] for c in range(first[i], last[i] + 1)])
         found, where, n = np.unique(inside[inside >= 0], return_index=True, return_counts=True)
         best[i] = found[np.lexsort((where, -n))[0]] if len(found) else -1

@@ -116,7 +116,7 @@ def without_repeated_lines(
     rows = docs.withColumns({"__id": ident, "__body": F.xxhash64(text)}).join(gone, ["__id", "__body"], "left")
     parts = F.split(text, "\n", -1)
     rows = rows.withColumns({"__lines": parts, "__n_lines": F.size(parts).cast("long")})
-    n = F.size("__gone")
+    n = F.array_size("__gone")  # null without dropped lines, whatever the ANSI setting
     # kept lines are the slices between dropped ones
     slices = F.transform(
         F.sequence(F.lit(0), n),

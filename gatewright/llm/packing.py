@@ -61,8 +61,9 @@ def pack(
     """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
     A document is its ids and a final ``END_ID``; null and empty texts are that id alone. Whole lengths of a document are
-    sequences of their own; the rests are packed in groups of about ``group_docs`` documents, dealt by a hash of id and text,
-    with one partly filled sequence's worth of padding per group. Null ids and repeated rows are documents like any other.
+    sequences of their own; the rests are packed in groups of about ``group_docs`` documents, dealt by a hash of the row's number,
+    with one partly filled sequence's worth of padding per group. Null ids and repeated rows are documents like any other, repeated
+    ones not in one group. ``docs`` is read from files, so that a row has the same number if its task runs again.
     An empty table has no pieces. ``sequence_id`` is unique over the whole table, not dense.
 
     Scale: ids of rests only (under ``length`` per document) are shuffled, texts are not; a group is a bounded task.
@@ -70,9 +71,8 @@ def pack(
     path = vocabulary or default_vocabulary()
     groups = max(1, -(-docs.count() // group_docs))
     ident, text = F.col(id_column).cast("long"), as_bytes(text_column)
-    rows = docs.select(
-        ident.alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64(ident, text), F.lit(groups)).cast("int").alias("grp")
-    )
+    number = F.xxhash64(F.monotonically_increasing_id())
+    rows = docs.select(ident.alias("doc_id"), text.alias("text"), F.pmod(number, F.lit(groups)).cast("int").alias("grp"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)

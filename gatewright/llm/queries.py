@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatewright.llm import attribution, decontaminate, lines, packing, secret_scan, simhash, sketches, substrings, toxicity, warc
+from gatewright.llm import (
+    attribution,
+    best_fit,
+    decontaminate,
+    lines,
+    merkle,
+    negatives,
+    packing,
+    secret_scan,
+    simhash,
+    sketches,
+    substrings,
+    toxicity,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -76,6 +90,21 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_manifest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(negatives.scaled(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
 CHECKS["op4_substring_dedup"] = """
 WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
@@ -131,3 +160,81 @@ SELECT page_id, n AS payload_bytes, d.digest AS payload_digest,
        CASE WHEN page_id < f.first THEN f.first END AS refers_to
 FROM d LEFT JOIN f ON d.digest = f.digest AND n >= 1000
 """
+
+CHECKS["op11_merkle_manifest"] = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS grp,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         CAST(n_chars AS HUGEINT) AS n_chars, coalesce(strlen(text) || ':' || text, '-') AS tail,
+         list_reduce(
+           list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+           lambda a, b: list_reduce(
+             list_prepend(xor(a, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+             lambda r, z: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END
+           )
+         ) AS crc
+  FROM documents
+), e AS (
+  SELECT doc_id, grp, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+         CASE WHEN xor(crc, 4294967295) % 7 = 0
+              THEN sha256(head || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) END AS changed
+  FROM d
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY grp) AS n FROM e
+), t(grp, lvl, i, h, n) AS (
+  SELECT grp, 0, place, leaf, n FROM p
+  UNION ALL
+  SELECT grp, lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY grp, lvl, i // 2, n
+), g AS (
+  SELECT grp, h AS subroot, lvl AS height, row_number() OVER (ORDER BY grp) - 1 AS place, count(*) OVER () AS n FROM t WHERE n = 1
+), u(lvl, i, h, n) AS (
+  SELECT 0, place, subroot, n FROM g
+  UNION ALL
+  SELECT lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM u WHERE n > 1 GROUP BY lvl, i // 2, n
+), s AS (
+  -- the node beside each ancestor of a leaf, empty where it is alone in its run
+  SELECT p.grp, p.place, t.lvl, t.i % 2 = 1 AS right_node, coalesce(b.h, '') AS sibling
+  FROM p JOIN t ON t.grp = p.grp AND t.n > 1 AND t.i = p.place // CAST(pow(2, t.lvl) AS BIGINT)
+  LEFT JOIN t b ON b.grp = t.grp AND b.lvl = t.lvl AND b.i = xor(t.i, 1)
+  UNION ALL
+  SELECT p.grp, p.place, g.height + u.lvl, u.i % 2 = 1, coalesce(b.h, '')
+  FROM p JOIN g ON g.grp = p.grp JOIN u ON u.n > 1 AND u.i = g.place // CAST(pow(2, u.lvl) AS BIGINT)
+  LEFT JOIN u b ON b.lvl = u.lvl AND b.i = xor(u.i, 1)
+), f(grp, place, lvl, h) AS (
+  SELECT grp, place, 0, coalesce(changed, leaf) FROM p
+  UNION ALL
+  SELECT f.grp, f.place, f.lvl + 1, sha256(CASE WHEN right_node THEN sibling || h ELSE h || sibling END)
+  FROM f JOIN s ON s.grp = f.grp AND s.place = f.place AND s.lvl = f.lvl
+), o AS (
+  SELECT grp, place, arg_max(h, lvl) AS folded_root FROM f GROUP BY grp, place
+), x AS (
+  SELECT grp, place, sha256(string_agg(sibling, '' ORDER BY lvl)) AS proof_sha256 FROM s GROUP BY grp, place
+)
+SELECT p.doc_id, p.leaf, g.subroot, u.h AS root, coalesce(x.proof_sha256, sha256('')) AS proof_sha256, o.folded_root,
+       o.folded_root = u.h AS verified
+FROM p JOIN g ON g.grp = p.grp JOIN u ON u.n = 1 JOIN o ON o.grp = p.grp AND o.place = p.place
+LEFT JOIN x ON x.grp = p.grp AND x.place = p.place
+"""
+
+CHECKS["op13_hard_negatives"] = """
+WITH e AS (
+  SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+), n AS (
+  SELECT p.anchor_id, positive_id, other_id AS negative_id, positive_score, score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""

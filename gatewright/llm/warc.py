@@ -270,17 +270,31 @@ def _batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names[: len(rows[0])])
 
 
+def drawn_payloads(payloads: DataFrame, most: int = SAMPLES, most_bytes: int = SAMPLE_BYTES) -> list[bytes]:
+    """At most ``most`` different payloads of 1 to ``most_bytes`` bytes, drawn by their hashes.
+
+    Hashes are drawn first: those under a threshold that some four times as many as wanted stay under, each once. Only the payloads of
+    the smallest ``most`` are then fetched, so what tasks send to the driver doesn't grow with their number.
+    """
+    hashed = payloads.where(F.octet_length("payload").between(1, most_bytes)).select("payload", F.xxhash64("payload").alias("hash"))
+    there = hashed.agg(F.approx_count_distinct("hash")).first()[0]
+    share = min(1.0, 4 * most / max(there, 1))
+    few = hashed.where(F.pmod("hash", F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("hash").distinct()
+    hashes = [r[0] for r in few.orderBy("hash").limit(most).collect()]
+    found = hashed.where(F.col("hash").isin(hashes)).groupBy("hash").agg(F.first("payload").alias("payload"))
+    return [bytes(r["payload"]) for r in sorted(found.collect(), key=lambda r: r["hash"])]
+
+
 def archive_pages(
     pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", least: int = REVISIT_BYTES
 ) -> tuple[DataFrame, str]:
     """Write all pages and return (manifest, folder). Null html is an empty payload; an empty table gives no archive.
 
     Scale: html is shuffled once by its digest (hot payloads split by AQE); an archive holds about 16 MB compressed. The driver
-    sees at most ``SAMPLES`` payloads of ``SAMPLE_BYTES`` for the dictionary.
+    sees some hashes and ``SAMPLES`` payloads of at most ``SAMPLE_BYTES`` for the dictionary, however many tasks there are.
     """
     folder = scratch_dir(pages.sparkSession, "warc")
     folder = folder if "://" in folder or folder.startswith("/") else folder.replace("file:", "file://", 1)
-    drawn = pages.select(as_bytes(html_column).alias("payload")).where(F.octet_length("payload").between(1, SAMPLE_BYTES))
-    samples = [bytes(r[0]) for r in drawn.orderBy(F.xxhash64("payload")).limit(SAMPLES).collect()]
+    samples = drawn_payloads(pages.select(as_bytes(html_column).alias("payload")))
     rows = with_revisits(pages, id_column, url_column, html_column, least)
     return write_archives(rows, folder, train_dictionary(samples)), folder

@@ -7,11 +7,13 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from gatewright.llm import lines, queries, simhash, substrings
 from gatewright.llm.components import connected_components
+from gatewright.llm.texts import words_of
 
 SCHEMA = "doc_id long, text string, fingerprint string, spans string, id string"
 
@@ -70,70 +72,6 @@ def test_near_duplicates_of_nothing(spark):
     assert simhash.near_duplicates(docs_of(spark, [])).count() == 0
 
 
-def brute_shingles(text: str | None) -> set[str]:
-    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
-    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-
-def test_similar_documents_equal_brute_force(spark):
-    draw = random.Random(3)
-    rows = corpus(3, 40, 120)
-    base = [f"w{draw.randrange(500)}" for _ in range(150)]
-    for i in range(12):
-        body = base[:]
-        body[draw.randrange(150)] = f"edit{i}"
-        rows.append((2_000_000 - i, " ".join(body)))
-    sets = [brute_shingles(t) for _, t in rows]
-    like = [[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets]
-    group = list(range(len(rows)))
-    for _ in rows:
-        group = [min(g for g, near in zip(group, like[i]) if near) for i in range(len(rows))]
-    names = {}
-    for (i, _), g in zip(rows, group):
-        names.setdefault(g, []).append(i)
-    want = [(i, min((x for x in names[g] if x is not None), default=None)) for (i, _), g in zip(rows, group)]
-    found = [tuple(r) for r in simhash.similar_documents(docs_of(spark, rows)).collect()]
-    assert sorted(found, key=str) == sorted(want, key=str)
-    assert len({g for _, g in want}) < len(rows) - 18
-
-
-def test_copies_of_a_late_original_and_a_chain_are_whole(spark, monkeypatch):
-    draw = random.Random(8)
-    base = [f"w{i}" for i in range(100)]
-    family = {10_000: " ".join(base)}
-    for i in range(1000):
-        body = base[:]
-        for at in draw.sample(range(100), 2):
-            body[at] = f"edit{i}at{at}"
-        family[i] = " ".join(body)
-    original = brute_shingles(family[10_000])
-    alike = {i for i, t in family.items() if len(original & brute_shingles(t)) >= 0.8 * len(original | brute_shingles(t))}
-    found = dict(tuple(r) for r in simhash.similar_documents(docs_of(spark, list(family.items()))).collect())
-    # a pair of similarity 0.81 is a candidate with probability 0.998
-    assert len(alike) > 990 and sum(found[i] == found[10_000] for i in alike) >= len(alike) - 12
-    # each text is like its neighbours only, so no single lead connects them; with few pairs at once, leads are added by rounds
-    words = [f"c{i}" for i in range(400)]
-    chain = [(i, " ".join(words[2 * i : 2 * i + 100])) for i in range(150)]
-    for most in (simhash.PAIRS_AT_ONCE, 100):
-        monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", most)
-        assert {r.component_id for r in simhash.similar_documents(docs_of(spark, chain)).collect()} == {0}
-
-
-def test_similar_documents_of_nothing(spark):
-    assert simhash.similar_documents(docs_of(spark, [])).count() == 0
-
-
-def test_samples_are_equal_as_often_as_sets_are_alike():
-    draw = np.random.default_rng(7)
-    hit = 0
-    for _ in range(200):
-        words = draw.integers(0, 1 << 63, 180, dtype=np.uint64)
-        a, b = simhash.sample_fingerprints(words[:160]), simhash.sample_fingerprints(words[20:])
-        hit += int((a == b).sum())
-    assert abs(hit / (200 * simhash.SAMPLES) - (140 / 180) ** simhash.SAMPLE_SIZE) < 0.05
-    assert (simhash.sample_fingerprints(np.zeros(0, np.uint64)) == simhash.sample_fingerprints(np.zeros(1, np.uint64))).all()
-
-
 def test_shards_and_leaves_lose_no_link():
     draw = np.random.default_rng(5)
     centres = draw.integers(0, 1 << 63, 40, dtype=np.uint64)
@@ -199,6 +137,28 @@ def test_repeats_equal_brute_force(spark, seed):
     assert sorted(found, key=str) == sorted(want, key=str)
 
 
+def test_words_that_a_polynomial_cannot_tell_apart(spark):
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other, rest = word.translate(str.maketrans("ab", "ba")), " ".join(f"w{i}" for i in range(49))
+    rows = [(1, f"{word} {rest}"), (2, f"{other} {rest}"), (3, f"{word} {rest}"), (4, f"x{word} {rest}"), (5, "\0" * 8 + f" {rest}"), (6, "\0" * 9 + f" {rest}")]
+    want = brute_repeats(rows)
+    assert [r[2] for r in want] == [0, 0, 50, 0, 0, 0]
+    assert sorted(map(tuple, substrings.without_repeats(docs_of(spark, rows)).collect())) == sorted(want)
+
+
+def test_hashes_tell_words_apart_and_equal_ones_not():
+    draw = random.Random(4)
+    pool = ["".join(draw.choice("ab") for _ in range(draw.choice([1, 2, 7, 8, 9, 15, 16, 17, 63, 64, 65, 70]))) for _ in range(3000)]
+    words = words_of(pa.array([" ".join(pool[:1500]).encode(), b"", " ".join(pool[1500:]).encode()], pa.binary()))
+    by_word: dict = {}
+    for w, h in zip(pool, words.hashes().tolist()):
+        by_word.setdefault(w, set()).add(h)
+    assert all(len(v) == 1 for v in by_word.values())
+    assert len(set.union(*by_word.values())) == len(by_word) > 500
+
+
 def test_repeats_of_nothing(spark):
     assert substrings.without_repeats(docs_of(spark, [])).count() == 0
 
@@ -232,6 +192,16 @@ def test_lines_equal_brute_force(spark, batches, fanout):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_lines_without_ansi(spark):
+    rows = [(1, "a line of more than twenty\nx"), (2, "a line of more than twenty"), (3, "a line of more than twenty"), (4, "alone"), (5, None)]
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        found = lines.without_repeated_lines(docs_of(spark, rows)).select("doc_id", "__n_dropped", "text").collect()
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+    assert sorted(map(tuple, found)) == [(1, 1, "x"), (2, 1, ""), (3, 0, rows[2][1]), (4, 0, "alone"), (5, 0, "")]
+
+
 def test_lines_of_nothing_and_native(spark):
     found = lines.without_repeated_lines(docs_of(spark, []))
     assert found.count() == 0
@@ -242,7 +212,7 @@ def test_lines_of_nothing_and_native(spark):
 @pytest.mark.parametrize("name", sorted(queries.CHECKS))
 def test_queries_equal_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     want = con.execute(queries.CHECKS[name])
     names = [d[0] for d in want.description]

@@ -7,6 +7,7 @@ import io
 import random
 
 import pytest
+import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
@@ -230,9 +231,35 @@ def test_bad_archives_are_errors():
         warc.page_of(warc.parse_record(good.replace(b"body\r\n", b"bodY\r\n")))
 
 
-def shingles_of(text: str) -> set[tuple]:
-    words = text.encode().lower().split()
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+def test_drawn_payloads_are_few_and_different(spark):
+    rows = [(b"common",)] * 3000 + [(f"page {i}".encode(),) for i in range(4000)] + [(b"",), (b"x" * 70_000,)]
+    payloads = spark.createDataFrame(rows, "payload binary").repartition(40)
+    drawn = warc.drawn_payloads(payloads, 50, 65_536)
+    assert len(drawn) == len(set(drawn)) == 50 and drawn == warc.drawn_payloads(payloads.repartition(3), 50, 65_536)
+    assert set(warc.drawn_payloads(payloads.where("payload <= 'page 1'"), 50)) <= {b"common", b"page 0", b"page 1"}
+    assert warc.drawn_payloads(payloads.limit(0)) == []
+
+
+def brute_print(text: str | None) -> int:
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_groups(rows: list[tuple]) -> dict:
+    """The smallest id reachable, by id, over links of 2 or fewer bits."""
+    prints = [(i, brute_print(t)) for i, t in rows]
+    label = {i: i for i, _ in rows}
+    links = [(i, j) for k, (i, a) in enumerate(prints) for j, b in prints[:k] if (a ^ b).bit_count() <= 2]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in links:
+            low = min(label[i], label[j])
+            changed |= label[i] != low or label[j] != low
+            label[i] = label[j] = low
+    return label
 
 
 def test_pipeline_stages(spark, sf):
@@ -243,13 +270,9 @@ def test_pipeline_stages(spark, sf):
         assert kept.columns == docs.columns
         kept = spark.createDataFrame(kept.collect(), docs.schema)
         ids.append({r.doc_id for r in kept.collect()})
-        texts.append({r.doc_id: shingles_of(r.text) for r in kept.collect()})
-    # of texts alike, one stays; whatever goes is like some text of before
-    before, after = texts[1], texts[2]
-    for i, a in after.items():
-        assert not any(i < j and len(a & b) >= 0.8 * len(a | b) for j, b in after.items())
-    for i in before.keys() - after.keys():
-        assert any(i != j and len(before[i] & b) >= 0.8 * len(before[i] | b) for j, b in before.items())
+        texts.append([(r.doc_id, r.text) for r in kept.collect()])
+    # of texts whose fingerprints link, the smallest id stays
+    assert ids[3] == set(brute_groups(texts[1]).values())
     assert ids[1] < ids[0] and ids[2] == ids[1] and ids[3] < ids[2] and ids[4] < ids[3]
     # what is left: no toxic text, no two near copies, no benchmark item
     items = [decontaminate.normal(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
@@ -264,3 +287,23 @@ def test_pipeline_stages(spark, sf):
     run = corpus_pipeline.run(spark, sf)
     assert run.columns == pieces.columns and run.agg(F.sum("length")).first() == pieces.agg(F.sum("length")).first()
     assert run.count() == packing.pack(kept).count()
+
+
+ODD_DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, score string, fingerprint string, __gone string"
+
+
+def test_pipeline_stages_of_odd_documents(spark, sf):
+    word = "long " * 30_000
+    rows = [(1, None, None, None, None), (2, "", "en", None, 0), (3, " \n ", "", "s", 3), (4, "one text here", "en", "s", None), (4, "one text here", "en", "s", None)]
+    rows += [(None, "one text here", "de", "s", 13), (None, None, None, None, None), (5, word, "en", "s", 1), (6, "x" * 200_000, "en", "s", 2), (7, "quite another text", "en", "s", 1)]
+    for data, want in ((rows, {1, 4, 5, 6, 7}), ([], set())):
+        docs = spark.createDataFrame([(*r, "a", "b", "c", "d") for r in data], ODD_DOCS)
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = stage(spark, docs, sf)
+            got = docs.collect()
+            if k < 4:
+                assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+                docs = spark.createDataFrame(got, docs.schema)
+            if k < 2:  # without labels nothing is toxic; no line is shared by three documents
+                assert len(got) == len(data)
+        assert {r.doc_id for r in got} == want

@@ -9,11 +9,12 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gatewright.llm import attribution, encode, packing, sketches
 
-ODD = ["", " ", "a  b", "a \n b", "x\n\ny z", " lead", "trail ", "né\xa0e à", "日本 語　x", "a\tb c", "<|endoftext|> x", "🙂 ok🙂", "\n", "a b\n", "ö" * 40]
+ODD = ["", " ", "a  b", "a \n b", "x\n\ny z", " lead", "trail ", "né\xa0e à", "日本 語　x", "a\tb c", "<|endoftext|> x", "a <|endoftext|> b<|endoftext|><|endoftext|>", "é<|endoftext|>\n\n  y", "🙂 ok🙂", "\n", "a b\n", "ö" * 40]
 SCHEMA = "doc_id long, text string, start string, sections string, ids string"
 
 
@@ -28,9 +29,7 @@ def texts(spark, sf):
 
 @pytest.fixture(scope="module")
 def reference():
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_ids_and_spans_are_those_of_the_whole_text(texts, reference, monkeypatch):
@@ -80,6 +79,20 @@ def test_packing(spark, texts, reference, length, group):
     assert sequences * length - tokens < length * -(-len(rows) // group)
 
 
+def test_very_many_equal_documents_are_packed_apart(spark):
+    docs = spark.range(20_000).selectExpr("cast(null as long) AS doc_id", "'' AS text")
+    pieces = packing.pack(docs, group_docs=1000)
+    assert pieces.count() == 20_000
+    most = pieces.groupBy((F.col("sequence_id") / F.lit(1 << 32)).cast("long")).count().agg(F.max("count"), F.count("*")).first()
+    assert most[0] < 1300 and most[1] == 20
+
+
+def test_a_very_long_document_is_packed_whole(spark, reference):
+    text = "long words and short ones " * 40_000 + "end" * 100_000
+    pieces = packing.pack(docs_of(spark, [(1, text), (2, "x")])).collect()
+    assert check_packed([(1, text), (2, "x")], pieces, reference, 1024) == -(-sum(p.length for p in pieces) // 1024)
+
+
 def test_packing_nothing(spark):
     assert packing.pack(docs_of(spark, [])).count() == 0
 
@@ -135,6 +148,23 @@ def test_attribution_equals_brute_force(spark, texts, reference, rule):
     assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("rule", attribution.RULES)
+def test_attribution_to_nested_and_overlapping_sections(spark, texts, reference, rule):
+    draw = random.Random(9)
+    rows, cuts = [(i, t) for i, (_, t) in enumerate(texts[:25])], {}
+    for i, t in rows:
+        n = min(len(t), 300)
+        cuts[i] = sorted({tuple(sorted((draw.randint(0, n), draw.randint(0, n)))) for _ in range(draw.randint(0, 12))} | {(0, n), (5, 10)})
+    data = [(i, t, [(k, a, b) for k, (a, b) in enumerate(cuts[i])], "x") for i, t in rows]
+    docs = spark.createDataFrame(data, "doc_id long, text string, spans array<struct<section:long,start:long,end:long>>, n_tokens string")
+    want = []
+    for i, t, spans, _ in data:
+        own = [brute_owner(a, b, spans, rule) for a, b in reference.encode(t, add_special_tokens=False).offsets]
+        want += [(i, k, own.count(k)) for k, _, _ in spans] + ([(i, None, own.count(-1))] if -1 in own else [])
+    found = attribution.attribute_tokens(docs, docs["spans"], rule=rule).select("doc_id", "section", "n_tokens").collect()
+    assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
+
+
 def test_line_sections_cover_the_text(spark, texts):
     rows = [*texts[:20], (10**6, None), (10**6 + 1, "a\n\nb\n")]
     docs = docs_of(spark, rows)
