@@ -24,9 +24,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the document of the smallest id. Rows that share
-    an id stay or go together; a row without an id goes if its group has a document with one."""
-    found = simhash.similar_documents(docs)
+    """Of each group of near copies (fingerprints of three-word shingles at 2 or fewer differing bits) the document of the smallest id.
+    Rows that share an id stay or go together; a row without an id goes if its group has a document with one."""
+    found = simhash.near_duplicates(docs, shingle=3, radius=2)
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
 
