@@ -9,6 +9,7 @@ from gatewright import params as P
 from gatewright.functions.numbers import round_half_even_int, round_half_up
 from gatewright.functions.risk import truthy
 from gatewright.operators.ranking import running_before
+from gatewright.session import cut_lineage
 
 
 def chrono_split(history: DataFrame, ratio: float = 0.2, time: str = "ts", tie: str = "run_id") -> DataFrame:
@@ -24,18 +25,22 @@ def chrono_split(history: DataFrame, ratio: float = 0.2, time: str = "ts", tie:
 def prior_baseline(history: DataFrame, features: list[str] | None = None, time: str = "ts", tie: str = "run_id") -> DataFrame:
     """Count, mean and population deviation of each feature over strictly earlier runs of the repository."""
     features = features or P.ANOMALY_FEATURES
+    rows = cut_lineage(history, "history")
+    # squares of differences from a number near the repository's mean: those of large counts would cancel
+    centres = rows.groupBy(F.col("repo_id").alias("__repo")).agg(*[F.coalesce(F.floor(F.avg(f)), F.lit(0)).cast("double").alias(f"__c_{f}") for f in features])
+    rows = rows.join(centres, rows["repo_id"].eqNullSafe(centres["__repo"])).drop("__repo")
     values = {"n": F.lit(1)}
     for f in features:
-        values[f"{f}_s"] = F.col(f).cast("double")
-        values[f"{f}_q"] = F.col(f).cast("double") * F.col(f).cast("double")
-    placed = running_before(history, ["repo_id"], [F.col(time), F.col(tie)], values)
+        off = F.col(f).cast("double") - F.col(f"__c_{f}")
+        values |= {f"{f}_s": off, f"{f}_q": off * off}
+    placed = running_before(rows, ["repo_id"], [F.col(time), F.col(tie)], values)
     n = F.col("n_before")
     columns = []
     for f in features:
-        mean = F.try_divide(F.col(f"{f}_s_before"), n)
-        variance = F.try_divide(F.col(f"{f}_q_before"), n) - mean * mean
+        off = F.try_divide(F.col(f"{f}_s_before"), n)
+        variance = F.try_divide(F.col(f"{f}_q_before"), n) - off * off
         spread = F.when(n > 0, F.sqrt(F.greatest(variance, F.lit(0.0))))
-        columns += [round_half_up(mean, 6).alias(f"{f}_prior_mean"), round_half_up(spread, 6).alias(f"{f}_prior_std")]
+        columns += [round_half_up(off + F.col(f"__c_{f}"), 6).alias(f"{f}_prior_mean"), round_half_up(spread, 6).alias(f"{f}_prior_std")]
     return placed.select(*history.columns, n.alias("prior_runs"), *columns)
 
 
@@ -64,12 +69,13 @@ def anomaly_report(runs: DataFrame) -> DataFrame:
     """Anomaly status, reason and failure of each run; the first condition that holds decides.
 
     Input columns: load_error, ml3_scoring_blocked, ml3_scoring_block_reason, model_ready, history_rows,
-    min_rows_required, numeric_failure, prediction (-1 / 1), anomaly_score, selected_model.
+    min_rows_required, numeric_failure, prediction (-1 / 1), anomaly_score, selected_model; schema_failure if there is such a check.
     """
     loaded = F.coalesce("load_error", F.lit("")) == ""
     blocked = truthy(F.col("ml3_scoring_blocked"))
     ready = F.coalesce("model_ready", F.lit(False))
     number_fault = F.col("numeric_failure").isNotNull()
+    schema_fault = F.col("schema_failure") if "schema_failure" in runs.columns else F.lit(None).cast("string")
     # The report sentences.
     cases = [
         (~loaded, "FAILED", F.lit("ML3 current metrics unavailable or invalid"), F.col("load_error")),
@@ -78,6 +84,7 @@ def anomaly_report(runs: DataFrame) -> DataFrame:
         (~ready, "NOT_AVAILABLE",
          F.when(F.col("history_rows") < F.col("min_rows_required"), "INSUFFICIENT_HISTORY").otherwise("MODEL_NOT_TRAINED"),
          F.lit("")),
+        (schema_fault.isNotNull(), "FAILED", F.lit("Current metrics schema is incompatible with trained model"), schema_fault),
         (number_fault, "FAILED", F.lit("Current metrics contain non-numeric feature values"), F.col("numeric_failure")),
         (F.col("prediction").isNull(), "FAILED", F.lit("ML3 inference failed"), F.lit("INFERENCE_FAILED")),
         (F.col("prediction") == -1, "ANOMALOUS", F.lit("Scored using trained ML3 anomaly model"), F.lit("")),

@@ -1,62 +1,83 @@
 """Ranks, running sums and exact quantiles that do not push one hot group through one task.
 
 A window partitioned by a group key sorts a whole group in a single task. When a repository may hold a third of all
-rows that task never ends, so the order is first cut into buckets (approximate quantile bounds per group), each
-bucket is sorted on its own, and the bucket totals, which are few, supply the offsets. The result is exact whatever
-the bounds are, because buckets only ever split the order, never reorder it.
+rows that task never ends, so the rows are first cut into ranges of the whole order (group, order, row number), each
+range is sorted on its own, and the ranges' totals, which are few, supply the offsets. Even a group whose rows all agree
+in their order is cut. The result is exact whatever the bounds are, because ranges only ever split the order, never reorder it.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
-_BUCKET = "__bucket"
-_BOUNDS = "__bounds"
+from gatewright.session import cut_lineage
+
+#: Rows that a range should hold at most.
+RANGE_ROWS = 250_000
+#: Groups that a prefix of a hash should hold at most.
+PREFIX_ROWS = 4096
+
+
+def _same(left: DataFrame, right: DataFrame, names: list[tuple[str, str]]) -> Column:
+    return reduce(lambda a, b: a & b, [left[x].eqNullSafe(right[y]) for x, y in names], F.lit(True))
+
+
+def ranges_of(df: DataFrame, group: list[str], order: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``df`` with ``__range``, the number of its range, and ``__row``, which tells rows of equal order apart; both written.
+
+    Spark draws the bounds from a sample of the whole key, so a range is as large as any other, whatever a group's size or ties.
+    Writing the rows keeps a lost executor from changing the place of a row after it was counted. As many rows as fit one range
+    are one range.
+    """
+    rows = cut_lineage(df.withColumn("__row", F.monotonically_increasing_id()), "ordered")
+    ranges = -(-rows.count() // range_rows)
+    if ranges <= 1:
+        return rows.withColumn("__range", F.lit(0))
+    rows = rows.repartitionByRange(ranges, *group, *order, "__row")
+    return cut_lineage(rows.withColumn("__range", F.spark_partition_id()), "ranges")
 
 
 def running_before(
-    df: DataFrame, group: list[str], order: list[Column], values: dict[str, Column], buckets: int = BUCKETS
+    df: DataFrame, group: list[str], order: list[Column], values: dict[str, Column], range_rows: int = RANGE_ROWS
 ) -> DataFrame:
     """Add ``<name>_before`` (sum over strictly earlier rows of the group) and ``<name>_total`` for every value.
 
-    ``order[0]`` must be numeric; the rest only breaks its ties. Rows of equal ``order[0]`` share a bucket, so callers
-    that expect massive ties aggregate them first.
+    Rows that agree in ``order`` follow each other in some order. Null groups are groups, null orders come first.
     """
-    key = "__key"
-    keyed = df.withColumn(key, order[0].cast("double"))
-    for name, value in values.items():
-        keyed = keyed.withColumn(f"__v_{name}", value)
-    steps = [float(i) / buckets for i in range(1, buckets)]
-    bounds = keyed.groupBy(*group).agg(F.percentile_approx(key, steps, 1000).alias(_BOUNDS))
-    binned = keyed.join(bounds, on=group, how="left").withColumn(
-        _BUCKET, F.coalesce(F.size(F.filter(_BOUNDS, lambda b: b < F.col(key))), F.lit(0))
-    ).drop(_BOUNDS)
-    totals = binned.groupBy(*group, _BUCKET).agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in values])
-    earlier = Window.partitionBy(*group).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group)
-    for name in values:  # at most ``buckets`` rows per group
-        totals = totals.withColumn(f"__o_{name}", F.coalesce(F.sum(f"__t_{name}").over(earlier), F.lit(0)))
-        totals = totals.withColumn(f"{name}_total", F.sum(f"__t_{name}").over(whole))
-    totals = totals.drop(*[f"__t_{n}" for n in values])
-    inside = (
-        Window.partitionBy(*group, _BUCKET).orderBy(key, *order[1:]).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    local = binned.select(
-        "*", *[F.coalesce(F.sum(f"__v_{n}").over(inside), F.lit(0)).alias(f"__l_{n}") for n in values]
+    keys = {f"__k{i}": c for i, c in enumerate(order)}
+    rows = ranges_of(df.withColumns({**keys, **{f"__v_{n}": v for n, v in values.items()}}), group, list(keys), range_rows)
+    inside = Window.partitionBy(*group, "__range").orderBy(*keys, "__row").rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumns({f"__l_{n}": F.coalesce(F.sum(f"__v_{n}").over(inside), F.lit(0)) for n in values})
+    totals = rows.groupBy(*[F.col(g).alias(f"__g_{g}") for g in group], F.col("__range").alias("__r")).agg(
+        *[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in values]
     )
-    joined = local.join(totals, on=[*group, _BUCKET], how="inner")
-    for name in values:
-        joined = joined.withColumn(f"{name}_before", F.col(f"__l_{name}") + F.col(f"__o_{name}"))
-    hidden = [key, _BUCKET]
-    for name in values:
-        hidden += [f"__v_{name}", f"__l_{name}", f"__o_{name}"]
-    return joined.drop(*hidden)
+    whole = Window.partitionBy(*[f"__g_{g}" for g in group])
+    earlier = whole.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumns({
+        **{f"__o_{n}": F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)) for n in values},
+        **{f"{n}_total": F.sum(f"__t_{n}").over(whole) for n in values},
+    })
+    names = [(g, f"__g_{g}") for g in group] + [("__range", "__r")]
+    joined = local.join(totals, _same(local, totals, names))
+    before = [(F.col(f"__l_{n}") + F.col(f"__o_{n}")).alias(f"{n}_before") for n in values]
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *[f"{n}_total" for n in values], *before)
+
+
+def prefix_digits(n: int, rows: int = PREFIX_ROWS) -> int:
+    """Hex digits of a hash that part ``n`` rows into prefixes of about ``rows``."""
+    return max(1, math.ceil(math.log(max(n / rows, 1), 16)))
 
 
-def global_rank_by_hash(df: DataFrame, group: list[str], hash_column: str, prefix: int = 3) -> DataFrame:
-    """Add ``rank`` (1-based, by the hex text) and ``size``. A hash spreads evenly, so its prefix is the bucket."""
+def global_rank_by_hash(df: DataFrame, group: list[str], hash_column: str, prefix: int | None = None) -> DataFrame:
+    """Add ``rank`` (1-based, by the hex text) and ``size``. A hash spreads evenly, so its prefix is the bucket; its length
+    follows from the number of rows."""
+    if prefix is None:
+        df = cut_lineage(df, "hashed")
+        prefix = prefix_digits(df.count())
     cut = df.withColumn("__p", F.substring(hash_column, 1, prefix))
     counts = cut.groupBy(*group, "__p").agg(F.count(F.lit(1)).alias("__n"))
     base = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))

@@ -11,6 +11,7 @@ from gatewright import params as P
 from gatewright.functions import paths
 from gatewright.functions.numbers import md5_text, round_half_up
 from gatewright.operators.ranking import global_rank_by_hash, top_per_group
+from gatewright.session import cut_lineage
 
 TEST_SHARE = 0.2
 VALID_SHARE = 0.25  # of what the test split leaves
@@ -60,20 +61,25 @@ def assign_split(df: DataFrame, splits: DataFrame, group: str) -> DataFrame:
 
 def search_split(
     df: DataFrame, group: str, label: str = "label", seed: int = P.SEED, trials: int = 120, policy: str = "divergence",
-    prefix: int = 3,
+    prefix: int | None = None,
 ) -> DataFrame:
     """Score ``trials`` seeds without a driver loop and without sorting the groups once per seed.
 
-    Rows shrink to class counts per group first. Each group then carries all seeds in one array; the counts per (seed,
-    hash prefix) are combined in the map tasks, so the shuffle holds only seeds times prefixes. Whole prefixes fall into
-    one split; only the groups of the two prefixes per seed where a boundary lies are ranked one by one.
+    Rows shrink to class counts per group first, which are written. Each group then carries all seeds in one array; the counts per
+    (seed, hash prefix) are combined in the map tasks, so the shuffle holds only seeds times prefixes. Whole prefixes fall into
+    one split; only the groups of the two prefixes per seed where a boundary lies are ranked one by one. A prefix has as many digits
+    as make both about equally few: the square root of the number of groups.
 
     ``divergence``: every seed with all classes in all splits, best (smallest total L1 divergence) first.
     ``first``: the same seeds, lowest seed first.
     """
     counts = [f"n{x}" for x in P.LABELS]
     per_group = df.groupBy(group).agg(*[F.count_if(F.col(label) == x).alias(f"n{x}") for x in P.LABELS])
-    size = per_group.agg(F.count(F.lit(1)).alias("size"))
+    per_group = cut_lineage(per_group, "class-counts")
+    groups = per_group.count()
+    if prefix is None:
+        prefix = max(1, round(math.log(max(groups, 1), 16) / 2))
+    size = F.lit(groups).cast("long")
     seeds = F.sequence(F.lit(seed), F.lit(seed + trials - 1))
     drawn = per_group.select(group, *counts, F.explode(seeds).alias("seed")).withColumn(
         "__h", md5_text(F.col(group), F.col("seed"))
@@ -81,8 +87,8 @@ def search_split(
 
     cells = drawn.groupBy("seed", "__p").agg(F.count(F.lit(1)).alias("g"), *[F.sum(c).alias(c) for c in counts])
     order = Window.partitionBy("seed").orderBy("__p")  # at most 16^prefix rows per seed
-    cells = cells.withColumn("upto", F.sum("g").over(order)).withColumn("before", F.col("upto") - F.col("g"))
-    cells = cells.join(F.broadcast(size))  # one row
+    cells = cells.withColumn("upto", F.sum("g").over(order)).withColumns({"before": F.col("upto") - F.col("g"), "size": size})
+    cells = cut_lineage(cells, "split-cells")
     test, valid = _sizes(F.col("size"))
     cells = cells.withColumns({"t": test, "v": test + valid})
 

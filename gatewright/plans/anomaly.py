@@ -15,7 +15,9 @@ from gatewright.operators.neighbours import local_outlier_factor
 from gatewright.session import cut_lineage
 
 FOREST = "Isolation Forest"
+#: The mean RBF kernel to the training rows stands for a one-class SVM; reports keep that name.
 RBF = "One-Class SVM"
+LOF = "LOF"
 CONTAMINATION = 0.1
 WIDTH = len(P.ANOMALY_FEATURES)
 
@@ -27,14 +29,18 @@ def trainable(history: DataFrame, min_rows: int = P.DEFAULT_MIN_ROWS) -> DataFra
     return valid.join(enough.select("repo_id"), "repo_id", "left_semi")
 
 
+def _fit(name: str, train: DataFrame) -> DataFrame:
+    return D.fit_forest(train) if name == FOREST else D.fit_rbf(train, WIDTH)
+
+
+def _score(name: str, rows: DataFrame, model: DataFrame) -> DataFrame:
+    return D.forest_score(rows, model) if name == FOREST else D.rbf_score(rows, model, WIDTH)
+
+
 def _fit_and_score(name: str, train: DataFrame, rows: DataFrame) -> DataFrame:
     """Verdicts of one detector for scaled rows; the cut comes from its own training scores."""
-    if name == FOREST:
-        forest = D.fit_forest(train)
-        own, new = D.forest_score(train, forest), D.forest_score(rows, forest)
-    else:
-        model = D.fit_rbf(train, WIDTH)
-        own, new = D.rbf_score(train, model, WIDTH), D.rbf_score(rows, model, WIDTH)
+    model = _fit(name, train)
+    own, new = _score(name, train, model), _score(name, rows, model)
     return D.verdict(new, D.cut_at(own, CONTAMINATION)).withColumn("model", F.lit(name))
 
 
@@ -80,6 +86,26 @@ def lof_in_sample(history: DataFrame, k: int = 10) -> DataFrame:
     return E.score_range(scored, ["repo_id"], score="lof_score")
 
 
+def exploratory_rows(usable: DataFrame, evaluation: DataFrame, k: int = 10) -> DataFrame:
+    """The local outlier factor's row for each evaluated repository: a summary of its training rows, no metrics and no rank."""
+    # Fixed value: why it cannot be chosen.
+    reason = "Exploratory only: configured with novelty=False and cannot safely score unseen rows in deployed runtime."
+    counts = evaluation.groupBy("repo_id").agg(
+        F.first("normal_examples").alias("normal_examples"), F.first("synthetic_anomalies").alias("synthetic_anomalies"), F.first("seed").alias("seed")
+    )
+    return lof_in_sample(usable, k).join(counts, "repo_id").withColumns({
+        "model": F.lit(LOF), "deployment_eligible": F.lit(False), "exploratory_only": F.lit(True), "selected": F.lit(False), "reason": F.lit(reason),
+    })
+
+
+def comparison(history: DataFrame, usable: DataFrame, evaluation: DataFrame, min_rows: int) -> DataFrame:
+    """The training report: a row per repository and model where a detector was trained, else one that says why not."""
+    status = Q.training_status(history, min_rows)
+    rows = evaluation.withColumn("reason", F.lit("")).unionByName(exploratory_rows(usable, evaluation), allowMissingColumns=True)
+    trained = rows.join(status.drop("reason", "status"), "repo_id").withColumn("status", F.lit("TRAINED"))
+    return trained.unionByName(status.filter("status = 'SKIPPED'"), allowMissingColumns=True)
+
+
 def score_current(history: DataFrame, current: DataFrame, selected: DataFrame) -> DataFrame:
     """Verdicts of each repository's selected detector, refitted on all valid rows, for its current runs.
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from gatewright.operators import evaluation as E
 from gatewright.operators import quality as Q
 from gatewright.operators import splits as S
-from gatewright.operators.ranking import exact_quantile, global_rank_by_hash, running_before
+from gatewright.operators.history import prior_baseline
+from gatewright.operators.ranking import exact_quantile, global_rank_by_hash, prefix_digits, ranges_of, running_before
 
 
 def test_split_sizes_match_published_group_counts():
@@ -71,6 +72,49 @@ def test_running_sums_and_quantiles(spark):
         assert abs(cut - np.quantile([d[3] for d in data if d[0] == g], 0.1)) < 1e-12
 
 
+def test_ranges_are_bounded_whatever_the_ties(spark):
+    # one group holds most rows, all at one time, a third of them equal in every key
+    rows = spark.range(12_000).selectExpr(
+        "if(id % 10 = 0, concat('g', id % 7), 'hot') AS g", "0 AS t", "if(id % 3 = 0, 'tie', cast(id as string)) AS tie", "1 AS v", "id")
+    cut = ranges_of(rows, ["g"], ["t", "tie"], 500)
+    sizes = [r["count"] for r in cut.groupBy("__range").count().collect()]
+    assert sum(sizes) == 12_000 and max(sizes) < 1000 and len(sizes) >= 20
+    placed = running_before(rows, ["g"], [F.col("t"), F.col("tie")], {"n": F.col("v")}, 500)
+    for r in placed.groupBy("g").agg(F.count("*").alias("n"), F.countDistinct("n_before").alias("d"), F.max("n_before").alias("m"), F.max("n_total").alias("all")).collect():
+        assert r["n"] == r["d"] == r["m"] + 1 == r["all"]
+    late = placed.alias("a").where("g = 'hot' and tie <> 'tie'").selectExpr("tie", "n_before").orderBy("tie").collect()
+    assert [r["n_before"] for r in late] == sorted(r["n_before"] for r in late)
+
+
+def test_running_sums_of_null_groups_and_of_nothing(spark):
+    df = spark.createDataFrame([(None, 1, 5), (None, 2, 6), ("a", 1, 7), (None, None, 1)], "g string, t int, v int")
+    for most in (1, 100):
+        got = {(r["g"], r["t"]): (r["s_before"], r["s_total"]) for r in running_before(df, ["g"], [F.col("t")], {"s": F.col("v")}, most).collect()}
+        assert got == {(None, None): (0, 12), (None, 1): (1, 12), (None, 2): (6, 12), ("a", 1): (0, 7)}
+    assert running_before(df.limit(0), ["g"], [F.col("t")], {"s": F.col("v")}).count() == 0
+
+
+def test_prefixes_follow_the_number_of_rows():
+    assert [prefix_digits(n) for n in (0, 1, 4096, 5000, 65_536, 70_000, 10**9)] == [1, 1, 1, 1, 1, 2, 5]
+
+
+def test_deviation_of_large_counts_does_not_cancel(spark):
+    values = [1e9 + x for x in (0.0, 1.0, 2.0, 1.0, 0.0, 3.0)]
+    rows = spark.createDataFrame([("r", f"{i}", i, v) for i, v in enumerate(values)], "repo_id string, run_id string, ts long, a double")
+    got = {r["ts"]: (r["a_prior_mean"], r["a_prior_std"]) for r in prior_baseline(rows, ["a"]).collect()}
+    assert got[0] == (None, None)
+    for i in range(1, 6):
+        assert abs(got[i][0] - np.mean(values[:i])) < 1e-5 and abs(got[i][1] - np.std(np.array(values[:i]) - 1e9)) < 2e-6
+
+
+def test_first_policy_takes_the_lowest_seed(spark):
+    rows = spark.range(400).select((F.col("id") % 60).cast("string").alias("g"), (F.col("id") % 3).cast("int").alias("label"))
+    table = S.search_split(rows, "g", trials=500, policy="first").collect()
+    assert [r["seed"] for r in sorted(table, key=lambda r: r["trial_rank"])] == sorted(r["seed"] for r in table)
+    other = S.search_split(rows, "g", trials=500, policy="first", prefix=3).collect()
+    assert sorted(map(tuple, table)) == sorted(map(tuple, other))
+
+
 def test_auc_and_average_precision(spark):
     rng = np.random.default_rng(2)
     y, s = rng.integers(0, 2, 400), np.round(rng.random(400), 2)
