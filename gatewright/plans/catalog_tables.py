@@ -15,7 +15,7 @@ from gatewright.operators.features import fit_code_tfidf
 from gatewright.plans.registry import query
 from gatewright.plans.tables import Tables, glue
 from gatewright.plans.views import listed, r
-from gatewright.session import scratch_dir
+from gatewright.session import cut_lineage, scratch_dir
 from gatewright.sources import readers as S
 from gatewright.sources import sinks as K
 
@@ -54,21 +54,16 @@ def _(t: Tables):
     spark, sets = t.spark, []
     for flag in (True, False):
         path = scratch_dir(spark, "warnings")
-        rows = t.messages.filter(F.col("actionable") == flag).drop("actionable")
+        rows = cut_lineage(t.messages.filter(F.col("actionable") == flag).drop("actionable"), "warnings")
         # One JSON array per file of bounded size; the number of files grows with the data.
         fields = F.struct(*[c for c in rows.columns])
-        bucket = F.floor(F.col("ord") / 100000000 / 500)
+        bucket = F.pmod(F.xxhash64("ord"), F.lit(1 + rows.count() // 20_000))
         arrays = rows.groupBy(bucket.alias("bucket")).agg(F.to_json(F.collect_list(fields)).alias("value"))
         arrays.write.partitionBy("bucket").option("compression", "gzip").text(path)
-        sets.append(read_warnings_with_order(spark, path, flag))
+        sets.append(S.read_warnings(spark, path, flag, also="ord string"))
     return O.union_tables(*sets)
 
 
-def read_warnings_with_order(spark, path: str, flag: bool):
-    raw = spark.read.schema(S.WARNING_SCHEMA + ", ord long").option("multiLine", True).json(path)
-    return O.warning_to_alert(raw.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), flag)
-
-
 @query("src03_csv_tables", ["labelled"],
        "SELECT doc_id, split, function_code, CAST(target AS INTEGER) AS target FROM labelled")
 def _(t: Tables):

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from gatewright.functions import text
 from gatewright.functions.paths import cwe_number
 from gatewright.operators.rows import warning_to_alert
+from gatewright.sources.records import csv_records, json_array_records
 
 # Fixed value: one line of analyzer console output.
 CONSOLE_ALERT = r"(.+?):([0-9]+):[0-9]+:\s+(warning|error|note):\s+(.+)"
@@ -55,18 +56,32 @@ def read_labelled_functions(spark: SparkSession, path: str, split: str) -> DataF
     )
 
 
-def read_warnings(spark: SparkSession, path: str, is_actionable: bool, partitions: int | None = None) -> DataFrame:
-    """One gzip JSON array of warnings as alert-training rows. Gzip cannot be split, so rows are spread right after."""
+def read_warnings(
+    spark: SparkSession, path: str, is_actionable: bool, partitions: int | None = None, also: str | None = None
+) -> DataFrame:
+    """JSON arrays of warnings as alert-training rows. ``also``: further fields to keep, as a schema text.
+
+    A gzip file is cut into objects while it inflates and its rows are spread right after, as it cannot be split. Other files are
+    read whole, one task each.
+    """
     if not path_exists(spark, path):
         raise FileNotFoundError(f"File not found: {path}")
-    raw = spark.read.schema(WARNING_SCHEMA).option("multiLine", True).json(path)
+    schema = ", ".join([WARNING_SCHEMA, *([also] if also else [])])
+    if all(f.endswith(".gz") for f in spark.read.text(path).inputFiles()):
+        records = json_array_records(spark, path)
+        raw = records.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    else:
+        raw = spark.read.schema(schema).option("multiLine", True).json(path)
     spread = raw.repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
     return warning_to_alert(spread, is_actionable)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """CSV with header whose cells may hold quotes and line breaks (function code)."""
-    return spark.read.csv(path, header=True, schema=schema, multiLine=True, escape='"')
+    """CSV with header whose cells may hold doubled quotes and line breaks (function code); large files are split."""
+    wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.fields)
+    cells = F.from_csv("value", fields, {"escape": '"', "multiLine": "true"})
+    return csv_records(spark, path).select(cells.alias("r")).select("r.*")
 
 
 def read_report(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
