@@ -15,6 +15,7 @@ from gatewright.operators import rows as O
 from gatewright.operators import runs as R
 from gatewright.operators.neighbours import local_outlier_factor
 from gatewright.plans import anomaly as N
+from gatewright.plans import detector_store as V
 from gatewright.plans import gate as G
 from gatewright.plans.catalog_metrics import ALERT_DIGEST, COMMIT_DIGEST
 from gatewright.plans.catalog_tables import training_rows
@@ -315,6 +316,23 @@ def _(t: Tables):
     return N.detector_evaluation(N.detector_verdicts(usable))
 
 
+@query("ml16_training_report", ["flags"], """
+WITH n AS (SELECT repo_id, count(*) FILTER (NOT (x_blocked OR x_risk OR x_summary OR x_cppcheck OR x_failed)) AS ok FROM flags GROUP BY ALL),
+m AS (SELECT unnest(['Isolation Forest', 'One-Class SVM', 'LOF']) AS model)
+SELECT repo_id, 'TRAINED' AS status, ok AS rows_available, model, model <> 'LOF' AS deployment_eligible, model = 'LOF' AS exploratory_only,
+ CASE WHEN model = 'LOF' THEN 'Exploratory only: configured with novelty=False and cannot safely score unseen rows in deployed runtime.' ELSE '' END AS reason,
+ greatest(1, CAST(round_even(ok * CAST(0.2 AS DOUBLE), 0) AS BIGINT)) AS normal_examples, model <> 'LOF' AS ranked FROM n, m WHERE ok >= 20
+UNION ALL SELECT repo_id, 'SKIPPED', ok, NULL, NULL, NULL, CASE WHEN ok = 0 THEN 'No valid historical rows available after ML3 training filters'
+ ELSE 'Not enough valid historical rows for model training' END, NULL, false FROM n WHERE ok < 20""")
+def _(t: Tables):
+    """Every model's row for each repository: the outlier factor cannot be chosen; repositories of too little history say so."""
+    history = cut_lineage(t.history, "history")
+    usable = cut_lineage(N.trainable(history, 20), "usable")
+    report = N.comparison(history, usable, cut_lineage(N.detector_evaluation(N.detector_verdicts(usable)), "evaluation"), 20)
+    return report.select("repo_id", "status", "rows_available", "model", "deployment_eligible", "exploratory_only", "reason", "normal_examples",
+                         F.col("selection_rank").isNotNull().alias("ranked"))
+
+
 @query("ml16_detector_ranking", ["history"], f"""
 WITH m AS (SELECT repo_id, unnest(['a', 'b', 'c']) AS model, total_alerts, d FROM history),
 p AS (SELECT repo_id, model, d % 4 = 0 AS y, CASE model WHEN 'a' THEN total_alerts > 3 WHEN 'b' THEN total_alerts < 3 ELSE d % 3 = 0 END AS a FROM m),
@@ -344,6 +362,42 @@ def _(t: Tables):
     return report.select("repo_id", "run_id", "anomaly_status", "is_anomaly", "anomaly_score", "selected_model", "reason", "failure_reason")
 
 
+@query("ml17_saved_detectors", ["flags"], """
+WITH n AS (SELECT repo_id, count(*) AS history_rows, count(*) FILTER (NOT (x_blocked OR x_risk OR x_summary OR x_cppcheck OR x_failed)) AS usable
+ FROM flags WHERE d < 30 GROUP BY ALL)
+SELECT repo_id, run_id, CASE WHEN x_blocked THEN 'ML3_SCORING_BLOCKED' WHEN coalesce(usable, 0) >= 20 THEN 'Scored using trained ML3 anomaly model'
+ WHEN coalesce(history_rows, 0) < 20 THEN 'INSUFFICIENT_HISTORY' ELSE 'MODEL_NOT_TRAINED' END AS reason,
+ NOT x_blocked AND coalesce(usable, 0) >= 20 AS scored, true AS verdict_follows_score FROM flags LEFT JOIN n USING (repo_id) WHERE d >= 30""")
+def _(t: Tables):
+    """The last day's runs by detectors that were trained on the days before, stored and loaded."""
+    day = F.substring("run_id", 9, 2).cast("int")
+    rows = cut_lineage(t.history.withColumn("ml3_scoring_block_reason", F.lit("")), "history")
+    past, path = rows.filter(day < 30), scratch_dir(t.spark, "detectors")
+    V.train_detectors(past, path, 20)
+    sizes = past.groupBy("repo_id").agg(F.count(F.lit(1)).alias("history_rows"))
+    report = V.detect_saved(rows.filter(day >= 30), sizes, path, min_rows=20)
+    scored = F.col("anomaly_score").isNotNull()
+    follows = ~scored | (F.col("is_anomaly") == (F.col("anomaly_score") < 0)) | (F.col("anomaly_score") == 0)
+    return report.select("repo_id", "run_id", "reason", scored.alias("scored"), follows.alias("verdict_follows_score"))
+
+
+@query("snk03_detector_store", ["flags"], f"""
+SELECT repo_id, count(*) AS total_history_rows, count(*) FILTER (ok) AS valid_training_rows, count(*) FILTER (NOT ok) AS excluded_history_rows,
+ min(ts) FILTER (ok) AS history_timestamp_min, max(ts) FILTER (ok) AS history_timestamp_max, '{"|".join(_FEATURES)}' AS feature_columns, 1 AS detectors, true AS as_selected
+FROM (SELECT *, NOT (x_blocked OR x_risk OR x_summary OR x_cppcheck OR x_failed) AS ok FROM flags) GROUP BY repo_id HAVING count(*) FILTER (ok) >= 20""")
+def _(t: Tables):
+    """What the store says of each repository's detector."""
+    path = scratch_dir(t.spark, "detectors")
+    V.train_detectors(cut_lineage(t.history, "history"), path, 20)
+    m = F.col("metadata")
+    names = ["total_history_rows", "valid_training_rows", "excluded_history_rows", "history_timestamp_min", "history_timestamp_max"]
+    held = F.col("forest").isNotNull().cast("int") + F.col("rbf").isNotNull().cast("int")
+    return V.detector_store(t.spark, path).read().select(
+        "repo_id", *[m[c].alias(c) for c in names], F.array_join(m["feature_columns"], "|").alias("feature_columns"),
+        held.alias("detectors"), (m["selected_model"] == F.col("model")).alias("as_selected"),
+    )
+
+
 # ---- gate --------------------------------------------------------------------------------------------------------
 _FACTS = """
 a AS (SELECT repo_id, run_id, count(*) FILTER (priority = 'HIGH') AS alert_high_count, count(*) FILTER (priority = 'MEDIUM') AS alert_medium_count,

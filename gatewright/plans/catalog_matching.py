@@ -197,17 +197,17 @@ def _(t: Tables):
     return near.withColumn("distance", round_half_up(F.col("distance"), 6))
 
 
-@query("jn11_run_facts", ["alerts", "risks"], """
+@query("jn11_run_facts", ["alerts", "shifted"], """
 WITH a AS (SELECT repo_id, run_id, count(*) FILTER (priority = 'HIGH') AS alert_high_count, count(*) FILTER (priority = 'MEDIUM') AS alert_medium_count,
  count(*) FILTER (priority = 'LOW') AS alert_low_count FROM alerts GROUP BY ALL),
 c AS (SELECT repo_id, run_id, count(*) FILTER (risk_level = 'HIGH') AS commit_high_count, count(*) FILTER (risk_level = 'REVIEW_REQUIRED') AS commit_review_required_count,
- count(*) FILTER (risk_level = 'MEDIUM') AS commit_medium_count, count(*) FILTER (risk_level = 'LOW') AS commit_low_count FROM risks WHERE ord % 3 = 0 GROUP BY ALL)
-SELECT repo_id, run_id, alert_high_count, alert_medium_count, alert_low_count, coalesce(commit_high_count, 0) AS commit_high_count,
+ count(*) FILTER (risk_level = 'MEDIUM') AS commit_medium_count, count(*) FILTER (risk_level = 'LOW') AS commit_low_count FROM shifted GROUP BY ALL)
+SELECT repo_id, run_id, coalesce(alert_high_count, 0) AS alert_high_count, coalesce(alert_medium_count, 0) AS alert_medium_count,
+ coalesce(alert_low_count, 0) AS alert_low_count, coalesce(commit_high_count, 0) AS commit_high_count,
  coalesce(commit_review_required_count, 0) AS commit_review_required_count, coalesce(commit_medium_count, 0) AS commit_medium_count,
  coalesce(commit_low_count, 0) AS commit_low_count, 'NOT_AVAILABLE' AS anomaly_status, 'ML3 anomaly report not available' AS anomaly_reason
-FROM a LEFT JOIN c USING (repo_id, run_id)""")
+FROM a FULL JOIN c USING (repo_id, run_id)""")
 def _(t: Tables):
-    return R.run_facts(t.runs, t.alerts, t.risks.filter("ord % 3 = 0")).drop("anomaly_score")
-
-
-__all__ = ["O"]
+    """Runs with alerts, with functions, or with both."""
+    spine = t.runs.unionByName(t.shifted_risks.select("repo_id", "run_id").distinct())
+    return R.run_facts(spine, t.alerts, t.shifted_risks).drop("anomaly_score")

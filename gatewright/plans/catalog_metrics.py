@@ -29,15 +29,16 @@ def _(t: Tables):
     return R.level_counts(t.alerts, "priority", ["HIGH", "MEDIUM", "LOW"], "", "_alerts")
 
 
-@query("ag02_commit_summary", ["alerts", "risks", "runs"], """
-WITH f AS (SELECT repo_id, run_id, count(DISTINCT file_path) AS total_changed_files FROM risks WHERE CAST(repo_id AS INTEGER) % 7 > 0 GROUP BY ALL),
+@query("ag02_commit_summary", ["alerts", "risks", "runs", "shifted"], """
+WITH f AS (SELECT repo_id, run_id, count(DISTINCT file_path) AS total_changed_files FROM risks GROUP BY ALL),
+s AS (SELECT repo_id, run_id FROM runs UNION SELECT repo_id, run_id FROM shifted UNION SELECT repo_id, run_id || ' later' FROM runs),
 c AS (SELECT repo_id, run_id, count(*) AS total_changed_functions, count(*) FILTER (risk_level = 'HIGH') AS high_risk_functions,
  count(*) FILTER (risk_level = 'REVIEW_REQUIRED') AS review_required_functions, count(*) FILTER (risk_level = 'MEDIUM') AS medium_risk_functions,
- count(*) FILTER (risk_level = 'LOW') AS low_risk_functions, max(risk_score) AS max_risk_score FROM risks WHERE CAST(repo_id AS INTEGER) % 7 > 1 GROUP BY ALL),
+ count(*) FILTER (risk_level = 'LOW') AS low_risk_functions, max(risk_score) AS max_risk_score FROM shifted GROUP BY ALL),
 j AS (SELECT repo_id, run_id, coalesce(total_changed_files, 0) AS total_changed_files, coalesce(total_changed_functions, 0) AS total_changed_functions,
  coalesce(high_risk_functions, 0) AS high_risk_functions, coalesce(review_required_functions, 0) AS review_required_functions,
  coalesce(medium_risk_functions, 0) AS medium_risk_functions, coalesce(low_risk_functions, 0) AS low_risk_functions,
- coalesce(max_risk_score, CAST(0 AS DOUBLE)) AS max_risk_score FROM runs LEFT JOIN f USING (repo_id, run_id) LEFT JOIN c USING (repo_id, run_id))
+ coalesce(max_risk_score, CAST(0 AS DOUBLE)) AS max_risk_score FROM s LEFT JOIN f USING (repo_id, run_id) LEFT JOIN c USING (repo_id, run_id))
 SELECT *, CASE WHEN high_risk_functions > 0 THEN 'HIGH' WHEN review_required_functions > 0 THEN 'REVIEW_REQUIRED' WHEN medium_risk_functions > 0 THEN 'MEDIUM'
  WHEN low_risk_functions > 0 THEN 'LOW' ELSE 'SKIPPED' END AS commit_risk_level,
  CASE WHEN total_changed_files > 0 AND total_changed_functions > 0 THEN 'COMPLETED' ELSE 'SKIPPED' END AS status,
@@ -45,9 +46,11 @@ SELECT *, CASE WHEN high_risk_functions > 0 THEN 'HIGH' WHEN review_required_fun
  WHEN total_changed_functions = 0 THEN 'Changed C/C++ files were found, but no analyzable functions were extracted.'
  ELSE 'Prediction completed successfully.' END AS reason FROM j""")
 def _(t: Tables):
-    group = F.col("repo_id").cast("int") % 7
-    files = t.risks.filter(group > 0).select("repo_id", "run_id", "file_path").distinct()
-    return R.commit_summary(t.runs, files, t.risks.filter(group > 1))
+    """Runs with files and functions, with either, and with neither."""
+    files = t.risks.select("repo_id", "run_id", "file_path").distinct()
+    later = t.runs.withColumn("run_id", F.concat("run_id", F.lit(" later")))
+    spine = t.runs.unionByName(t.shifted_risks.select("repo_id", "run_id").distinct()).unionByName(later)
+    return R.commit_summary(spine, files, t.shifted_risks)
 
 
 @query("ag03_run_metrics", ["metrics"], "SELECT * FROM metrics")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from gatewright import params as P
@@ -12,6 +13,7 @@ from gatewright.operators import quality as Q
 from gatewright.operators import rows as O
 from gatewright.operators import runs as R
 from gatewright.operators.features import fit_code_tfidf
+from gatewright.operators.models import one_hot_stages
 from gatewright.plans.registry import query
 from gatewright.plans.tables import Tables, glue
 from gatewright.plans.views import listed, r
@@ -184,7 +186,15 @@ def _(t: Tables):
     return t.spark.read.schema("repo_id string, run_id string, total_alerts long").parquet(path)
 
 
-@query("snk03_model_metadata")
+_part = "CAST(('0x' || substr(m, {0}, 12)) AS BIGINT)"
+
+
+@query("snk03_model_metadata", ["labelled"], r"""
+WITH t AS (SELECT * FROM labelled WHERE split = 'train'),
+h AS (SELECT md5(concat_ws('|', doc_id, coalesce(function_code, 'null'), coalesce(CAST(target AS VARCHAR), 'null'))) AS m FROM t),
+v AS (SELECT DISTINCT unnest(regexp_extract_all(coalesce(function_code, ''), '[\p{L}\p{N}_]+')) AS term FROM t)
+SELECT count(*) AS rows, sha256(count(*) || ':' || sum(""" + _part.format(1) + ") || ':' || sum(" + _part.format(13) + f""")) AS fingerprint,
+ 'TF-IDF' AS feature_type, 'function-level' AS input_level, least((SELECT count(*) FROM v), 5000) AS vocabulary_size, CAST({P.SEED} AS BIGINT) AS seed FROM h""")
 def _(t: Tables):
     train = t.labelled.filter("split = 'train'")
     model = fit_code_tfidf(train)
@@ -262,8 +272,14 @@ def _(t: Tables):
 
 @query("dq06_model_schema", ["training"], "SELECT " + ", ".join(P.FEATURES_CPPCHECK) + " FROM training")
 def _(t: Tables):
-    features = O.select_features(training_rows(t), "cppcheck")
-    Q.check_model_schema(P.FEATURES_CPPCHECK, features.columns)
+    """The features that a saved and loaded pipeline says it was fitted on."""
+    rows = training_rows(t)
+    path = scratch_dir(t.spark, "model")
+    fitted = Pipeline(stages=one_hot_stages(["alert_id", "severity", "cwe"])).fit(rows)
+    columns = F.array(*[F.lit(c) for c in P.FEATURES_CPPCHECK])
+    K.save_model(fitted, t.spark.range(1).select(columns.alias("feature_columns")), path)
+    features = O.select_features(rows, "cppcheck")
+    K.load_model(t.spark, path, features.columns)
     return features
 
 
@@ -497,6 +513,3 @@ def _(t: Tables):
 def _(t: Tables):
     rows = t.metrics.select("repo_id", "run_id", "total_alerts")
     return O.best_row(rows, [F.desc("total_alerts"), F.asc("repo_id"), F.asc("run_id")])
-
-
-__all__ = ["training_rows", "flagged", "A"]

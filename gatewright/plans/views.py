@@ -70,6 +70,8 @@ SELECT *, CASE priority WHEN 'LOW' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'HIGH' THEN
 SELECT *, {LEVEL} AS risk_level FROM (SELECT *, {risk_columns('probability')} FROM (
  SELECT CAST(user_id AS VARCHAR) AS repo_id, strftime(ts, '%Y-%m-%d') AS run_id, event_id AS ord,
   {file_of('event_id')} AS file_path, least(value / CAST(500 AS DOUBLE), CAST(1 AS DOUBLE)) AS probability FROM events))"""),
+    "shifted": (["risks"], """
+SELECT * REPLACE (CASE WHEN CAST(substr(run_id, 9, 2) AS INTEGER) % 3 = 0 THEN run_id || ' apart' ELSE run_id END AS run_id) FROM risks"""),
     "runs": (["alerts"], "SELECT DISTINCT repo_id, run_id FROM alerts"),
     "metrics": (["alerts", "risks", "runs"], f"""
 SELECT repo_id, run_id, total_files_scanned, high_alerts + medium_alerts + low_alerts AS total_alerts, high_alerts, medium_alerts,

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from gatewright.operators.quality import check_model_schema
 from gatewright.sources.readers import path_exists
 
 
@@ -83,6 +85,25 @@ def history_size(spark, path: str) -> int:
         return 0
 
 
+def load_model(spark, path: str, columns: list[str] | None = None) -> tuple[PipelineModel, Row]:
+    """(model, metadata) as :func:`save_model` left them; ``columns``: the features, in order, that the caller will give it.
+
+    A model that cannot be read, has no metadata, or was fitted on other features is an error that says so.
+    """
+    try:
+        model = PipelineModel.load(f"{path}/model")
+        metadata = spark.read.json(f"{path}/metadata").first()
+    except (PySparkException, Py4JJavaError) as error:
+        raise ValueError(f"Unable to load model at {path}: {str(error).splitlines()[0]}") from error
+    if metadata is None:
+        raise ValueError(f"Unable to load model at {path}: no metadata")
+    if columns is not None:
+        if "feature_columns" not in metadata:
+            raise ValueError(f"Unable to inspect model feature schema: {path} names no feature columns")
+        check_model_schema(metadata["feature_columns"], columns)
+    return model, metadata
+
+
 def save_model(model, metadata: DataFrame, path: str) -> None:
     """A fitted PipelineModel and its one-row metadata as JSON, side by side."""
     model.write().overwrite().save(f"{path}/model")
