@@ -1,12 +1,12 @@
 """Exact k nearest neighbours per repository and the local outlier factor, without comparing all pairs.
 
 1. Equal points collapse to one weighted point.
-2. Points are ranked along one direction and cut into slabs of bounded size. Neighbours inside the own slab give an upper
-   bound of the k-th distance. A repository with a single slab is finished here.
-3. Two points are at least as far apart as their positions along the direction, so everything closer than the bound lies
-   in the cells the interval [position - bound, position + bound] covers. Cells have a fixed width, hence the cells
-   are computed, not searched; crowded cells are cut into chunks of bounded size.
-Every task gets at most one chunk of points and one chunk of queries, and hands on at most k neighbours per query.
+2. A metric tree parts each repository's points: a crowded node draws pivots among its points, each point goes to its nearest
+   pivot's child, until a node holds few. A node keeps its children's pivots and radii.
+3. A query's own leaf gives an upper bound of its k-th distance. Descending from the root, a child can hold a nearer point only if its
+   lower bound is smaller: the distance to the pivot less the radius, or the distance to the plane between the pivot and the query's
+   nearest one. What is left is visited by growing lower bound, some leaves a round, until the k-th distance excludes the rest.
+Every task gets at most one chunk of a leaf's points and one chunk of queries, and hands on at most k neighbours per query.
 """
 
 from __future__ import annotations
@@ -17,11 +17,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatewright.functions.numbers import round_half_up
-from gatewright.operators.ranking import exact_quantile, running_before
+from gatewright.operators.ranking import exact_quantile
 from gatewright.session import cut_lineage, spread
 
-SLAB = 2000
+#: Points in a leaf, children of a node, levels of a tree at most (a node of the last one is a leaf, however large).
+LEAF, FAN, MOST_LEVELS = 1000, 64, 9
+#: Rows of a leaf, and queries, that meet in a task at most.
 CHUNK = 4000
+#: Leaves that a query visits in the first round after its own; each further round reaches four times as far.
+FIRST_LEAVES = 3
+#: What bounds are widened by: distances are rounded.
+SLACK = 1e-6
 DIGITS = 9
 _NEAR = "repo_id string, point string, neighbour string, distance double, weight long"
 
@@ -59,82 +65,148 @@ def _nearest(queries: pd.DataFrame, points: pd.DataFrame, k: int) -> pd.DataFram
     return pd.concat(parts)
 
 
-def knn(points: DataFrame, k: int, slab: int = SLAB, chunk: int = CHUNK) -> DataFrame:
-    """(repo_id, point, neighbour, distance, weight): the k nearest others of each point, copies counted by weight."""
-    if slab <= k:
-        raise ValueError("a slab must hold more points than the neighbours asked for")
-    # Mean of the coordinates times sqrt(d): the length of the projection on the diagonal, so distances only shrink.
-    size = F.size("x").cast("double")
-    position = F.aggregate("x", F.lit(0.0), lambda a, b: a + b) / F.sqrt(size)
-    placed = running_before(points.withColumn("pos", position), ["repo_id"], [F.col("pos"), F.col("point")], {"n": F.lit(1)})
-    slabs = F.greatest(F.lit(1), F.floor(F.col("n_total") / slab))
-    placed = placed.withColumn("slabs", slabs).withColumn(
-        "slab", F.least(F.floor(F.col("n_before") / slab), F.col("slabs") - 1)
-    ).drop("n_before")
-    placed = cut_lineage(placed, "slabs")
-
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _nearest(pdf, pdf, k)
-
-    first = spread(placed, "repo_id", "slab").groupBy("repo_id", "slab").applyInPandas(inside, _NEAR)
-    if placed.filter("slabs > 1").isEmpty():
-        return first
-    first = cut_lineage(first, "slab-neighbours")
-    small = placed.filter("slabs = 1").select("repo_id").distinct()
-    large = placed.filter("slabs > 1")
-    done = first.join(small, "repo_id", "left_semi")
-
-    # Fixed cell width per repository: about one chunk per cell if positions spread evenly over four deviations.
-    stats = large.groupBy("repo_id").agg(F.stddev_pop("pos").alias("dev"), F.count(F.lit(1)).alias("n"))
-    width = F.greatest(4 * F.col("dev") * chunk / F.col("n"), F.lit(1e-6))
-    celled = large.join(stats.select("repo_id", width.alias("width")), "repo_id").withColumn(
-        "cell", F.floor(F.col("pos") / F.col("width"))
-    )
-    # Chunks of a crowded cell by hash, as many as its size asks for.
-    crowd = celled.groupBy("repo_id", "cell").agg((F.floor(F.count(F.lit(1)) / chunk) + 1).alias("chunks"))
-    stored = celled.join(crowd, ["repo_id", "cell"]).withColumn(
-        "part", F.pmod(F.xxhash64("point", F.lit(1)), F.col("chunks"))
-    ).select("repo_id", "cell", "part", "point", "x", "weight")
-    bound = first.groupBy("repo_id", "point").agg(
-        F.max("distance").alias("bound"), F.sum("weight").alias("got")
-    )
-    reach = celled.join(bound, ["repo_id", "point"], "left").withColumn(
-        "bound", F.when(F.col("got") >= k, F.col("bound") + 1e-6)
-    )
-    cells = F.sequence(
-        F.floor((F.col("pos") - F.col("bound")) / F.col("width")), F.floor((F.col("pos") + F.col("bound")) / F.col("width"))
-    )
-    asked = reach.select("repo_id", "point", "x", "weight", F.explode(cells).alias("cell")).join(crowd, ["repo_id", "cell"])
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    columns = ["repo_id", "cell", "part", "share", "point", "x", "weight"]
-    # Queries of a (cell, part) are cut as well, so no task holds an unbounded group.
-    load = asked.groupBy("repo_id", "cell", "part").agg((F.floor(F.count(F.lit(1)) / chunk) + 1).alias("shares"))
-    asked = asked.join(load, ["repo_id", "cell", "part"]).withColumn(
-        "share", F.pmod(F.xxhash64("point", F.lit(2)), F.col("shares"))
-    ).select(*columns)
-    stored = stored.join(load, ["repo_id", "cell", "part"]).withColumn(
-        "share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
-    ).select(*columns).toDF(*columns)  # fresh column identities: both sides come from the same table
-
-    def across(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or p.empty:
-            return pd.DataFrame(columns=["repo_id", "point", "neighbour", "distance", "weight"])
-        return _nearest(q, p, k)
-
-    keys = ["repo_id", "cell", "part", "share"]
-    found = spread(asked, *keys).groupBy(*keys).cogroup(spread(stored, *keys).groupBy(*keys)).applyInPandas(across, _NEAR)
-    # A neighbour's weight in one chunk may be cut at k, never below what the merged list can use.
+def _shared(queries: DataFrame, stored: DataFrame, chunk: int, function, schema: str) -> DataFrame:
+    """``function(queries, stored)`` where both have the same (repo_id, node), in groups of at most ``chunk`` queries and rows."""
+    keys = ["repo_id", "node"]
+    cuts = queries.groupBy(*keys).agg((F.floor(F.count(F.lit(1)) / chunk) + 1).alias("shares"))
+    parts = stored.groupBy(*keys).agg((F.floor(F.count(F.lit(1)) / chunk) + 1).alias("parts"))
+    cuts = cut_lineage(cuts.join(parts, keys), "shares")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    one = lambda n, row: F.pmod(F.xxhash64(row, F.lit(n)), F.col(n))
+    left = queries.join(cuts, keys).withColumn("share", one("shares", "point")).withColumn("part", every("parts")).drop("shares", "parts")
+    right = stored.join(cuts, keys).withColumn("part", one("parts", "row")).withColumn("share", every("shares")).drop("shares", "parts", "row")
+    right = right.toDF(*right.columns)  # fresh column identities: both sides may come from the same table
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        return function(q, p)[names] if len(q) and len(p) else pd.DataFrame(columns=names)
+
+    group = [*keys, "share", "part"]
+    return spread(left, *group).groupBy(*group).cogroup(spread(right, *group).groupBy(*group)).applyInPandas(run, schema)
+
+
+def _distances(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    out = np.empty((len(q), len(p)))
+    for start in range(0, len(q), 256):
+        out[start : start + 256] = np.sqrt(((q[start : start + 256, None, :] - p[None, :, :]) ** 2).sum(-1))
+    return out
+
+
+def metric_tree(points: DataFrame, leaf: int, fan: int, chunk: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(points with their leaf ``node``, one table (repo_id, node, child, x, radius, inner) of children per level).
+
+    Node 0 is a repository's root; the children of node n are fan * n + 1 to fan * n + fan. A pivot is one of the node's points and
+    nearest to itself, so each child is smaller than its node.
+    """
+    open_, levels, done = cut_lineage(points.withColumn("node", F.lit(0).cast("long")), "tree-points"), [], None
+    while True:
+        last = len(levels) == MOST_LEVELS
+        sizes = open_.groupBy("repo_id", "node").agg(F.count(F.lit(1)).alias("n"))
+        crowded = sizes.filter(F.lit(not last) & (F.col("n") > leaf)).withColumn("kids", F.greatest(F.lit(2), F.least(F.lit(fan), F.ceil(F.col("n") / leaf))))
+        crowded = cut_lineage(crowded, "crowded")
+        small = open_.join(crowded, ["repo_id", "node"], "left_anti")
+        done = small if done is None else done.unionByName(small)
+        if crowded.isEmpty():
+            return cut_lineage(done, "leaves"), levels
+        rows = open_.join(crowded, ["repo_id", "node"])
+        draw = Window.partitionBy("repo_id", "node").orderBy(F.xxhash64("point", F.lit(len(levels))), "point")
+        pivots = rows.withColumn("i", F.row_number().over(draw)).filter((F.col("i") <= F.col("kids")) & (F.col("i") <= fan))
+        pivots = cut_lineage(pivots.select("repo_id", "node", (F.col("node") * fan + F.col("i")).alias("child"), "x"), "pivots")
+
+        def nearest(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+            p = p.sort_values("child")
+            d = _distances(np.stack(q["x"].to_numpy()), np.stack(p["x"].to_numpy()))
+            at = d.argmin(axis=1)
+            return q.assign(child=p["child"].to_numpy()[at], away=d[np.arange(len(q)), at])
+
+        schema = "repo_id string, node long, point string, x array<double>, weight long, child long, away double"
+        # all pivots of a node are in one part: there are at most ``fan``
+        placed = cut_lineage(_shared(rows.drop("n", "kids"), pivots.withColumn("row", F.col("child")), max(chunk, fan), nearest, schema), "assigned")
+        radii = placed.groupBy("repo_id", "node", "child").agg(F.max("away").alias("radius"), F.count(F.lit(1)).alias("n"))
+        inner = (F.col("n") > leaf) & F.lit(len(levels) + 1 < MOST_LEVELS)
+        levels.append(cut_lineage(pivots.join(radii, ["repo_id", "node", "child"]).withColumn("inner", inner).drop("n"), "children"))
+        open_ = placed.select("repo_id", F.col("child").alias("node"), "point", "x", "weight")
+
+
+def _reachable(levels: list[DataFrame], queries: DataFrame, chunk: int) -> DataFrame:
+    """(repo_id, point, node, low): leaves that may hold a point within a query's ``bound``, with their lower bounds."""
+
+    def lower(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("child")
+        x = np.stack(p["x"].to_numpy())
+        d = _distances(np.stack(q["x"].to_numpy()), x)
+        own = d.argmin(axis=1)
+        near = d[np.arange(len(q)), own]
+        apart = _distances(x, x)[own]
+        plane = np.divide(d**2 - near[:, None] ** 2, 2 * apart, out=np.zeros_like(d), where=apart > 0)
+        low = np.maximum(np.maximum(d - p["radius"].to_numpy(), plane), 0.0)
+        low = np.maximum(low, q["low"].to_numpy()[:, None])
+        i, j = np.nonzero(low <= q["bound"].to_numpy()[:, None])
+        return pd.DataFrame({
+            "repo_id": q["repo_id"].to_numpy()[i], "point": q["point"].to_numpy()[i], "x": q["x"].to_numpy()[i], "bound": q["bound"].to_numpy()[i],
+            "low": low[i, j], "node": p["child"].to_numpy()[j], "inner": p["inner"].to_numpy()[j],
+        })
+
+    schema = "repo_id string, point string, x array<double>, bound double, low double, node long, inner boolean"
+    frontier, found = queries.withColumns({"node": F.lit(0).cast("long"), "low": F.lit(0.0)}), None
+    for children in levels:
+        stored = children.select("repo_id", "node", "child", "x", "radius", "inner", F.col("child").alias("row"))
+        seen = cut_lineage(_shared(frontier, stored, max(chunk, FAN), lower, schema), "frontier")
+        leaves = seen.filter("not inner").select("repo_id", "point", "node", "low")
+        found = leaves if found is None else found.unionByName(leaves)
+        frontier = seen.filter("inner").drop("inner")
+    return found
+
+
+def _merged(near: DataFrame, k: int) -> DataFrame:
+    """The first neighbours of each point whose weights reach ``k``. A weight may be cut at k before, never below what the list can use."""
     order = Window.partitionBy("repo_id", "point").orderBy("distance", "neighbour")
     before = F.coalesce(F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    merged = found.withColumn("__b", before).withColumn("weight", F.least("weight", F.lit(k) - F.col("__b")))
-    return done.unionByName(merged.filter("weight > 0").drop("__b"))
+    kept = near.withColumn("__b", before).withColumn("weight", F.least("weight", F.lit(k) - F.col("__b")))
+    return kept.filter("weight > 0").drop("__b")
+
+
+def knn(points: DataFrame, k: int, leaf: int = LEAF, chunk: int = CHUNK, fan: int = FAN, visits: list[DataFrame] | None = None) -> DataFrame:
+    """(repo_id, point, neighbour, distance, weight): the k nearest others of each point, copies counted by weight.
+
+    ``visits``: a list that gets, for each round, a table (repo_id, pairs) of the pairs compared.
+    """
+    stored, levels = metric_tree(points, leaf, fan, chunk)
+    shelf = stored.withColumn("row", F.col("point"))
+
+    def visit(asked: DataFrame) -> DataFrame:
+        if visits is not None:
+            sizes = stored.groupBy("repo_id", "node").agg(F.count(F.lit(1)).alias("n"))
+            visits.append(asked.groupBy("repo_id", "node").agg(F.count(F.lit(1)).alias("q")).join(sizes, ["repo_id", "node"]).groupBy("repo_id").agg(F.sum(F.col("q") * F.col("n")).alias("pairs")))
+        # a crowded leaf comes in parts, each with its own list
+        return _shared(asked, shelf, chunk, lambda q, p: _nearest(q, p, k), _NEAR)
+
+    near = cut_lineage(_merged(visit(stored.select("repo_id", "node", "point", "x")), k), "neighbours")
+    if not levels:
+        return near
+    limit = near.groupBy("repo_id", "point").agg(F.max("distance").alias("far"), F.sum("weight").alias("got"))
+    limit = limit.select("repo_id", "point", F.when(F.col("got") >= k, F.col("far") + SLACK).otherwise(F.lit(float("inf"))).alias("bound"))
+    queries = stored.filter("node > 0").select("repo_id", "point", "x", F.col("node").alias("own"))
+    bounded = queries.join(limit, ["repo_id", "point"], "left").na.fill(float("inf"), subset=["bound"])
+    reach = _reachable(levels, bounded.drop("own"), chunk).join(queries, ["repo_id", "point"]).filter("node <> own").drop("own")
+    turn = F.row_number().over(Window.partitionBy("repo_id", "point").orderBy("low", "node"))
+    todo, upto = cut_lineage(reach.withColumn("turn", turn), "to-visit"), FIRST_LEAVES
+    while not todo.isEmpty():
+        found = visit(todo.filter(F.col("turn") <= upto).select("repo_id", "node", "point", "x"))
+        near = cut_lineage(_merged(near.unionByName(found), k), "neighbours")
+        limit = near.groupBy("repo_id", "point").agg(F.max("distance").alias("far"), F.sum("weight").alias("got"))
+        held = F.when(F.col("got") >= k, F.col("far") + SLACK).otherwise(F.lit(float("inf")))
+        rest = todo.filter(F.col("turn") > upto).join(limit.select("repo_id", "point", held.alias("bound")), ["repo_id", "point"], "left")
+        todo = cut_lineage(rest.filter(F.coalesce("bound", F.lit(float("inf"))) >= F.col("low")).drop("bound"), "to-visit")
+        upto *= 4
+    return near
 
 
 def local_outlier_factor(df: DataFrame, features: list[str], k: int = 10, contamination: float = 0.1, point: str = "run_id",
-                         slab: int = SLAB, chunk: int = CHUNK) -> DataFrame:
+                         leaf: int = LEAF, chunk: int = CHUNK) -> DataFrame:
     """Input rows with ``lof_score`` (negative factor) and ``prediction`` (-1 below the contamination quantile)."""
     points = weighted_points(df, features, point)
-    near = cut_lineage(knn(points, k, slab, chunk), "neighbours")
+    near = knn(points, k, leaf, chunk)
     # With fewer than k others, all of them are used.
     kdist = near.groupBy("repo_id", "point").agg(F.max("distance").alias("kdist"), F.sum("weight").alias("k"))
     other = kdist.select("repo_id", F.col("point").alias("neighbour"), F.col("kdist").alias("their_kdist"))

@@ -472,9 +472,9 @@ def _(t: Tables):
     severity = lookup(F.col("event_type"), SEVERITY_OF_EVENT, "none")
     alerts = _event_stream(t).select(
         F.col("user_id").cast("string").alias("repo_id"), "ts", priority_a(F.col("event_type") != "view", severity).alias("priority"))
-    ST.run_to_end(ST.write_updates(ST.daily_metrics(alerts, "1 hour"), table, mark))
-    schema = "repo_id string, day timestamp, total_alerts long, high_alerts long, medium_alerts long, low_alerts long, batch long"
-    return ST.latest(ST.read_table(t.spark, table, schema), ["repo_id", "day"]).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    ST.run_to_end(ST.write_updates(ST.daily_metrics(alerts, "1 hour"), table, mark, ["repo_id", "day"]))
+    schema = "repo_id string, day timestamp, total_alerts long, high_alerts long, medium_alerts long, low_alerts long"
+    return ST.latest(t.spark, table, ["repo_id", "day"], schema).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @query("stm03_stream_scores", ["metrics"], f"""

@@ -10,6 +10,7 @@ from gatewright.functions.numbers import round_half_up
 from gatewright.session import scratch_dir
 from gatewright.sources.readers import path_exists
 from gatewright.sources.sinks import append_once
+from gatewright.streaming.updates import UpdateTable
 
 
 def stream_history(runs: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
@@ -50,20 +51,19 @@ def write_stream(df: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def write_updates(df: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Rows that a batch changed, in a folder of that batch, which a replay overwrites; :func:`latest` tells what holds now."""
+def write_updates(df: DataFrame, table: str, checkpoint: str, keys: list[str], fanout: int = 8) -> StreamingQuery:
+    """Rows that a batch changed, kept in levels (:class:`UpdateTable`); a replay changes nothing. :func:`latest` tells what holds now."""
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        UpdateTable(batch.sparkSession, table, keys, fanout).write(batch, batch_id)
 
     return (
         df.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start()
     )
 
 
-def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
-    """Of each key the row of its last batch; combined before the shuffle."""
-    rest = [c for c in updates.columns if c not in (*keys, "batch")]
-    return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("__r")).select(*keys, "__r.*")
+def latest(spark: SparkSession, table: str, keys: list[str], schema: str) -> DataFrame:
+    """Of each key the row of its last batch, from a number of folders that grows with the logarithm of the batches."""
+    return UpdateTable(spark, table, keys).read(schema)
 
 
 def stream_score(runs: DataFrame, baseline: str, output: str, checkpoint: str, feature: str = "total_alerts") -> StreamingQuery:

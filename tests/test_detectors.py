@@ -26,23 +26,37 @@ def brute(x, k):
     return np.sort(d, axis=1)[:, :k]
 
 
-@pytest.mark.parametrize(("slab", "chunk"), [(5000, 5000), (40, 30), (60, 1000)])
-def test_neighbours_are_exact_in_one_or_many_slabs(spark, slab, chunk):
+@pytest.mark.parametrize(("leaf", "chunk", "fan"), [(5000, 5000, 64), (40, 30, 64), (20, 1000, 4), (60, 1000, 8)])
+def test_neighbours_are_exact_however_the_tree_is_cut(spark, leaf, chunk, fan):
     df, x = points(spark, 600, 3, 4)
-    pts = weighted_points(df, ["x0", "x1", "x2"])
-    near = knn(pts, 5, slab, chunk).toPandas()
+    other, _ = points(spark, 30, 3, 5, repo="small")
+    pts = weighted_points(df.unionByName(other), ["x0", "x1", "x2"])
+    near = knn(pts, 5, leaf, chunk, fan).toPandas()
+    assert set(near[near["repo_id"] == "small"]["point"]) == {r["point"] for r in pts.where("repo_id = 'small'").collect()}
+    near = near[near["repo_id"] == "r"]
     want = brute(x, 5)
-    names = {tuple(r["x"]): r["point"] for r in pts.collect()}
+    names = {tuple(r["x"]): r["point"] for r in pts.where("repo_id = 'r'").collect()}
     for i in range(0, 600, 7):
         mine = near[near["point"] == names[tuple(x[i])]]
         assert np.allclose(np.sort(np.repeat(mine["distance"], mine["weight"])), want[i], atol=1e-8)
 
 
+def test_few_pairs_are_compared(spark):
+    df, x = points(spark, 12_000, 3, 9, grid=10**6)
+    visits = []
+    near = knn(weighted_points(df, ["x0", "x1", "x2"]), 5, leaf=150, visits=visits).toPandas()
+    pairs = sum(v.first()["pairs"] for v in visits)
+    assert pairs < 12_000**2 / 12
+    d = np.sort(np.sqrt(((x[:50, None] - x[None]) ** 2).sum(-1)), axis=1)[:, 1:6]
+    got = near[near["point"] < "00050"].sort_values(["point", "distance"])["distance"].to_numpy().reshape(50, 5)
+    assert np.allclose(got, d, atol=1e-8)
+
+
 def test_outlier_factor_is_the_same_however_it_is_cut(spark):
     df, x = points(spark, 300, 2, 5, grid=50)
     df = df.unionByName(spark.createDataFrame([("r", "99999", 9.0, 9.0)], df.schema))
     a = local_outlier_factor(df, ["x0", "x1"], 10).toPandas().set_index("run_id")
-    b = local_outlier_factor(df, ["x0", "x1"], 10, slab=30, chunk=25).toPandas().set_index("run_id")
+    b = local_outlier_factor(df, ["x0", "x1"], 10, leaf=30, chunk=25).toPandas().set_index("run_id")
     assert np.allclose(a["lof_score"], b.loc[a.index, "lof_score"], atol=1e-5)
     assert a["lof_score"].idxmin() == "99999" and a.loc["99999", "prediction"] == -1
     assert abs((a["prediction"] == -1).mean() - 0.1) < 0.02

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
+from gatewright.functions import text
 from gatewright.operators import matching as M
 from gatewright.plans.prioritiser import annotate, clang_model_rows, clang_training
 
@@ -63,6 +66,26 @@ def test_match_diagnostic(spark):
     assert [got[i] for i in range(len(cases))] == [want for *_, want in cases]
 
 
+def test_match_diagnostic_by_brute_force(spark):
+    rng = random.Random(6)
+    messages = ["one", "One.", "two [x]", "", "three"]
+    diags = [("r", rng.choice("pq"), rng.randint(1, 4), rng.choice(["a.c", "b.c", "x\\\\a.c"]), rng.choice(messages),
+              rng.choice(["f", "g_bad", "good1", "h", None]), rng.choice(["function", "function", "block", None])) for _ in range(45)]
+    alerts = [("r", rng.choice(["p", "q", None]), rng.choice(["a.c", "b.c", "x/a.c", None]), i, rng.choice([1, 2, 3, 4, 5, None]), rng.choice(messages)) for i in range(300)]
+    got = {r["ord"]: (r["source_function"], r["has_plist_match"]) for r in M.match_diagnostic(
+        spark.createDataFrame(alerts, "repo_id string, report string, matched_file string, ord int, line int, message string"),
+        spark.createDataFrame(diags, "repo_id string, report string, line int, source_file string, description string, issue_context string, issue_context_kind string")).collect()}
+    clean = {r[0]: r[1] for r in spark.createDataFrame([(m,) for m in messages], "m string").select("m", text.norm_message(F.col("m"))).collect()}
+    for repo, report, file, i, line, message in alerts:
+        fits = []
+        for r, p, n, f, said, context, kind in diags:
+            named = (context or "").endswith("_bad") or (context or "").startswith("good")
+            if (r, p, n) == (repo, report, line) and file in (None, norm(f)) and (clean[said] == clean[message] or clean[message] == "" or named):
+                fits.append((context or "", kind or ""))
+        want = (fits[0][0] if fits[0][1] == "function" else "", True) if len(fits) == 1 else ("", file is not None)
+        assert got[i] == want, (i, fits)
+
+
 def test_annotation_end_to_end(spark):
     base = "/w/testcases/CWE121_Stack_Based_Buffer_Overflow/CWE121__x_01a.c"
     alerts = spark.createDataFrame([

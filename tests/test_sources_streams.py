@@ -168,8 +168,8 @@ def test_daily_counts_hold_the_last_day_and_follow_later_batches(spark, tmp_path
         spark.createDataFrame(rows, "repo_id string, s long, priority string").selectExpr(
             "repo_id", "timestamp_seconds(s) ts", "priority").write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
-        ST.run_to_end(ST.write_updates(ST.daily_metrics(stream, "1 hour"), table, mark))
-        now = ST.latest(spark.read.parquet(table), ["repo_id", "day"])
+        ST.run_to_end(ST.write_updates(ST.daily_metrics(stream, "1 hour"), table, mark, ["repo_id", "day"]))
+        now = ST.latest(spark, table, ["repo_id", "day"], "repo_id string, day timestamp")
         return sorted((r["repo_id"], r["day"].day, r["total_alerts"], r["high_alerts"]) for r in now.collect())
 
     day = 86400
