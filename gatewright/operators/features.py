@@ -55,16 +55,22 @@ def inverse_frequency(n: Column, df: Column) -> Column:
 def tfidf_rows(df: DataFrame, key: str, tokens: Column, size: int) -> DataFrame:
     """(key, term, tfidf) with unit length per text: the relational form, used for checks and reports.
 
-    The vocabulary has at most ``size`` rows, so it is broadcast. One shuffle by text serves both the counts per term and
-    the norm; a text's list of weights has at most ``size`` entries.
+    Only the vocabulary, at most ``size`` terms, is shuffled and comes to the driver. Each text's terms are counted in its row, as the
+    saved model does, and weighted there; nothing is grouped by text. Rows of equal key are texts of their own.
     """
-    n = df.agg(F.count(F.lit(1)).alias("n_docs"))
-    idf = inverse_frequency(F.col("n_docs"), F.col("df")).alias("idf")
-    terms = F.broadcast(vocabulary(df, tokens, size).join(F.broadcast(n)).select("term", idf))  # ``n`` is one row
-    words = df.select(key, F.explode(tokens).alias("term")).join(terms, "term").repartition(key)
-    counts = words.groupBy(key, "term").agg((F.count(F.lit(1)) * F.first("idf")).alias("w"))
-    lists = counts.groupBy(key).agg(F.collect_list(F.struct("term", "w")).alias("l"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return lists.select(key, "norm", F.inline("l")).select(key, "term", (F.col("w") / F.col("norm")).alias("tfidf"))
+    n = df.count()
+    rows = vocabulary(df, tokens, size).withColumn("idf", inverse_frequency(F.lit(n), F.col("df"))).orderBy("term").collect()
+    if not rows:
+        return df.select(key, F.lit("").alias("term"), F.lit(0.0).alias("tfidf")).limit(0)
+    terms, weights = [r["term"] for r in rows], [r["idf"] for r in rows]
+    counted = CountVectorizerModel.from_vocabulary(terms, inputCol="__tokens", outputCol="__counts").transform(
+        df.select(key, F.filter(F.coalesce(tokens, F.array().cast("array<string>")), lambda x: x.isNotNull()).alias("__tokens"))
+    )
+    weighted = ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="__counts", outputCol="__weighted").transform(counted)
+    unit = Normalizer(p=2.0, inputCol="__weighted", outputCol="__unit").transform(weighted).select(key, F.unwrap_udt("__unit").alias("__v"))
+    pairs = unit.select(key, F.inline(F.arrays_zip(F.col("__v.indices").alias("i"), F.col("__v.values").alias("tfidf"))))
+    names = F.array(*[F.lit(t) for t in terms])
+    return pairs.select(key, F.element_at(names, F.col("i") + 1).alias("term"), "tfidf")
 
 
 def _token_stage(kind: str, column: str, output: str) -> SQLTransformer:

@@ -41,7 +41,10 @@ def _(t: Tables):
     return rows.withColumn("tfidf", round_half_up(F.col("tfidf"), 6))
 
 
-@query("ml01_code_tfidf_vectors")
+@query("ml01_code_tfidf_vectors", ["labelled"], rf"""
+WITH w AS (SELECT doc_id, split, regexp_extract_all(function_code, '[\p{{L}}\p{{N}}_]+') AS words FROM labelled),
+voc AS (SELECT term FROM (SELECT unnest(words) AS term FROM w WHERE split = 'train') GROUP BY term ORDER BY count(*) DESC, term LIMIT {X.CODE_TERMS})
+SELECT doc_id, split, CASE WHEN list_has_any(words, (SELECT list(term) FROM voc)) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS squared_length FROM w""")
 def _(t: Tables):
     """The same weights from the saved-model form: non-zero entries per labelled function."""
     from pyspark.ml.functions import vector_to_array
@@ -170,7 +173,7 @@ def _commit_risk(t: Tables, names: list[str] | None):
 
 @query("ml11_train_and_select")
 def _(t: Tables):
-    best, _, ranked, final = _commit_risk(t, ["Logistic Regression", "SVM"])
+    best, _, ranked, final = _commit_risk(t, None)
     columns = ["model", "accuracy", "precision", "recall", "f1", "roc_auc"]
     test = final.select(*columns, F.lit(True).alias("selected"), F.lit("test").alias("split"))
     return ranked.select(*columns, "selected", F.lit("valid").alias("split")).unionByName(test)
@@ -198,7 +201,7 @@ def _(t: Tables):
 
 @query("ml18_model_scores")
 def _(t: Tables):
-    best, model, _, _ = _commit_risk(t, ["Logistic Regression"])
+    _, model, _, _ = _commit_risk(t, None)
     rows = t.labelled.filter("split = 'test'").select("doc_id", "function_code", F.lit(False).alias("fallback_used"))
     return M.score_functions(model, rows).select("doc_id", "risk_score", "risk_level", "confidence", "risk_reason")
 
@@ -493,3 +496,20 @@ def _(t: Tables):
     ST.run_to_end(ST.stream_score(stream, base, out, mark))
     return t.spark.read.schema("repo_id string, run_id string, total_alerts long, z double").parquet(f"{out}/batch=*")
 
+
+@query("stm03_prior_scores", ["history"], f"""
+SELECT repo_id, run_id, n AS prior_runs, {r('m', 6)} AS prior_mean, {r('s', 6)} AS prior_std, {r('(total_alerts - m) / CASE WHEN s > 0 THEN s ELSE 1 END', 4)} AS z FROM (
+SELECT repo_id, run_id, total_alerts, count(*) OVER o AS n, avg(total_alerts) OVER o AS m, stddev_pop(total_alerts) OVER o AS s FROM history
+WINDOW o AS (PARTITION BY repo_id ORDER BY ts, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""")
+def _(t: Tables):
+    """Runs arrive in three files, day by day; each is scored against all runs before it."""
+    arriving, out, mark = (scratch_dir(t.spark, x) for x in ("arriving", "prior-scores", "stream-mark"))
+    rows = cut_lineage(t.history.select("repo_id", "run_id", F.timestamp_seconds("ts").alias("ts"), "total_alerts"), "history")
+    day = F.substring("run_id", 9, 2).cast("int")
+    for low, high in ((0, 9), (10, 24), (25, 99)):
+        rows.filter(day.between(low, high)).coalesce(1).write.mode("append").parquet(arriving)
+        stream = t.spark.readStream.schema(rows.schema).parquet(arriving)
+        ST.run_to_end(ST.stream_prior_scores(stream, out, mark))
+    schema = "repo_id string, run_id string, prior_runs long, prior_mean double, prior_std double, z double"
+    found = t.spark.read.schema(schema).parquet(f"{out}/batch=*")
+    return found.select("repo_id", "run_id", "prior_runs", *[round_half_up(F.col(c), n).alias(c) for c, n in (("prior_mean", 6), ("prior_std", 6), ("z", 4))])

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gatewright.functions.numbers import round_half_up
 from gatewright.session import scratch_dir
@@ -80,6 +84,50 @@ def stream_score(runs: DataFrame, baseline: str, output: str, checkpoint: str, f
     return runs.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(score).start()
 
 
+MOMENTS = "n long, mean double, m2 double, last string"
+
+
+def stream_prior_scores(
+    runs: DataFrame, output: str, checkpoint: str, feature: str = "total_alerts", time: str = "ts", tie: str = "run_id"
+) -> StreamingQuery:
+    """Score each run (repo_id, run_id, ts, feature) against all runs of its repository before it, and against nothing else.
+
+    A repository's state is the number, mean and sum of squared deviations of what it has seen, updated run by run in the order of
+    ``time`` and ``tie``; a restart goes on with it. Columns: repo_id, run_id, ts, the feature, prior_runs, prior_mean, prior_std, z.
+    The first run of a repository has no mean and no z; a deviation of zero divides by 1. A run that arrives after later ones
+    were scored has ``late`` and is scored against what is known then. Null features are scored null and change nothing.
+    """
+    schema = f"repo_id string, {tie} string, {time} timestamp, {feature} double, prior_runs long, prior_mean double, prior_std double, z double, late boolean"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def score(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values([time, tie], kind="stable")
+        n, mean, m2, last = state.get if state.exists else (0, 0.0, 0.0, "")
+        out = []
+        for at, run, value in zip(rows[time], rows[tie], rows[feature]):
+            place = f"{at.isoformat()}|{run}"
+            std = (m2 / n) ** 0.5 if n else None
+            known = n > 0 and value == value
+            z = (value - mean) / (std if std and std > 0 else 1.0) if known else None
+            out.append((key[0], run, at, value, n, mean if n else None, std, z, place < last))
+            if value == value:
+                n, gap = n + 1, value - mean
+                mean += gap / n
+                m2 += gap * (value - mean)
+            last = max(last, place)
+        state.update((n, mean, m2, last))
+        yield pd.DataFrame(out, columns=names)
+
+    wanted = runs.select("repo_id", tie, time, F.col(feature).cast("double").alias(feature))
+    scored = wanted.groupBy("repo_id").applyInPandasWithState(score, schema, MOMENTS, "append", GroupStateTimeout.NoTimeout)
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        # a replayed batch overwrites its own output
+        batch.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+
+    return scored.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start()
+
+
 def run_to_end(query: StreamingQuery) -> None:
     query.awaitTermination()
     failure = query.exception()
@@ -91,4 +139,4 @@ def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
 
 
-__all__ = ["stream_history", "daily_metrics", "write_stream", "write_updates", "latest", "stream_score", "run_to_end", "read_table", "scratch_dir"]
+__all__ = ["stream_history", "daily_metrics", "write_stream", "write_updates", "latest", "stream_score", "stream_prior_scores", "run_to_end", "read_table", "scratch_dir"]

@@ -6,6 +6,7 @@ import gzip
 import json
 import plistlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +176,35 @@ def test_daily_counts_hold_the_last_day_and_follow_later_batches(spark, tmp_path
     day = 86400
     assert deliver([("a", 10, "HIGH"), ("a", day + 10, "LOW"), ("b", 20, "LOW")]) == [("a", 1, 1, 1), ("a", 2, 1, 0), ("b", 1, 1, 0)]
     assert deliver([("a", day + 60, "HIGH")]) == [("a", 1, 1, 1), ("a", 2, 2, 1), ("b", 1, 1, 0)]
+
+
+def test_prior_scores_go_on_after_a_restart(spark, tmp_path):
+    source, out, mark = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "mark")
+    schema = "repo_id string, run_id string, ts timestamp, total_alerts long"
+    rng = np.random.default_rng(3)
+    rows = [(f"r{i % 3}", f"{i:03d}", i, None if i == 17 else int(rng.integers(0, 50) + 10**9)) for i in range(60)]
+
+    def deliver(part):
+        spark.createDataFrame(part, "repo_id string, run_id string, s long, total_alerts long").selectExpr(
+            "repo_id", "run_id", "timestamp_seconds(s) ts", "total_alerts").write.mode("append").parquet(source)
+        ST.run_to_end(ST.stream_prior_scores(spark.readStream.schema(schema).parquet(source), out, mark))
+
+    deliver(rows[:20][::-1])  # in any order within a batch
+    deliver(rows[20:41])
+    deliver([*rows[41:], ("r0", "old", 4, 10**9)])
+    got = {(r["repo_id"], r["run_id"]): r for r in spark.read.parquet(f"{out}/batch=*").collect()}
+    assert len(got) == 61 and {k for k, r in got.items() if r["late"]} == {("r0", "old")}
+    for repo in ("r0", "r1", "r2"):
+        seen: list = []
+        for name, run, _, value in rows:
+            if name != repo or (repo == "r0" and int(run) > 40):
+                continue
+            r = got[name, run]
+            assert r["prior_runs"] == len(seen)
+            if seen:
+                assert abs(r["prior_mean"] - np.mean(seen)) < 1e-5 and abs(r["prior_std"] - np.std(np.array(seen) - 10**9)) < 1e-6
+            if seen and value is not None:
+                assert abs(r["z"] - (value - np.mean(seen)) / (np.std(np.array(seen) - 10**9) or 1.0)) < 1e-4
+            else:
+                assert r["z"] is None
+            seen += [] if value is None else [value]
