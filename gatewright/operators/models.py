@@ -6,7 +6,6 @@ from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     LinearSVC,
     LogisticRegression,
-    MultilayerPerceptronClassifier,
     OneVsRest,
     RandomForestClassifier,
 )
@@ -32,10 +31,13 @@ from gatewright.operators.features import (
     fit_tfidf,
     scaling_stats,
 )
+from gatewright.operators.network import SparseNetwork
 from gatewright.operators.rows import rank_alerts
 from gatewright.operators.runs import score_risk
 from gatewright.session import scratch_dir
+from gatewright.sources.readers import file_bytes
 
+TASK_BYTES = 8 << 20
 TREE_DEPTH = 30  # as deep as MLlib allows: trees grow until their leaves are pure
 
 
@@ -78,7 +80,7 @@ def candidates(task: str, rows: int, width: int, seed: int = P.SEED, depth: int
         "SVM": svm if classes == 2 else OneVsRest(classifier=svm, weightCol="weight", parallelism=classes),
         "Random Forest": RandomForestClassifier(numTrees=trees, maxDepth=depth, weightCol="weight", seed=seed,
                                                 maxMemoryInMB=512, cacheNodeIds=False),
-        "ANN": MultilayerPerceptronClassifier(layers=[width, *hidden, classes], seed=seed, maxIter=20 if task == "commit_risk" else 500),
+        "ANN": SparseNetwork(layers=[width, *hidden, classes], seed=seed, maxIter=20 if task == "commit_risk" else 500),
     }
 
 
@@ -116,7 +118,8 @@ def train_and_select(
         table = features.transform(part).select("label", "features")
         paths[name] = scratch_dir(spark, f"features-{name}")
         table.withColumn("weight", weight if name == "train" else F.lit(1.0)).write.parquet(paths[name])
-    x = {name: spark.read.parquet(path) for name, path in paths.items()}
+    # solvers run a job per iteration, whose cost on a small table is that of its tasks: one for each ``TASK_BYTES``
+    x = {name: spark.read.parquet(path).coalesce(1 + file_bytes(spark, path) // TASK_BYTES) for name, path in paths.items()}
     width = x["train"].select(F.size(vector_to_array("features"))).first()[0]
     rows = x["train"].count()
     fitted, table = {}, None

@@ -29,18 +29,18 @@ def trainable(history: DataFrame, min_rows: int = P.DEFAULT_MIN_ROWS) -> DataFra
     return valid.join(enough.select("repo_id"), "repo_id", "left_semi")
 
 
-def _fit(name: str, train: DataFrame) -> DataFrame:
+def fit_detector(name: str, train: DataFrame) -> DataFrame:
     return D.fit_forest(train) if name == FOREST else D.fit_rbf(train, WIDTH)
 
 
-def _score(name: str, rows: DataFrame, model: DataFrame) -> DataFrame:
+def score_detector(name: str, rows: DataFrame, model: DataFrame) -> DataFrame:
     return D.forest_score(rows, model) if name == FOREST else D.rbf_score(rows, model, WIDTH)
 
 
 def _fit_and_score(name: str, train: DataFrame, rows: DataFrame) -> DataFrame:
     """Verdicts of one detector for scaled rows; the cut comes from its own training scores."""
-    model = _fit(name, train)
-    own, new = _score(name, train, model), _score(name, rows, model)
+    model = fit_detector(name, train)
+    own, new = score_detector(name, train, model), score_detector(name, rows, model)
     return D.verdict(new, D.cut_at(own, CONTAMINATION)).withColumn("model", F.lit(name))
 
 

@@ -48,8 +48,8 @@ def fitted(usable: DataFrame, selected: DataFrame) -> DataFrame:
     parts = []
     for name in (N.FOREST, N.RBF):
         own = x.filter(F.col("model") == name).drop("model")
-        model = cut_lineage(N._fit(name, own), "fitted")
-        cut = D.cut_at(N._score(name, own, model), N.CONTAMINATION)
+        model = cut_lineage(N.fit_detector(name, own), "fitted")
+        cut = D.cut_at(N.score_detector(name, own, model), N.CONTAMINATION)
         held = F.struct(*[c for c in model.columns if c != "repo_id"])
         forest = held.cast(FOREST_TYPE) if name == N.FOREST else F.lit(None).cast(FOREST_TYPE)
         rbf = held.cast(RBF_TYPE) if name == N.RBF else F.lit(None).cast(RBF_TYPE)
@@ -125,7 +125,7 @@ def scored_by(models: DataFrame, current: DataFrame) -> DataFrame:
     out = None
     for name, held in ((N.FOREST, "forest"), (N.RBF, "rbf")):
         mine = models.filter(F.col("model") == name)
-        rows = N._score(name, x.filter(F.col("model") == name).drop("model"), mine.select("repo_id", f"{held}.*"))
+        rows = N.score_detector(name, x.filter(F.col("model") == name).drop("model"), mine.select("repo_id", f"{held}.*"))
         found = D.verdict(rows, mine.select("repo_id", "cut")).select(
             *keep, F.lit(name).alias("selected_model"), "prediction", F.col("decision_value").alias("anomaly_score")
         )

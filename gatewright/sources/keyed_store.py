@@ -71,7 +71,7 @@ class KeyedStore:
         parts: then all are written as one.
         """
         there, number = self.versions(), self._next()
-        name = uuid.uuid4().hex
+        name = "p" + uuid.uuid4().hex  # never read as a number
         rows.write.parquet(f"{self.path}/parts/part={name}")
         index = fingerprints.select(*self.keys, "fingerprint").withColumn("part", F.lit(name))
         if there:
@@ -85,7 +85,7 @@ class KeyedStore:
     def compact(self) -> int:
         """A version with the same rows in one part."""
         there, number = self.versions(), self._next()
-        name = uuid.uuid4().hex
+        name = "p" + uuid.uuid4().hex  # never read as a number
         self.read(there[-1]).drop("fingerprint").write.parquet(f"{self.path}/parts/part={name}")
         self._commit(self.index(there[-1]).withColumn("part", F.lit(name)), number)
         return number
