@@ -120,21 +120,25 @@ def match_diagnostic(alerts: DataFrame, diagnostics: DataFrame) -> DataFrame:
     context = F.trim(F.coalesce("issue_context", F.lit("")))
     d = diagnostics.select(
         "repo_id", "report", "line",
-        # each diagnostic counts for its own file and for alerts whose file did not match
-        F.explode(F.array(F.lit(False), F.lit(True))).alias("any_file"),
         paths.norm_path(F.col("source_file")).alias("own_file"),
         text.norm_message(F.col("description")).alias("__msg"),
         context.alias("context"),
         F.coalesce("issue_context_kind", F.lit("")).alias("kind"),
         (text.is_bad(context) | text.is_good(context)).alias("named"),
-    ).withColumn("file", F.when(F.col("any_file"), F.lit("")).otherwise(F.col("own_file")))
-    only = F.when(F.col("named"), F.col("kind")), F.when(F.col("named"), F.col("context"))
+    )
+    d = d.groupBy("repo_id", "report", "line", "own_file", "__msg", "named").agg(
+        F.count(F.lit(1)).alias("n"), F.min("kind").alias("kind"), F.min("context").alias("context")
+    )
+    # each diagnostic counts for its own file and for alerts whose file did not match
+    d = cut_lineage(d, "diagnostics").withColumn("any_file", F.explode(F.array(F.lit(False), F.lit(True))))
+    d = d.withColumn("file", F.when(F.col("any_file"), F.lit("")).otherwise(F.col("own_file")))
+    only = [F.when(F.col("named"), F.col(c)) for c in ("n", "kind", "context")]
     spots = d.groupBy(*place).agg(
-        F.count(F.lit(1)).alias("n_all"), F.min("kind").alias("kind_all"), F.min("context").alias("context_all"),
-        F.count_if("named").alias("n_named"), F.min(only[0]).alias("kind_named"), F.min(only[1]).alias("context_named"),
+        F.sum("n").alias("n_all"), F.min("kind").alias("kind_all"), F.min("context").alias("context_all"),
+        F.coalesce(F.sum(only[0]), F.lit(0)).alias("n_named"), F.min(only[1]).alias("kind_named"), F.min(only[2]).alias("context_named"),
     )
     texts = d.filter("not named").groupBy(*place, "__msg").agg(
-        F.count(F.lit(1)).alias("n_text"), F.min("kind").alias("kind_text"), F.min("context").alias("context_text")
+        F.sum("n").alias("n_text"), F.min("kind").alias("kind_text"), F.min("context").alias("context_text")
     )
     here = alerts.withColumns({
         "__msg": text.norm_message(F.col("message")),
