@@ -103,6 +103,13 @@ def evaluate(scored: DataFrame, task: str) -> DataFrame:
     return metrics.join(F.broadcast(E.roc_auc(with_score.withColumn("__g", F.lit(0)), ["__g"]).drop("__g")))  # one row each
 
 
+def rows_for(estimator: Estimator, rows: DataFrame) -> DataFrame:
+    """A forest passes over the rows once a level and splits that work by tasks, so it gets one for each core at least; the
+    solvers run a short job per iteration and get the rows as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(cores, 1 + rows.count() // 100_000)) if isinstance(estimator, RandomForestClassifier) else rows
+
+
 def train_and_select(
     train: DataFrame, valid: DataFrame, test: DataFrame, task: str, features: PipelineModel,
     names: list[str] | None = None,
@@ -125,7 +132,7 @@ def train_and_select(
     fitted, table = {}, None
     wanted = {k: v for k, v in candidates(task, rows, width).items() if names is None or k in names}
     for position, (name, estimator) in enumerate(wanted.items()):  # at most four candidates
-        fitted[name] = estimator.fit(x["train"])
+        fitted[name] = estimator.fit(rows_for(estimator, x["train"]))
         row = evaluate(fitted[name].transform(x["valid"]), task).withColumn("model", F.lit(name)).withColumn(
             "candidate", F.lit(position)
         )
