@@ -2,7 +2,8 @@
 
 Features are the n-grams of 3 to 5 code points of the lower-cased text (white space as one space, one at either end), hashed to
 buckets; a bucket counts once per text. Each is scaled by the log ratio of its smoothed share among toxic and other texts; a
-logistic regression is fitted on the scaled features, and both factors end in one weight per bucket.
+logistic regression is fitted on the scaled features of every bucket that a training text has, and both factors end in one weight
+per bucket.
 """
 
 from __future__ import annotations
@@ -13,9 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gatewright.llm.texts import U64, as_bytes, pieces
 from gatewright.session import cut_lineage
@@ -24,11 +26,7 @@ ORDERS = (3, 4, 5)
 BITS = 18
 #: Labelled rows to learn from, at most; drawn by a hash of the id.
 TRAINING_ROWS = 20_000
-#: Buckets that get a weight: those that tell the classes apart best.
-FEATURES = 4096
 SMOOTHING = 1.0
-#: Fewer labelled texts than this with a bucket say nothing about it.
-LEAST_TEXTS = 3
 PENALTY = 1e-4
 HELD_OUT = 5
 _BASE = 0x9E3779B97F4A7C15
@@ -99,13 +97,14 @@ def fit(
     text_column: str = "text",
     label_column: str = "toxic",
     training_rows: int = TRAINING_ROWS,
-    features: int = FEATURES,
 ) -> ToxicityModel:
     """Learn from labelled documents that are not held out.
 
     Null labels and values other than 0 and 1 are no labels; an id labelled twice is toxic if either says so. Without labels of
     both classes the model says the share of toxic labels (0 if there is none) for every text.
 
+    Null and empty texts count as texts without n-grams, repeated rows as often as they stand; other columns are ignored.
+
     Scale: at most ``training_rows`` labels are used; texts of these are read once and written to the shared folder. The driver
     gets one row per bucket (2 ** 18 at most).
     """
@@ -126,25 +125,34 @@ def fit(
         yield pa.record_batch([pa.array(at), pa.array(found[1, at]), pa.array(found[0, at])], names=["bucket", "p", "q"])
 
     rows = texts.mapInArrow(count, "bucket long, p long, q long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-    table = np.array([tuple(r) for r in rows.collect()], np.int64)
+    table = rows.toArrow()
+    chosen = np.sort(table.column("bucket").to_numpy())
     p, q = np.zeros(size), np.zeros(size)
-    p[table[:, 0]], q[table[:, 0]] = table[:, 1], table[:, 2]
+    p[table.column("bucket").to_numpy()] = table.column("p").to_numpy()
+    q[table.column("bucket").to_numpy()] = table.column("q").to_numpy()
     ratio = np.log((p + SMOOTHING) / (p + SMOOTHING).sum()) - np.log((q + SMOOTHING) / (q + SMOOTHING).sum())
-    # chi-square of bucket and class
-    total, both = toxic + other, p + q
-    spread = both * (total - both) * toxic * other
-    chi = np.divide(total * (p * (other - q) - q * (toxic - p)) ** 2, spread, out=np.zeros(size), where=(spread > 0) & (both >= LEAST_TEXTS))
-    chosen = np.sort(np.argsort(-chi, kind="stable")[:features])
-    place = np.full(size, -1)
-    place[chosen] = np.arange(len(chosen))
+    if not len(chosen):  # only blank texts
+        return ToxicityModel(np.zeros(size, np.float32), float(np.log(toxic / other)))
     scale = ratio[chosen]
 
-    def vector(text: bytes) -> SparseVector:
-        at = place[buckets(bytes(text))]
-        at = at[at >= 0]
-        return SparseVector(len(scale), at, scale[at])
-
-    data = cut_lineage(texts.select(F.udf(vector, VectorUDT())("text").alias("features"), "label"), "toxicity-features")
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sparse vectors in the layout of ``VectorUDT``, batch by batch."""
+        for batch in pieces(batches, "text"):
+            at = [np.searchsorted(chosen, buckets(t)) for t in batch.column("text").to_pylist()]
+            ends, every = np.cumsum([0, *map(len, at)]), np.concatenate([np.zeros(0, np.int64), *at])
+            features = pa.StructArray.from_arrays(
+                [
+                    pa.array(np.zeros(len(at), np.int8)),
+                    pa.array(np.full(len(at), len(chosen), np.int32)),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(every, pa.int32())),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(scale[every])),
+                ],
+                names=["type", "size", "indices", "values"],
+            )
+            yield pa.record_batch([features, batch.column("label")], names=["features", "label"])
+
+    # the solver keeps the vectors itself; where an executor is lost they are made again from the written texts
+    data = texts.mapInArrow(vectors, T.StructType().add("features", VectorUDT()).add("label", T.IntegerType()))
     fitted = LogisticRegression(labelCol="label", regParam=PENALTY, standardization=False, maxIter=100).fit(data)
     weights = np.zeros(size, np.float32)
     weights[chosen] = fitted.coefficients.toArray() * scale
@@ -152,7 +160,11 @@ def fit(
 
 
 def scored(docs: DataFrame, model: ToxicityModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) per row of ``docs``; ``predicted`` is 1 from a score of 0.5."""
+    """(doc_id, held_out, score, predicted) per row of ``docs``; ``predicted`` is 1 from a score of 0.5.
+
+    Null and empty texts get the score of a text without n-grams, null ids stay null, repeated rows and an empty table give as many
+    rows as they have; other columns, whatever their names, are left out.
+    """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     out = model.score(rows.withColumn("held_out", held_out("doc_id")))
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

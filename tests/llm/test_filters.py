@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import gzip
 import io
+import math
 import random
+import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 import zstandard
@@ -120,6 +124,59 @@ def test_toxicity_on_held_out_labels(spark, model):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
 
 
+def test_toxicity_against_brute_force(spark):
+    """Features, ratios and weights once more in plain Python: the weights must be where the fitted loss is flat."""
+    rng = random.Random(5)
+    words = [f"{a}{b}{c}" for a in "bdfg" for b in "aeo" for c in ("l", "rk", "mpü")]
+    texts = {i: " ".join(rng.choices(words, k=rng.randint(3, 30))) + (" Vile\n slur" if i % 3 == 0 else "") for i in range(1, 121)}
+    texts |= {121: "", 122: None, 123: "x", 124: texts[3]}
+    rows = [(i, t) for i, t in texts.items()]
+    labels = [(i, int(i % 3 == 0 or i == 124)) for i in texts]
+    docs = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, label int")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+
+    def grams(text):
+        padded = f" {' '.join(words)} " if (words := (text or "").lower().split()) else ""
+        found, base = set(), 0x9E3779B97F4A7C15
+        for n in (3, 4, 5):
+            for k in range(len(padded) - n + 1):
+                h = sum((ord(c) + 1) * pow(base, j, 2**64) for j, c in enumerate(padded[k : k + n])) % 2**64
+                found.add((((h ^ (h >> 29)) * (base + 2 * n)) % 2**64) >> 46)
+        return found
+
+    learnt = [(grams(texts[i]), y) for i, y in labels if zlib.crc32(str(i).encode()) % 5]
+    p = Counter(g for f, y in learnt for g in f if y)
+    q = Counter(g for f, y in learnt for g in f if not y)
+    ratio = {g: math.log((p[g] + 1) / (p.total() + 2**18)) - math.log((q[g] + 1) / (q.total() + 2**18)) for g in p | q}
+    assert set(np.flatnonzero(model.weights)) == {g for g, r in ratio.items() if r}  # rare n-grams have weights as well
+    flat = Counter()
+    for f, y in learnt:
+        error = 1 / (1 + math.exp(-model.constant - sum(float(model.weights[g]) for g in f))) - y
+        flat["constant"] += error / len(learnt)
+        for g in f:
+            flat[g] += error * ratio[g] / len(learnt)
+    for g, r in ratio.items():
+        flat[g] += toxicity.PENALTY * float(model.weights[g]) / r if r else 0
+    assert max(map(abs, flat.values())) < 2e-3
+    for row in toxicity.scored(docs, model).collect():
+        margin = model.constant + sum(float(model.weights[g]) for g in grams(texts[row.doc_id]))
+        assert abs(row.score - 1 / (1 + math.exp(-margin))) < 1e-6
+        assert row.held_out == (zlib.crc32(str(row.doc_id).encode()) % 5 == 0)
+
+
+def test_toxicity_of_a_very_long_text(spark, model):
+    long = "plain words of a report " * 100_000
+    found = [r.score for r in toxicity.scored(docs_of(spark, [(1, long), (2, "plain words of a report " * 3)]), model).collect()]
+    assert abs(found[0] - found[1]) < 1e-6
+
+
+def test_toxicity_of_blank_texts_only(spark):
+    docs = docs_of(spark, [(i, " " * (i % 2)) for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    scores = {r.score for r in toxicity.scored(docs, toxicity.fit(docs, labels)).collect()}
+    assert len(scores) == 1 and 0 < scores.pop() < 1
+
+
 def test_toxicity_edges(spark, model):
     rows = [(1, None), (2, ""), (3, " \n"), (None, "you stupid worthless trash"), (4, "ok"), (4, "ok")]
     found = {(r.doc_id, r.score, r.held_out) for r in toxicity.scored(docs_of(spark, rows), model).collect()}
