@@ -109,23 +109,40 @@ def _(t: Tables):
     return S.html_alerts(t.read("pages").select("page_id", "url", "html"), "html", "url")
 
 
+@query("src06_html_report_files", [], r"""
+SELECT 'clang' AS tool, 'src/' || page_id || '.c' AS file, CASE WHEN page_id % 2 = 0 THEN CAST(page_id AS VARCHAR) ELSE '' END AS line,
+ 'clang-static-analyzer' AS alert_id, '' AS cwe, 'warning' AS severity,
+ CASE WHEN page_id % 3 = 0 THEN 'Bug in ' || page_id || ' & more' ELSE 'Leak ' || page_id END AS message FROM pages""")
+def _(t: Tables):
+    path, n = scratch_dir(t.spark, "reports"), F.col("page_id")
+    message = F.when(n % 3 == 0, glue("=<!-- BUGDESC Bug in ", n, "= &amp; more -->\n")).otherwise(glue("=<h3 class='x'>Leak\n <b>", n, "=</b></h3>"))
+    file = F.when(n % 5 == 0, glue("=<!-- BUGFILE src/", n, "=.c -->")).otherwise(glue("=<td>File:</td>\n<td class='f'>src/", n, "=.c</td>"))
+    line = F.when(n % 4 == 0, glue("=<!-- BUGLINE ", n, "= -->")).when(n % 2 == 0, glue("=<td>Line:</td><td>", n, "=</td>")).otherwise("")
+    pages = t.read("pages").select(F.concat(message, file, line, F.lit("\n"), F.coalesce("html", F.lit(""))).alias("value"))
+    pages.write.option("maxRecordsPerFile", 1).text(path)  # a file for each report, as analyzers write them
+    return S.read_html_reports(t.spark, path, "*.txt").drop("report_file")
+
+
 @query("src07_console_alerts", ["console_alerts"], "SELECT * FROM console_alerts")
 def _(t: Tables):
     return t.console_alerts
 
 
-@query("src08_plists", ["diagnostics"], """
-SELECT 'r' || repo_id || report AS report, line, source_file, description, issue_context, issue_context_kind FROM diagnostics
-WHERE report <> 'rep7.plist'""")
-def _(t: Tables):
-    d = t.diagnostics.withColumn("report", glue("=r", "repo_id", "report"))
+def _plist_texts(d, keys: list[str]):
+    """(keys, content) of property lists with some ``_REPORT_ROWS`` diagnostics each, however many share the keys."""
+    columns = ["line", "source_file", "description", "issue_context", "issue_context_kind"]
 
     def pair(key: str, kind: str, c) -> F.Column:
         return F.concat(F.lit(f"<key>{key}</key><{kind}>"), c.cast("string"), F.lit(f"</{kind}>"))
 
+    # equal diagnostics are numbered, so they part as others do
+    counted = d.groupBy(*keys, *columns).agg(F.count(F.lit(1)).alias("copies"))
+    rows = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    sizes = counted.groupBy(*keys).agg(F.ceil(F.sum("copies") / _REPORT_ROWS).alias("parts"))
+    joined = rows.join(sizes, keys) if keys else rows.crossJoin(F.broadcast(sizes))  # without keys sizes is one row
+    cut = joined.withColumn("part", F.pmod(F.xxhash64(*columns, "copy"), F.col("parts")))
     # One file entry per diagnostic, so the array index of a diagnostic is its own position.
-    listed_in = d.withColumn("key", F.struct("line", "source_file", "description", "issue_context", "issue_context_kind"))
-    grouped = listed_in.groupBy("report").agg(F.array_sort(F.collect_list("key")).alias("items"))
+    grouped = cut.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("items"))
     entries = F.transform("items", lambda x, i: F.concat(
         F.lit("<dict>"), pair("description", "string", x["description"]), pair("issue_context", "string", x["issue_context"]),
         pair("issue_context_kind", "string", x["issue_context_kind"]), F.lit("<key>location</key><dict>"),
@@ -133,19 +150,38 @@ def _(t: Tables):
     ))
     files = F.transform("items", lambda x: F.concat(F.lit("<string>"), x["source_file"], F.lit("</string>")))
     content = F.concat(
-        F.lit('<?xml version="1.0" encoding="UTF-8"?><plist version="1.0"><dict><key>files</key><array>'),
-        F.array_join(files, ""), F.lit("</array><key>diagnostics</key><array>"), F.array_join(entries, ""),
+        F.lit('<?xml version="1.0" encoding="UTF-8"?><plist version="1.0"><dict><key>diagnostics</key><array>'),
+        F.array_join(entries, ""), F.lit("</array><key>files</key><array>"), F.array_join(files, ""),
         F.lit("</array></dict></plist>"),
     )
+    return grouped.select(*keys, content.alias("content"))
+
+
+_REPORT_ROWS = 500
+
+
+@query("src08_plists", ["diagnostics"], """
+SELECT 'r' || repo_id || report AS report, line, source_file, description, issue_context, issue_context_kind FROM diagnostics
+WHERE report <> 'rep7.plist'""")
+def _(t: Tables):
+    texts = _plist_texts(t.diagnostics.withColumn("report", glue("=r", "repo_id", "report")), ["report"])
     broken = F.col("report").endswith("rep7.plist")
-    raw = grouped.select("report", F.when(broken, F.lit("not a plist")).otherwise(content).cast("binary").alias("content"))
-    return S.plist_diagnostics(S.parse_plists(raw))
+    content = F.when(broken, F.lit("not a plist")).otherwise(F.col("content")).cast("binary")
+    return S.plist_diagnostics(S.parse_plists(texts.select("report", content.alias("content"))))
+
+
+@query("src08_plist_files", ["diagnostics"],
+       "SELECT line, source_file, description, issue_context, issue_context_kind FROM diagnostics")
+def _(t: Tables):
+    path = scratch_dir(t.spark, "plists")
+    _plist_texts(t.diagnostics, []).write.option("maxRecordsPerFile", 1).text(path)  # a file for each report
+    return S.plist_diagnostics(S.read_plists(t.spark, path, "*.txt")).drop("report")
 
 
 @query("src09_source_texts", ["console"], "SELECT count(*) AS lines, max(length(value)) AS longest FROM console")
 def _(t: Tables):
     path = scratch_dir(t.spark, "sources")
-    t.console.select("value").write.text(path)
+    t.console.select("value").write.option("maxRecordsPerFile", 5000).text(path)  # more files, not longer ones
     lines = S.read_sources(t.spark, path, "*.txt").select(F.explode(F.split(F.rtrim("content", F.lit("\n")), "\n")).alias("l"))
     return lines.filter("l <> ''").agg(F.count(F.lit(1)).alias("lines"), F.max(F.length("l")).cast("long").alias("longest"))
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import plistlib
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +11,7 @@ from gatewright.functions import text
 from gatewright.functions.paths import cwe_number
 from gatewright.operators.rows import warning_to_alert
 from gatewright.sources.records import csv_records, json_array_records
+from gatewright.sources.report_files import ENTRY_SCHEMA, TEXTS, plist_batches
 
 # Fixed value: one line of analyzer console output.
 CONSOLE_ALERT = r"(.+?):([0-9]+):[0-9]+:\s+(warning|error|note):\s+(.+)"
@@ -21,10 +20,6 @@ WARNING_SCHEMA = (
     "toolName string, filePath string, lineNumber string, warningType string, cwe string, "
     "warningSeverity string, warningMessage string"
 )
-PLIST_SCHEMA = (
-    "report string, files array<string>, diagnostics array<struct<description:string,issue_context:string,"
-    "issue_context_kind:string,file:long,line:long>>"
-)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -144,10 +139,10 @@ def html_alerts(pages: DataFrame, content: str, name: str, all_entities: bool =
     )
 
 
-def read_html_reports(spark: SparkSession, path: str) -> DataFrame:
-    """All ``report-*.html`` files below a folder."""
+def read_html_reports(spark: SparkSession, path: str, glob: str = "report-*.html") -> DataFrame:
+    """All report files below a folder, one alert each; a report is one value, however many there are."""
     files = (
-        spark.read.option("pathGlobFilter", "report-*.html")
+        spark.read.option("pathGlobFilter", glob)
         .option("recursiveFileLookup", True)
         .text(path, wholetext=True)
         .select("value", F.col("_metadata.file_path").alias("report_file"))
@@ -180,53 +175,29 @@ def read_text_alerts(spark: SparkSession, path: str) -> DataFrame:
     return console_alerts(lines, "value", "file_name")
 
 
-def _parse_plists(batches):
-    """Arrow batches of (path, content) to (report, files, diagnostics); unreadable files give no row."""
-    for batch in batches:
-        rows = []
-        for name, content in zip(batch["report"], batch["content"]):
-            try:
-                report = plistlib.loads(content)
-            except Exception:
-                continue
-            found = []
-            for d in report.get("diagnostics", []):
-                place = d.get("location", {})
-                found.append({
-                    "description": d.get("description"), "issue_context": d.get("issue_context"),
-                    "issue_context_kind": d.get("issue_context_kind"), "file": place.get("file"), "line": place.get("line"),
-                })
-            rows.append({"report": name, "files": list(report.get("files", [])), "diagnostics": found})
-        yield pd.DataFrame(rows, columns=["report", "files", "diagnostics"])
-
-
-def read_plists(spark: SparkSession, path: str) -> DataFrame:
-    """Analyzer plist files of a folder; empty and broken ones are skipped."""
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.plist").option("recursiveFileLookup", True).load(path)
-    )
+def read_plists(spark: SparkSession, path: str, glob: str = "*.plist") -> DataFrame:
+    """Entries of the analyzer plist files below a folder; empty and broken ones are skipped."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
     return parse_plists(files.filter("length > 0").select(F.col("_metadata.file_name").alias("report"), "content"))
 
 
 def parse_plists(files: DataFrame) -> DataFrame:
-    """(report, files, diagnostics) from (report, content)."""
-    return files.mapInPandas(_parse_plists, PLIST_SCHEMA)
+    """Entries from (report, content): a row per listed file, which has an ``ord``, and a row per diagnostic, which has none.
+
+    A report is parsed by events, so a task holds its bytes, its listed paths and a batch of rows, never a tree or one row of
+    all diagnostics. A report broken anywhere, a null and an empty one give no rows.
+    """
+    return files.select("report", "content").mapInArrow(plist_batches, ENTRY_SCHEMA)
 
 
 def plist_index(plists: DataFrame) -> DataFrame:
     """(report, ord, source_file) of every file listed in a report."""
-    return plists.select("report", F.posexplode("files").alias("ord", "source_file"))
+    return plists.filter("ord IS NOT NULL").select("report", F.col("ord").cast("int").alias("ord"), "source_file")
 
 
 def plist_diagnostics(plists: DataFrame) -> DataFrame:
     """(report, source_file, line, description, issue_context, issue_context_kind), one row per diagnostic."""
-    d = plists.select("report", "files", F.explode("diagnostics").alias("d"))
-    listed = (F.col("d.file") >= 0) & (F.col("d.file") < F.size("files"))
-    file = F.when(listed, F.try_element_at("files", (F.col("d.file") + 1).cast("int"))).otherwise(F.lit(""))
-    return d.select(
-        "report", F.coalesce(file, F.lit("")).alias("source_file"), F.col("d.line").cast("int").alias("line"),
-        "d.description", "d.issue_context", "d.issue_context_kind",
-    )
+    return plists.filter("ord IS NULL").select("report", "source_file", F.col("line").cast("int").alias("line"), *TEXTS)
 
 
 def read_sources(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:

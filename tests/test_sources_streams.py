@@ -5,13 +5,16 @@ from __future__ import annotations
 import gzip
 import json
 import plistlib
+import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gatewright.operators import rows as O
 from gatewright.sources import readers as S
+from gatewright.sources import report_files
 from gatewright.sources import sinks as K
 from gatewright.streaming import history as ST
 
@@ -99,6 +102,37 @@ def test_plists(spark, tmp_path):
     assert [(r["source_file"], r["line"], r["issue_context"]) for r in rows] == [("b.c", 4, "f_bad"), ("", 5, None)]
 
 
+def test_plist_events_equal_the_loaded_tree():
+    draw = random.Random(3)
+    other = {"path": [{"kind": "event", "location": {"file": 7, "line": 7}, "description": "inner", "ranges": [[{"line": 1}]]}], "notes": []}
+    for n in (0, 1, 7, 9000):  # the last spans many pieces
+        files = [f"d/{draw.randrange(99)}<&>é.c" for _ in range(min(n, 50))]
+        found = [
+            {k: v for k, v in {"description": f"x & <y> {i}", "issue_context": "f" if i % 3 else None, "issue_context_kind": "",
+             "location": {"file": draw.randrange(-1, 60), "line": i, "col": 2} if i % 4 else None, **other}.items() if v is not None}
+            for i in range(n)
+        ]
+        tree = {"clang_version": "v", "diagnostics": found, "files": files, "more": {"files": ["no"], "diagnostics": [{"description": "no"}]}}
+        want = [("r", i, f, None, None, None, None) for i, f in enumerate(files)]
+        for d in found:
+            at = d.get("location", {}).get("file", -1)
+            want.append(("r", None, files[at] if 0 <= at < len(files) else "", d.get("location", {}).get("line"), d["description"],
+                         d.get("issue_context"), d["issue_context_kind"]))
+        for kind in (plistlib.FMT_XML, plistlib.FMT_BINARY):
+            assert list(report_files.plist_entries("r", plistlib.dumps(tree, fmt=kind))) == want
+        whole = plistlib.dumps(tree)
+        for broken in (whole[:-20], whole.replace(b"<key>files</key>", b""), b"<!DOCTYPE plist [<!ENTITY a 'b'>]>" + whole[whole.index(b"<plist") :], b"bplist00"):
+            assert list(report_files.plist_entries("r", broken)) == []
+
+
+def test_plist_rows_leave_in_bounded_batches():
+    tree = {"files": ["a.c"], "diagnostics": [{"description": "d", "location": {"file": 0, "line": i}} for i in range(10_000)]}
+    given = pa.record_batch([["p", "q", None], [plistlib.dumps(tree), b"", None]], names=["report", "content"])
+    sizes = [b.num_rows for b in report_files.plist_batches(iter([given]))]
+    assert sum(sizes) == 10_001 and max(sizes) == report_files.ROWS
+    assert list(report_files.plist_batches(iter([]))) == []
+
+
 def test_sources_and_status(spark, tmp_path):
     (tmp_path / "a.c").write_bytes(b"int a;\xff\n")
     assert S.read_sources(spark, str(tmp_path), "*.c").first()["content"] == "int a;\n"
