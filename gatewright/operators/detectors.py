@@ -238,12 +238,23 @@ def _fourier(z: pd.Series, w: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(2 / len(b)) * np.cos(np.stack(z.to_numpy()) @ w + b)
 
 
+def rbf_gamma(train: DataFrame, width: int) -> DataFrame:
+    """(repo_id, gamma): 1 / (columns * variance of all values) of scaled rows ``x``."""
+    square = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
+    plain = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
+    moments = train.groupBy("repo_id").agg(F.avg(square).alias("q"), F.avg(plain).alias("s"))
+    variance = F.col("q") / width - (F.col("s") / width) * (F.col("s") / width)
+    return moments.select(
+        "repo_id", F.when(variance > 1e-9, F.lit(1.0) / (F.lit(float(width)) * variance)).otherwise(F.lit(1.0)).alias("gamma")
+    )
+
+
 def fit_rbf(train: DataFrame, width: int, seed: int = P.SEED) -> DataFrame:
     """(repo_id, gamma, mean_map) from scaled rows ``x``.
 
     The score of a row is its mean RBF kernel value to the training rows. Comparing each row with each training row would
     grow with the square of the history; random Fourier features turn the mean kernel into one inner product with a
-    mean vector, so training is a single partial aggregate. gamma = 1 / (columns * variance of all values).
+    mean vector, so training is a single partial aggregate. ``operators/kernel.py`` has the exact and the bounded form.
     """
     w, b = fourier_weights(width, seed=seed)
 
@@ -251,13 +262,7 @@ def fit_rbf(train: DataFrame, width: int, seed: int = P.SEED) -> DataFrame:
     def mapped(z: pd.Series) -> pd.Series:
         return pd.Series(list(_fourier(z, w, b)))
 
-    square = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
-    plain = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
-    moments = train.groupBy("repo_id").agg(F.avg(square).alias("q"), F.avg(plain).alias("s"))
-    variance = F.col("q") / width - (F.col("s") / width) * (F.col("s") / width)
-    gammas = moments.select(
-        "repo_id", F.when(variance > 1e-9, F.lit(1.0) / (F.lit(float(width)) * variance)).otherwise(F.lit(1.0)).alias("gamma")
-    )
+    gammas = rbf_gamma(train, width)
     z = F.transform("x", lambda v: v * F.sqrt(2 * F.col("gamma")))
     features = train.join(gammas, "repo_id").select("repo_id", "gamma", array_to_vector(mapped(z)).alias("phi"))
     means = features.groupBy("repo_id").agg(F.first("gamma").alias("gamma"), Summarizer.mean(F.col("phi")).alias("m"))

@@ -10,6 +10,7 @@ from gatewright.operators import detectors as D
 from gatewright.operators import evaluation as E
 from gatewright.operators import features as X
 from gatewright.operators import history as H
+from gatewright.operators import kernel as KS
 from gatewright.operators import models as M
 from gatewright.operators import rows as O
 from gatewright.operators import runs as R
@@ -306,6 +307,38 @@ def _(t: Tables):
     return scores.select("repo_id", "run_id", round_half_up(F.col("sample_score"), 6).alias("score"))
 
 
+_exact = f"""
+WITH v AS (SELECT * FROM valid QUALIFY count(*) OVER (PARTITION BY repo_id) >= 20),
+x AS (SELECT repo_id, run_id, [{_z}] AS x FROM v WINDOW w AS (PARTITION BY repo_id)),
+g AS (SELECT repo_id, avg(list_sum([e * e FOR e IN x])) / 9 - pow(avg(list_sum(x)) / 9, 2) AS var, count(*) AS n FROM x GROUP BY ALL),
+y AS (SELECT repo_id, run_id, x, n, CASE WHEN var > 1e-9 THEN 1 / (9 * var) ELSE 1 END AS gamma FROM x JOIN g USING (repo_id)),
+sc AS (SELECT a.repo_id, a.run_id, any_value(a.n) AS n, avg(exp(-a.gamma * pow(list_distance(a.x, b.x), 2))) AS score
+ FROM y a JOIN y b USING (repo_id) GROUP BY ALL)
+"""
+
+
+@query("ml14_rbf_exact", ["valid"], f"{_exact} SELECT repo_id, run_id, {r('score', 6)} AS score FROM sc")
+def _(t: Tables):
+    x = _scaled_history(t)
+    return KS.kernel_score(x, KS.kernel_cells(x, N.WIDTH)).select(
+        "repo_id", "run_id", round_half_up(F.col("sample_score"), 6).alias("score")
+    )
+
+
+@query("ml14_rbf_bounded", ["valid"], f"{_exact} SELECT repo_id, count(*) AS rows, true AS fewer_cells, true AS within_bound, true AS within_tolerance FROM sc GROUP BY ALL")
+def _(t: Tables):
+    x = _scaled_history(t)
+    cells = KS.kernel_cells(x, N.WIDTH, 0.05)
+    exact = KS.kernel_score(x, KS.kernel_cells(x, N.WIDTH)).select("repo_id", "run_id", F.col("sample_score").alias("exact"))
+    off = KS.kernel_score(x, cells).join(exact, ["repo_id", "run_id"]).groupBy("repo_id").agg(
+        F.max(F.abs(F.col("sample_score") - F.col("exact"))).alias("off")
+    )
+    return KS.kernel_error(cells).join(off, "repo_id").select(
+        "repo_id", "rows", (F.col("cells") <= F.col("rows")).alias("fewer_cells"),
+        (F.col("off") <= F.col("bound") + 1e-8).alias("within_bound"), (F.col("bound") <= 0.05).alias("within_tolerance"),
+    )
+
+
 @query("ml14_rbf_verdicts")
 def _(t: Tables):
     x = _scaled_history(t)
