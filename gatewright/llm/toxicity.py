@@ -13,11 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gatewright.llm.texts import U64, as_bytes, pieces
 from gatewright.session import cut_lineage
@@ -28,6 +27,10 @@ BITS = 18
 TRAINING_ROWS = 20_000
 SMOOTHING = 1.0
 PENALTY = 1e-4
+#: The solver ends where no slope is above FLAT, or after MOST_STEPS; it holds the last HELD_STEPS steps.
+FLAT, MOST_STEPS, HELD_STEPS = 1e-5, 100, 10
+#: Rows that are taken together in a task, and numbers in a piece of its sums on their way through the shuffle.
+STEP, PIECE = 256, 8192
 HELD_OUT = 5
 _BASE = 0x9E3779B97F4A7C15
 _FACTORS = [U64(pow(_BASE, n, 1 << 64)) for n in range(max(ORDERS))]
@@ -126,37 +129,90 @@ def fit(
 
     rows = texts.mapInArrow(count, "bucket long, p long, q long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     table = rows.toArrow()
-    chosen = np.sort(table.column("bucket").to_numpy())
+    if not len(table):  # only blank texts
+        return ToxicityModel(np.zeros(size, np.float32), float(np.log(toxic / other)))
     p, q = np.zeros(size), np.zeros(size)
     p[table.column("bucket").to_numpy()] = table.column("p").to_numpy()
     q[table.column("bucket").to_numpy()] = table.column("q").to_numpy()
     ratio = np.log((p + SMOOTHING) / (p + SMOOTHING).sum()) - np.log((q + SMOOTHING) / (q + SMOOTHING).sum())
-    if not len(chosen):  # only blank texts
-        return ToxicityModel(np.zeros(size, np.float32), float(np.log(toxic / other)))
-    scale = ratio[chosen]
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sparse vectors in the layout of ``VectorUDT``, batch by batch."""
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            at = [np.searchsorted(chosen, buckets(t)) for t in batch.column("text").to_pylist()]
-            ends, every = np.cumsum([0, *map(len, at)]), np.concatenate([np.zeros(0, np.int64), *at])
-            features = pa.StructArray.from_arrays(
-                [
-                    pa.array(np.zeros(len(at), np.int8)),
-                    pa.array(np.full(len(at), len(chosen), np.int32)),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(every, pa.int32())),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(scale[every])),
-                ],
-                names=["type", "size", "indices", "values"],
-            )
-            yield pa.record_batch([features, batch.column("label")], names=["features", "label"])
-
-    # the solver keeps the vectors itself; where an executor is lost they are made again from the written texts
-    data = texts.mapInArrow(vectors, T.StructType().add("features", VectorUDT()).add("label", T.IntegerType()))
-    fitted = LogisticRegression(labelCol="label", regParam=PENALTY, standardization=False, maxIter=100).fit(data)
-    weights = np.zeros(size, np.float32)
-    weights[chosen] = fitted.coefficients.toArray() * scale
-    return ToxicityModel(weights, float(fitted.intercept))
+            found = [buckets(t).astype(np.int32) for t in batch.column("text").to_pylist()]
+            yield pa.record_batch([pa.array(found, pa.list_(pa.int32())), batch.column("label")], names=["buckets", "label"])
+
+    # kept by the executors; where one is lost its rows are made again from the written texts
+    data = texts.mapInArrow(listed, "buckets array<int>, label int").persist()
+    try:
+        weights, constant = solve(data, ratio, toxic, other)
+    finally:
+        data.unpersist()
+    return ToxicityModel(weights.astype(np.float32), constant)
+
+
+def error_sums(rows: DataFrame, weights: np.ndarray, constant: float) -> np.ndarray:
+    """Of a model over rows of (buckets, label): the sum of the errors per bucket, then that of all errors and that of all losses.
+
+    The tasks' sums are added where they run; the driver gets a number per bucket, whatever the number of rows or tasks.
+    """
+    size = len(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(size + 2)
+        for batch in batches:
+            for first in range(0, len(batch), STEP):
+                part = batch.slice(first, STEP)
+                at, y = part.column("buckets").offsets.to_numpy(), part.column("label").to_numpy()
+                found = part.column("buckets").values.to_numpy()[at[0] : at[-1]]
+                row = np.repeat(np.arange(len(y)), np.diff(at))
+                margin = np.bincount(row, weights[found], len(y)) + constant
+                error = 1 / (1 + np.exp(-np.clip(margin, -500, 500))) - y
+                sums[:size] += np.bincount(found, error[row], size)
+                sums[size:] += error.sum(), (np.logaddexp(0, margin) - y * margin).sum()
+        whole = np.r_[sums, np.zeros(-len(sums) % PIECE)].reshape(-1, PIECE)
+        yield pa.record_batch([pa.array(np.arange(len(whole))), pa.array(list(whole))], names=["piece", "numbers"])
+
+    made = rows.mapInArrow(run, "piece long, numbers array<double>")
+    added = made.groupBy("piece").agg(Summarizer.sum(array_to_vector("numbers")).alias("v"))
+    table = added.select("piece", vector_to_array("v").alias("v")).toArrow().sort_by("piece")
+    return table.column("v").combine_chunks().flatten().to_numpy()[: size + 2]
+
+
+def solve(rows: DataFrame, ratio: np.ndarray, toxic: int, other: int) -> tuple[np.ndarray, float]:
+    """(weight per bucket, constant) where the mean logistic loss plus ``PENALTY`` / 2 times the squares of weight / ratio is smallest.
+
+    L-BFGS on the scaled features themselves, a job per step. MLlib's solver is not used: it divides each feature by its deviation, which
+    gives the rare buckets steps some thousand times those of the others, and it stops far from the minimum.
+    """
+    n = toxic + other
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        sums = error_sums(rows, x[:-1] * ratio, float(x[-1]))
+        slope = np.r_[sums[:-2] * ratio / n + PENALTY * x[:-1], sums[-2] / n]
+        return sums[-1] / n + PENALTY / 2 * float(x[:-1] @ x[:-1]), slope
+
+    x = np.r_[np.zeros(len(ratio)), np.log(toxic / other)]
+    now, slope = loss(x)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(MOST_STEPS):
+        if np.abs(slope).max() < FLAT:
+            break
+        way, shares = -slope, []
+        for s, y in reversed(steps):
+            shares.append((s @ way) / (s @ y))
+            way = way - shares[-1] * y
+        way = way * ((steps[-1][0] @ steps[-1][1]) / (steps[-1][1] @ steps[-1][1]) if steps else 1 / np.linalg.norm(slope))
+        for (s, y), share in zip(steps, reversed(shares)):
+            way = way + (share - (y @ way) / (s @ y)) * s
+        size, fall = 1.0, float(slope @ way)
+        while (there := loss(x + size * way))[0] > now + 1e-4 * size * fall and size > 1e-6:
+            size /= 2
+        if there[0] >= now:  # as near as the numbers' digits allow
+            break
+        if (there[1] - slope) @ way > 0:
+            steps = [*steps[1 - HELD_STEPS :], (size * way, there[1] - slope)]
+        x, (now, slope) = x + size * way, there
+    return x[:-1] * ratio, float(x[-1])
 
 
 def scored(docs: DataFrame, model: ToxicityModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -364,3 +364,20 @@ def test_pipeline_stages_of_odd_documents(spark, sf):
             if k < 2:  # without labels nothing is toxic; no line is shared by three documents
                 assert len(got) == len(data)
         assert {r.doc_id for r in got} == want
+
+
+def test_toxicity_of_words_among_much_other_text(spark):
+    """Labels follow two words among hundreds that say nothing: the fit must find them whatever rare n-grams stand beside them."""
+    rng = random.Random(11)
+
+    def text(i):
+        words = ["".join(rng.choices("abdeghilmnorstuv", k=rng.randint(3, 8))) for _ in range(rng.randint(40, 200))]
+        for slur in rng.sample(["wretchlump", "foulzek", "grobnik"], 2) if i % 8 == 0 else []:
+            words.insert(rng.randrange(len(words)), slur)
+        return " ".join(words)
+
+    docs = spark.createDataFrame([(i, text(i)) for i in range(1, 1501)], "doc_id long, text string").repartition(4)
+    rows = toxicity.scored(docs, toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 8 == 0).cast("int").alias("toxic")))).collect()
+    held = [(r.doc_id % 8 == 0, r.predicted) for r in rows if r.held_out]
+    assert sum(p for y, p in held if y) >= 0.95 * sum(y for y, _ in held)
+    assert sum(p for y, p in held if not y) <= 0.02 * len(held)
