@@ -5,7 +5,8 @@ vocabulary as ranks (``byte_bpe_50k.tiktoken``), which is twice as fast. Tests h
 
 The pre-tokenizer never joins what stands on both sides of a single space between visible characters. So a text whose spaces
 are all of that kind is encoded word by word, each word with its space, and repeated words come from the memo; any other
-text is encoded whole. Either way the ids are those of the whole text.
+text is encoded whole, and so are all texts once more than one word in ``NEW_SHARE`` was new: a memo that is missed costs more than it
+saves. Either way the ids are those of the whole text.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 ADDED, ADDED_ID = "<|endoftext|>", 50256
 #: Words of a worker's memo before it starts a new generation.
 MEMO_WORDS = 200_000
+#: A worker drops its memo if, of the first ``MEMO_WORDS`` words or more, more than one in so many was not in it.
+NEW_SHARE = 20
 #: White space other than the space, as the pre-tokenizer sees it.
 OTHER_SPACE = "\t\n\x0b\x0c\r\x85\xa0                　"
 
@@ -52,6 +55,8 @@ class Encoder:
         # two generations: words still in use move to the new one, the others go with the old one
         self.memo: dict[str, bytes] = {}
         self.last: dict[str, bytes] = {}
+        self.seen = self.new = 0
+        self.remembers = True
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.encoding.encode_ordinary(text), np.uint32)
@@ -64,6 +69,7 @@ class Encoder:
                 new.append(word)
             else:
                 self.memo[word] = got
+        self.new += len(new)
         if new:
             ids = self._whole(" " + " ".join(new))
             at = [*(np.flatnonzero(self.spaced[ids]) * 4).tolist(), 4 * len(ids)]
@@ -81,15 +87,18 @@ class Encoder:
 
     def _between(self, text: str) -> np.ndarray:
         """Ids of a text without the added token."""
-        if not single_spaced(text):
+        if not self.remembers or not single_spaced(text):
             return self._whole(text)
         first, *rest = text.split(" ")
+        self.seen += len(rest)
         entries = list(map(self.memo.get, rest))
         if None in entries:
             if len(self.memo) > MEMO_WORDS:
                 self.memo, self.last = {}, self.memo
             self._learn({w for w in rest if w not in self.memo})
             entries = list(map(self.memo.__getitem__, rest))
+        if self.seen >= MEMO_WORDS and self.new * NEW_SHARE > self.seen:
+            self.remembers, self.memo, self.last = False, {}, {}
         return np.frombuffer(self._whole(first).tobytes() + b"".join(entries), np.uint32)
 
     def tokens(self, text: str) -> np.ndarray:

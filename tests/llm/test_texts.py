@@ -234,3 +234,16 @@ def test_peeling_recovers_exactly_the_difference():
         a, b = (set(k[o == i].tolist()) for o, k in sides)
         assert set(key[(pair == i) & (sign > 0)].tolist()) == a - b
         assert set(key[(pair == i) & (sign < 0)].tolist()) == b - a
+
+
+def test_texts_of_new_words_are_encoded_whole(reference, monkeypatch):
+    monkeypatch.setattr(encode, "MEMO_WORDS", 100)
+    calls, here, again = [], encode.Encoder(encode.default_vocabulary()), encode.Encoder(encode.default_vocabulary())
+    rng = random.Random(3)
+    fresh = [" ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(60)) for _ in range(6)]
+    assert [here.ids(t).tolist() for t in fresh] == [reference.encode(t, add_special_tokens=False).ids for t in fresh]
+    monkeypatch.setattr(here, "_whole", lambda text, whole=here._whole: calls.append(text) or whole(text))
+    assert here.ids(fresh[0]).tolist() == reference.encode(fresh[0], add_special_tokens=False).ids
+    assert calls == [fresh[0]] and not here.memo and not here.last
+    same = " ".join(f"w{k % 5}" for k in range(400))
+    assert [again.ids(same).tolist() for _ in range(3)] == [reference.encode(same, add_special_tokens=False).ids] * 3 and again.memo
