@@ -3,12 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    LinearSVC,
-    LogisticRegression,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import (
     OneHotEncoder,
     SQLTransformer,
@@ -31,6 +26,7 @@ from gatewright.operators.features import (
     fit_tfidf,
     scaling_stats,
 )
+from gatewright.operators.linear import HINGE, LOGISTIC, LinearClassifier
 from gatewright.operators.network import SparseNetwork
 from gatewright.operators.rows import rank_alerts
 from gatewright.operators.runs import score_risk
@@ -74,10 +70,9 @@ def candidates(task: str, rows: int, width: int, seed: int = P.SEED, depth: int
     trees = {"commit_risk": 100, "cppcheck": 200, "clang": 300}[task]
     hidden = [64] if task == "commit_risk" else [128, 64]
     classes = 2 if task == "commit_risk" else 3
-    svm = LinearSVC(weightCol="weight", regParam=1.0 / rows, maxIter=5000, standardization=False)
     return {
-        "Logistic Regression": LogisticRegression(weightCol="weight", regParam=1.0 / rows, maxIter=2000, standardization=False),
-        "SVM": svm if classes == 2 else OneVsRest(classifier=svm, weightCol="weight", parallelism=classes),
+        "Logistic Regression": LinearClassifier(loss=LOGISTIC, classes=classes, weightCol="weight", regParam=1.0 / rows, maxIter=2000),
+        "SVM": LinearClassifier(loss=HINGE, classes=classes, weightCol="weight", regParam=1.0 / rows, maxIter=5000),
         "Random Forest": RandomForestClassifier(numTrees=trees, maxDepth=depth, weightCol="weight", seed=seed,
                                                 maxMemoryInMB=512, cacheNodeIds=False),
         "ANN": SparseNetwork(layers=[width, *hidden, classes], seed=seed, maxIter=20 if task == "commit_risk" else 500),

@@ -17,7 +17,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Adam and the penalty as commonly set; training ends when the loss did not fall by TOLERANCE for PATIENCE epochs.
@@ -140,12 +140,17 @@ def epoch(rows: DataFrame, state: np.ndarray, layers: list[int], steps: int, num
     return whole[: 3 * size], float(whole[3 * size]), float(whole[3 * size + 1])
 
 
-def _sparse(data: DataFrame, *columns) -> DataFrame:
-    """(indices, values, ...) of ``features``, sparse or dense."""
+def entries() -> tuple[Column, Column]:
+    """(indices, values) of ``features``, sparse or dense."""
     v = F.unwrap_udt("features")
     dense = F.sequence(F.lit(0), F.size(v["values"]) - 1)
-    indices = F.when(F.size(v["values"]) == 0, F.array().cast("array<int>")).otherwise(F.coalesce(v["indices"], dense))
-    return data.select(indices.alias("indices"), v["values"].alias("values"), *columns)
+    return F.when(F.size(v["values"]) == 0, F.array().cast("array<int>")).otherwise(F.coalesce(v["indices"], dense)), v["values"]
+
+
+def sparse_rows(data: DataFrame, *columns) -> DataFrame:
+    """(indices, values, ...) of ``features``."""
+    indices, values = entries()
+    return data.select(indices.alias("indices"), values.alias("values"), *columns)
 
 
 class _Settings(Params):
@@ -171,7 +176,7 @@ class SparseNetwork(Estimator, _Settings, DefaultParamsReadable, DefaultParamsWr
         layers, seed = self.getOrDefault("layers"), self.getOrDefault("seed")
         name = self.getOrDefault("weightCol")
         weight = F.col(name).cast("double") if name else F.lit(1.0)
-        rows = _sparse(data, F.col("label").cast("long").alias("label"), weight.alias("weight")).persist()
+        rows = sparse_rows(data, F.col("label").cast("long").alias("label"), weight.alias("weight")).persist()
         flat = initial(layers, seed)
         state, steps, best, idle = np.concatenate([flat, np.zeros(2 * len(flat))]), 0.0, np.inf, 0
         self.losses = []
@@ -210,9 +215,6 @@ class SparseNetworkModel(Model, _Settings, DefaultParamsReadable, DefaultParamsW
                     out += list(forward(weights, *table.take(some), len(some))[-1])
                 yield pa.array(out, pa.list_(pa.float64()))
 
-        v = F.unwrap_udt("features")
-        dense = F.sequence(F.lit(0), F.size(v["values"]) - 1)
-        indices = F.when(F.size(v["values"]) == 0, F.array().cast("array<int>")).otherwise(F.coalesce(v["indices"], dense))
-        made = data.withColumn("__classes", classes(indices, v["values"]))
+        made = data.withColumn("__classes", classes(*entries()))
         best = F.array_position("__classes", F.array_max("__classes")) - 1
         return made.withColumns({"probability": array_to_vector("__classes"), "prediction": best.cast("double")}).drop("__classes")
