@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatewright.operators.spans import code_of, function_span_array, source_lines
+from gatewright.session import cut_lineage
 
 # Fixed value: the header of a unified-diff hunk.
 HUNK = r"@@ -[0-9]+(?:,[0-9]+)? \+([0-9]+)(?:,([0-9]+))? @@"
@@ -46,9 +47,11 @@ def touched_functions(funcs: DataFrame, hunks: DataFrame, keys: list[str] | None
     """Functions that overlap a changed range of their file.
 
     Ranges are cut into line bins, so the join has an equality key (file and bin) and a huge file is spread over many
-    tasks instead of being compared range by range in one.
+    tasks instead of being compared range by range in one. The functions are written first: they are read twice, and parsing
+    their files costs more.
     """
     keys = keys or FILE_KEYS
+    funcs = cut_lineage(funcs, "functions")
     identity = [*keys, "function_name", "start_line", "end_line"]
     left = _bins(funcs.select(*identity), "start_line", "end_line", width).alias("f")
     right = _bins(hunks.select(*keys, "start_line", "end_line"), "start_line", "end_line", width).alias("h")
@@ -59,8 +62,9 @@ def touched_functions(funcs: DataFrame, hunks: DataFrame, keys: list[str] | None
 
 
 def with_file_fallback(files: DataFrame, touched: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Add one whole-file row for each file without a touched function."""
+    """Add one whole-file row for each file without a touched function. The touched functions are written, as they are read twice."""
     keys = keys or FILE_KEYS
+    touched = cut_lineage(touched, "touched")
     lines = F.size(source_lines(F.col("content")))
     whole = files.join(touched.select(*keys).distinct(), keys, "left_anti").select(
         *keys,

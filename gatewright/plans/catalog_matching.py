@@ -16,6 +16,7 @@ from gatewright.operators.neighbours import knn, weighted_points
 from gatewright.plans.registry import query
 from gatewright.plans.tables import Tables, glue
 from gatewright.plans.views import r
+from gatewright.session import cut_lineage
 from gatewright.sources import sinks as K
 
 KEYS = ["repo_id", "run_id", "file_path"]
@@ -48,8 +49,9 @@ WHERE file_path NOT IN (SELECT file_path FROM touched)"""
 
 @query("jn02_file_fallback", ["touched", "sources"], _fallback)
 def _(t: Tables):
-    funcs = X.function_spans(t.sources, KEYS)
-    return C.with_file_fallback(t.sources, C.touched_functions(funcs, C.changed_hunks(t.diffs)))
+    sources = cut_lineage(t.sources, "sources")
+    funcs = X.function_spans(sources, KEYS)
+    return C.with_file_fallback(sources, C.touched_functions(funcs, C.changed_hunks(t.diffs)))
 
 
 @query("jn02_changed_functions", ["touched", "sources"], _fallback)
