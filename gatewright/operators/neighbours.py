@@ -6,7 +6,7 @@
 3. A query's own leaf gives an upper bound of its k-th distance. Descending from the root, a child can hold a nearer point only if its
    lower bound is smaller: the distance to the pivot less the radius, or the distance to the plane between the pivot and the query's
    nearest one. What is left is visited by growing lower bound, some leaves a round, until the k-th distance excludes the rest.
-Every task gets at most one chunk of a leaf's points and one chunk of queries, and hands on at most k neighbours per query.
+Chunks of a leaf's points meet chunks of queries, small ones in batches; a chunk of queries hands on at most k neighbours per query.
 """
 
 from __future__ import annotations
@@ -17,13 +17,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatewright.functions.numbers import round_half_up
+from gatewright.operators.batches import batches_for, met_in_batches
 from gatewright.operators.ranking import exact_quantile
-from gatewright.session import cut_lineage, spread
+from gatewright.session import cut_lineage
 
 #: Points in a leaf, children of a node, levels of a tree at most (a node of the last one is a leaf, however large).
 LEAF, FAN, MOST_LEVELS = 1000, 64, 9
 #: Rows of a leaf, and queries, that meet in a task at most.
 CHUNK = 4000
+#: Pairs compared at once, and pairs that count as much as a row when batches are made.
+PAIRS, PAIRS_A_ROW = 1 << 19, 1000
 #: Leaves that a query visits in the first round after its own; each further round reaches four times as far.
 FIRST_LEAVES = 3
 #: What bounds are widened by: distances are rounded.
@@ -38,51 +41,75 @@ def weighted_points(df: DataFrame, features: list[str], point: str = "run_id") -
     return df.groupBy("repo_id", x.alias("x")).agg(F.min(point).alias("point"), F.count(F.lit(1)).alias("weight"))
 
 
-def _nearest(queries: pd.DataFrame, points: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The first neighbours of each query whose weights reach ``k``; ties by point name; own copies count."""
-    points = points.sort_values("point", kind="stable")
-    q = np.stack(queries["x"].to_numpy())
-    p = np.stack(points["x"].to_numpy())
-    names, weights = points["point"].to_numpy(), points["weight"].to_numpy()
-    parts = []
-    for start in range(0, len(q), 128):
-        block = queries.iloc[start : start + 128]
-        d = np.round(np.sqrt(((q[start : start + 128, None, :] - p[None, :, :]) ** 2).sum(-1)), DIGITS)
-        own = block["point"].to_numpy()[:, None] == names[None, :]
-        w = weights[None, :] - own
-        order = np.argsort(d + np.where(w > 0, 0.0, np.inf), axis=1, kind="stable")[:, : k + 1]
-        rows = np.arange(len(block))[:, None]
-        got = w[rows, order]
-        before = np.cumsum(got, axis=1) - got
-        take = np.clip(np.minimum(got, k - before), 0, None)
-        i, j = np.nonzero(take)
-        parts.append(
-            pd.DataFrame({
-                "repo_id": block["repo_id"].to_numpy()[i], "point": block["point"].to_numpy()[i],
-                "neighbour": names[order[i, j]], "distance": d[i, order[i, j]], "weight": take[i, j],
-            })
-        )
-    return pd.concat(parts)
+def _nearest(queries: pd.DataFrame, points: pd.DataFrame, groups: list[tuple[np.ndarray, np.ndarray]], k: int) -> pd.DataFrame:
+    """The first neighbours of each query, among its group's points, whose weights reach ``k``; ties by point name; own copies count.
+
+    Inner products tell which points can be among the first; only their distances are computed as they are compared and returned.
+    """
+    q, p = np.stack(queries["x"].to_numpy()), np.stack(points["x"].to_numpy())
+    asked, names, weights = queries["point"].to_numpy(), points["point"].to_numpy(), points["weight"].to_numpy()
+    place = np.empty(len(p), dtype=np.int64)
+    place[np.argsort(names, kind="stable")] = np.arange(len(p))
+    same = pd.factorize(np.concatenate([asked, names]))[0]
+    same_q, same_p = same[: len(q)], same[len(q) :]
+    norm_q, norm_p = (q * q).sum(1), (p * p).sum(1)
+    found = []
+    for mine, theirs in groups:
+        theirs = theirs[np.argsort(place[theirs])]
+        b, squares = p[theirs], norm_p[theirs]
+        strip = max(1, PAIRS // len(theirs))
+        for start in range(0, len(mine), strip):
+            at = mine[start : start + strip]
+            a = q[at]
+            w = weights[theirs][None, :] - (same_q[at][:, None] == same_p[theirs][None, :])
+            rough = np.where(w > 0, norm_q[at][:, None] + squares[None, :] - 2 * (a @ b.T), np.inf)
+            if len(theirs) > k:  # each weighs one at least, so the first k points hold the answer
+                kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
+                off = 1e-13 * (b.shape[1] + 10) * (np.sqrt(norm_q[at]) + np.sqrt(np.nan_to_num(squares).max())) ** 2
+                reach = (np.sqrt(np.maximum(kth, 0) + off) + 4 * 10.0**-DIGITS) ** 2 + off
+                i, j = np.nonzero(~(rough > reach[:, None]) & (w > 0))  # what is not a number stays, and comes last
+            else:
+                i, j = np.nonzero(w > 0)
+            d = np.round(np.sqrt(((a[i] - b[j]) ** 2).sum(-1)), DIGITS)
+            order = np.lexsort((j, d, i))
+            i, j, d = i[order], j[order], d[order]
+            got = w[i, j]
+            upto = np.cumsum(got)
+            first = np.r_[True, i[1:] != i[:-1]] if len(i) else np.zeros(0, dtype=bool)
+            before = upto - got
+            before = before - before[np.flatnonzero(first)][np.cumsum(first) - 1] if len(i) else before
+            take = np.minimum(got, k - before)
+            kept = take > 0
+            found.append((at[i[kept]], theirs[j[kept]], d[kept], take[kept]))
+    i, j, d, w = (np.concatenate(c) for c in zip(*found))
+    return pd.DataFrame({"repo_id": queries["repo_id"].to_numpy()[i], "point": asked[i], "neighbour": names[j], "distance": d, "weight": w})
+
+
+def _each(function):
+    """A function of one group's queries and points as one of a batch's."""
+    def run(q: pd.DataFrame, p: pd.DataFrame, groups: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+        return pd.concat([function(q.iloc[i], p.iloc[j]) for i, j in groups])
+
+    return run
 
 
 def _shared(queries: DataFrame, stored: DataFrame, chunk: int, function, schema: str) -> DataFrame:
-    """``function(queries, stored)`` where both have the same (repo_id, node), in groups of at most ``chunk`` queries and rows."""
+    """``function(queries, stored, groups)`` where both have the same (repo_id, node), in groups of at most ``chunk`` queries and rows.
+
+    Small groups meet in batches, as many as keep their rows and their pairs few.
+    """
     keys = ["repo_id", "node"]
-    cuts = queries.groupBy(*keys).agg((F.floor(F.count(F.lit(1)) / chunk) + 1).alias("shares"))
-    parts = stored.groupBy(*keys).agg((F.floor(F.count(F.lit(1)) / chunk) + 1).alias("parts"))
+    cuts = queries.groupBy(*keys).agg((F.floor(F.count(F.lit(1)) / chunk) + 1).alias("shares"), F.count(F.lit(1)).alias("q"))
+    parts = stored.groupBy(*keys).agg((F.floor(F.count(F.lit(1)) / chunk) + 1).alias("parts"), F.count(F.lit(1)).alias("p"))
     cuts = cut_lineage(cuts.join(parts, keys), "shares")
+    q, p = F.col("q").cast("double"), F.col("p").cast("double")
+    most = cuts.agg(F.sum(q * F.col("parts") + p * F.col("shares") + q * p / PAIRS_A_ROW).alias("rows")).first()["rows"]
+    cuts, batches = cuts.drop("q", "p"), batches_for(cuts.sparkSession, most)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     one = lambda n, row: F.pmod(F.xxhash64(row, F.lit(n)), F.col(n))
     left = queries.join(cuts, keys).withColumn("share", one("shares", "point")).withColumn("part", every("parts")).drop("shares", "parts")
     right = stored.join(cuts, keys).withColumn("part", one("parts", "row")).withColumn("share", every("shares")).drop("shares", "parts", "row")
-    right = right.toDF(*right.columns)  # fresh column identities: both sides may come from the same table
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        return function(q, p)[names] if len(q) and len(p) else pd.DataFrame(columns=names)
-
-    group = [*keys, "share", "part"]
-    return spread(left, *group).groupBy(*group).cogroup(spread(right, *group).groupBy(*group)).applyInPandas(run, schema)
+    return met_in_batches(left, right, [*keys, "share", "part"], batches, function, schema)
 
 
 def _distances(q: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -121,7 +148,7 @@ def metric_tree(points: DataFrame, leaf: int, fan: int, chunk: int) -> tuple[Dat
 
         schema = "repo_id string, node long, point string, x array<double>, weight long, child long, away double"
         # all pivots of a node are in one part: there are at most ``fan``
-        placed = cut_lineage(_shared(rows.drop("n", "kids"), pivots.withColumn("row", F.col("child")), max(chunk, fan), nearest, schema), "assigned")
+        placed = cut_lineage(_shared(rows.drop("n", "kids"), pivots.withColumn("row", F.col("child")), max(chunk, fan), _each(nearest), schema), "assigned")
         radii = placed.groupBy("repo_id", "node", "child").agg(F.max("away").alias("radius"), F.count(F.lit(1)).alias("n"))
         inner = (F.col("n") > leaf) & F.lit(len(levels) + 1 < MOST_LEVELS)
         levels.append(cut_lineage(pivots.join(radii, ["repo_id", "node", "child"]).withColumn("inner", inner).drop("n"), "children"))
@@ -151,7 +178,7 @@ def _reachable(levels: list[DataFrame], queries: DataFrame, chunk: int) -> DataF
     frontier, found = queries.withColumns({"node": F.lit(0).cast("long"), "low": F.lit(0.0)}), None
     for children in levels:
         stored = children.select("repo_id", "node", "child", "x", "radius", "inner", F.col("child").alias("row"))
-        seen = cut_lineage(_shared(frontier, stored, max(chunk, FAN), lower, schema), "frontier")
+        seen = cut_lineage(_shared(frontier, stored, max(chunk, FAN), _each(lower), schema), "frontier")
         leaves = seen.filter("not inner").select("repo_id", "point", "node", "low")
         found = leaves if found is None else found.unionByName(leaves)
         frontier = seen.filter("inner").drop("inner")
@@ -179,7 +206,7 @@ def knn(points: DataFrame, k: int, leaf: int = LEAF, chunk: int = CHUNK, fan: in
             sizes = stored.groupBy("repo_id", "node").agg(F.count(F.lit(1)).alias("n"))
             visits.append(asked.groupBy("repo_id", "node").agg(F.count(F.lit(1)).alias("q")).join(sizes, ["repo_id", "node"]).groupBy("repo_id").agg(F.sum(F.col("q") * F.col("n")).alias("pairs")))
         # a crowded leaf comes in parts, each with its own list
-        return _shared(asked, shelf, chunk, lambda q, p: _nearest(q, p, k), _NEAR)
+        return _shared(asked, shelf, chunk, lambda q, p, groups: _nearest(q, p, groups, k), _NEAR)
 
     near = cut_lineage(_merged(visit(stored.select("repo_id", "node", "point", "x")), k), "neighbours")
     if not levels:
