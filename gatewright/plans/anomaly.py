@@ -24,7 +24,7 @@ WIDTH = len(P.ANOMALY_FEATURES)
 
 def trainable(history: DataFrame, min_rows: int = P.DEFAULT_MIN_ROWS) -> DataFrame:
     """Valid rows of repositories that have enough of them."""
-    valid = Q.valid_history(history)
+    valid = cut_lineage(Q.valid_history(history), "valid")  # counted and read: a history is made once
     enough = valid.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_rows)
     return valid.join(enough.select("repo_id"), "repo_id", "left_semi")
 
@@ -37,10 +37,19 @@ def score_detector(name: str, rows: DataFrame, model: DataFrame) -> DataFrame:
     return D.forest_score(rows, model) if name == FOREST else D.rbf_score(rows, model, WIDTH)
 
 
+def fit_and_score(name: str, train: DataFrame, rows: DataFrame) -> DataFrame:
+    """Scores of a detector that is not kept."""
+    return D.grown_forest_score(rows, train) if name == FOREST else D.rbf_score(rows, D.fit_rbf(train, WIDTH), WIDTH)
+
+
 def _fit_and_score(name: str, train: DataFrame, rows: DataFrame) -> DataFrame:
     """Verdicts of one detector for scaled rows; the cut comes from its own training scores."""
-    model = fit_detector(name, train)
-    own, new = score_detector(name, train, model), score_detector(name, rows, model)
+    keys = ["repo_id", "run_id"]
+    extra = [c for c in rows.columns if c not in (*keys, "x")]
+    both = train.select(*keys, "x", *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in extra], F.lit(True).alias("own"))
+    both = both.unionByName(rows.withColumn("own", F.lit(False)))
+    scored = cut_lineage(fit_and_score(name, train, both), "detector-scores")
+    own, new = scored.filter("own").select(*keys, "sample_score"), scored.filter("not own").drop("own")
     return D.verdict(new, D.cut_at(own, CONTAMINATION)).withColumn("model", F.lit(name))
 
 
@@ -53,7 +62,7 @@ def detector_verdicts(history: DataFrame, seed: int = P.SEED) -> DataFrame:
     train_x = cut_lineage(D.scale(train, stats).select(*keep, "x"), "train-x")
     eval_x = cut_lineage(D.scale(D.evaluation_set(holdout, seed), stats).select(*keep, "label", "x"), "eval-x")
     both = _fit_and_score(FOREST, train_x, eval_x).unionByName(_fit_and_score(RBF, train_x, eval_x))
-    return both.drop("x")
+    return cut_lineage(both.drop("x"), "verdicts")
 
 
 def detector_evaluation(verdicts: DataFrame, seed: int = P.SEED) -> DataFrame:

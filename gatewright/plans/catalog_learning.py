@@ -274,7 +274,7 @@ def _(t: Tables):
 def _(t: Tables):
     """Scores and verdicts of all valid runs under a forest of their own repository."""
     x = _scaled_history(t)
-    scores = cut_lineage(D.forest_score(x, D.fit_forest(x)), "forest")
+    scores = cut_lineage(D.grown_forest_score(x, x), "forest")
     return D.verdict(scores, D.cut_at(scores, 0.1)).drop("x")
 
 

@@ -45,16 +45,17 @@ def fitted(usable: DataFrame, selected: DataFrame) -> DataFrame:
         F.array(*[F.col(f"{c}_dev").cast("double") for c in P.ANOMALY_FEATURES]).alias("dev"),
     )
     x = cut_lineage(D.scale(usable, stats).select("repo_id", "run_id", "x").join(selected, "repo_id"), "fit-x")
-    parts = []
+    parts, cuts = [], []
     for name in (N.FOREST, N.RBF):
         own = x.filter(F.col("model") == name).drop("model")
-        model = cut_lineage(N.fit_detector(name, own), "fitted")
-        cut = D.cut_at(N.score_detector(name, own, model), N.CONTAMINATION)
+        model = N.fit_detector(name, own)
+        cuts.append(D.cut_at(cut_lineage(N.fit_and_score(name, own, own), "own-scores"), N.CONTAMINATION))
         held = F.struct(*[c for c in model.columns if c != "repo_id"])
         forest = held.cast(FOREST_TYPE) if name == N.FOREST else F.lit(None).cast(FOREST_TYPE)
         rbf = held.cast(RBF_TYPE) if name == N.RBF else F.lit(None).cast(RBF_TYPE)
-        parts.append(model.select("repo_id", F.lit(name).alias("model"), forest.alias("forest"), rbf.alias("rbf")).join(cut, "repo_id"))
-    return parts[0].unionByName(parts[1]).join(arrays, "repo_id")
+        parts.append(model.select("repo_id", F.lit(name).alias("model"), forest.alias("forest"), rbf.alias("rbf")))
+    # forests are large: they are joined once, all by one key
+    return parts[0].unionByName(parts[1]).join(cut_lineage(cuts[0].unionByName(cuts[1]).join(arrays, "repo_id"), "fitted"), "repo_id")
 
 
 def metadata(history: DataFrame, usable: DataFrame, evaluation: DataFrame, prints: DataFrame, min_rows: int, seed: int = P.SEED) -> DataFrame:
@@ -151,7 +152,6 @@ def detect_saved(current: DataFrame, history_rows: DataFrame, path: str, version
             "prediction": F.lit(None).cast("int"), "anomaly_score": F.lit(None).cast("double"),
         })
     else:
-        models = cut_lineage(models, "loaded-detectors")
         numeric = checked.filter("numeric_failure is null").withColumns({c: F.col(c).cast("double") for c in P.ANOMALY_FEATURES})
         missing = F.array_except("features", there)
         # Fixed value: the failure sentence.
