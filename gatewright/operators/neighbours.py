@@ -49,7 +49,7 @@ def _nearest(queries: pd.DataFrame, points: pd.DataFrame, groups: list[tuple[np.
     q, p = np.stack(queries["x"].to_numpy()), np.stack(points["x"].to_numpy())
     asked, names, weights = queries["point"].to_numpy(), points["point"].to_numpy(), points["weight"].to_numpy()
     place = np.empty(len(p), dtype=np.int64)
-    place[np.argsort(names, kind="stable")] = np.arange(len(p))
+    place[pd.Series(names).sort_values(kind="stable").index] = np.arange(len(p))  # null names come last
     same = pd.factorize(np.concatenate([asked, names]))[0]
     same_q, same_p = same[: len(q)], same[len(q) :]
     norm_q, norm_p = (q * q).sum(1), (p * p).sum(1)

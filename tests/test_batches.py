@@ -86,3 +86,9 @@ def test_nearest_of_a_batch_with_copies_ties_and_large_numbers():
                 left -= w
         mine = got[got["point"] == name[i]]
         assert [(a, round(b, 9), c) for a, b, c in zip(mine["neighbour"], mine["distance"], mine["weight"])] == want
+
+
+def test_a_point_without_a_name_comes_last_and_is_its_own():
+    points = pd.DataFrame({"repo_id": "g", "point": ["b", None, "a"], "x": [np.array([0.0]), np.array([0.0]), np.array([0.0])], "weight": [1, 1, 1]})
+    got = K._nearest(points, points, [(np.arange(3), np.arange(3))], 1)
+    assert got["neighbour"].tolist() == ["a", "a", "b"]
