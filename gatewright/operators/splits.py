@@ -15,6 +15,8 @@ from gatewright.session import cut_lineage
 
 TEST_SHARE = 0.2
 VALID_SHARE = 0.25  # of what the test split leaves
+#: Of a split search: deviations that a window reaches to both sides of its boundary, hex digits of its bounds, groups a task.
+DEVIATIONS, BOUND_DIGITS, TASK_GROUPS = 6, 8, 50_000
 
 
 def sample_groups(files: DataFrame, families: list[str] | None = None, n: int = 200, seed: int = P.SEED) -> DataFrame:
@@ -59,16 +61,30 @@ def assign_split(df: DataFrame, splits: DataFrame, group: str) -> DataFrame:
     return df.join(splits, group)
 
 
+def _windows(groups: int, edges: list[int], digits: int) -> list[str]:
+    """Bounds of the zones below, at and between two ranks among uniform hashes, and above: hex texts, windows in the odd zones."""
+    top, bounds = 16**digits, []
+    for edge in edges:
+        share = edge / max(groups, 1)
+        reach = DEVIATIONS * math.sqrt(max(share * (1 - share), 1 / max(groups, 1)) / max(groups, 1))
+        low, high = math.floor((share - reach) * top), math.ceil((share + reach) * top)
+        low, high = (min(max(x, 0), top) for x in (low, high))
+        bounds += [max(low, bounds[-1]) if bounds else low, max(high, bounds[-1]) if bounds else high]
+    # a bound above every hash sorts behind all hex digits
+    return [format(x, f"0{digits}x") if x < top else "g" for x in bounds]
+
+
 def search_split(
     df: DataFrame, group: str, label: str = "label", seed: int = P.SEED, trials: int = 120, policy: str = "divergence",
     prefix: int | None = None,
 ) -> DataFrame:
     """Score ``trials`` seeds without a driver loop and without sorting the groups once per seed.
 
-    Rows shrink to class counts per group first, which are written. Each group then carries all seeds in one array; the counts per
-    (seed, hash prefix) are combined in the map tasks, so the shuffle holds only seeds times prefixes. Whole prefixes fall into
-    one split; only the groups of the two prefixes per seed where a boundary lies are ranked one by one. A prefix has as many digits
-    as make both about equally few: the square root of the number of groups.
+    Rows shrink to class counts per group first, which are written. Each group then carries all seeds in one array and is hashed once
+    per seed. A seed's two boundaries lie where a known share of the hashes ends, give or take a few deviations: hashes there are kept
+    one by one, all others are summed per seed and zone in the map tasks, so the shuffle holds few of them. Only what is kept is
+    ranked. A boundary outside its window, which the counts would show, gets its whole zone ranked. ``prefix``: hex digits of the
+    windows' bounds.
 
     ``divergence``: every seed with all classes in all splits, best (smallest total L1 divergence) first.
     ``first``: the same seeds, lowest seed first.
@@ -77,33 +93,41 @@ def search_split(
     per_group = df.groupBy(group).agg(*[F.count_if(F.col(label) == x).alias(f"n{x}") for x in P.LABELS])
     per_group = cut_lineage(per_group, "class-counts")
     groups = per_group.count()
-    if prefix is None:
-        prefix = max(1, round(math.log(max(groups, 1), 16) / 2))
-    size = F.lit(groups).cast("long")
-    seeds = F.sequence(F.lit(seed), F.lit(seed + trials - 1))
-    drawn = per_group.select(group, *counts, F.explode(seeds).alias("seed")).withColumn(
-        "__h", md5_text(F.col(group), F.col("seed"))
-    ).withColumn("__p", F.substring("__h", 1, prefix))
-
-    cells = drawn.groupBy("seed", "__p").agg(F.count(F.lit(1)).alias("g"), *[F.sum(c).alias(c) for c in counts])
-    order = Window.partitionBy("seed").orderBy("__p")  # at most 16^prefix rows per seed
-    cells = cells.withColumn("upto", F.sum("g").over(order)).withColumns({"before": F.col("upto") - F.col("g"), "size": size})
-    cells = cut_lineage(cells, "split-cells")
-    test, valid = _sizes(F.col("size"))
-    cells = cells.withColumns({"t": test, "v": test + valid})
-
-    def crosses(edge: str) -> F.Column:
-        return (F.col("before") < F.col(edge)) & (F.col("upto") > F.col(edge))
-
-    whole = cells.filter(~(crosses("t") | crosses("v"))).select(
-        "seed", _split_of_rank(F.col("upto"), F.col("size")).alias("split"), *counts
-    )
-    edges = cells.filter(crosses("t") | crosses("v")).select("seed", "__p", "before", "size")  # two rows per seed
-    edge_groups = drawn.join(F.broadcast(edges), ["seed", "__p"])
-    rank = F.col("before") + F.row_number().over(Window.partitionBy("seed", "__p").orderBy("__h"))
-    single = edge_groups.withColumn("rank", rank).select(
-        "seed", _split_of_rank(F.col("rank"), F.col("size")).alias("split"), *counts
+    train, valid, test = expected_sizes(groups)
+    bounds = _windows(groups, [test, test + valid], prefix or BOUND_DIGITS)
+    seeds = F.array(*[F.struct(F.lit(x).alias("seed"), F.lit(str(x)).alias("text")) for x in range(seed, seed + trials)])
+    # the text that md5_text would hash: a null group leaves out the separator as well
+    text = F.coalesce(F.concat(F.col(group).cast("string"), F.lit("|")), F.lit(""))
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, groups // TASK_GROUPS)
+    drawn = per_group.repartition(tasks).select(text.alias("__t"), *counts, F.inline(seeds)).select(
+        "seed", *counts, F.md5(F.concat("__t", "text")).alias("__h")
     )
+    zone = F.lit(len(bounds))
+    for number, bound in reversed(list(enumerate(bounds))):
+        zone = F.when(F.col("__h") < bound, number).otherwise(zone)
+    drawn = drawn.withColumn("zone", zone)
+    kept = F.when(F.col("zone") % 2 == 1, F.col("__h"))  # windows have the odd numbers
+    found = drawn.groupBy("seed", "zone", kept.alias("__h")).agg(F.count(F.lit(1)).alias("g"), *[F.sum(c).alias(c) for c in counts])
+    found = cut_lineage(found, "split-zones")
+
+    cells = found.groupBy("seed", "zone").agg(F.sum("g").alias("g"), *[F.sum(c).alias(c) for c in counts])
+    order = Window.partitionBy("seed").orderBy("zone")  # at most five rows a seed
+    cells = cells.withColumn("upto", F.sum("g").over(order)).withColumn("before", F.col("upto") - F.col("g"))
+    cells = cut_lineage(cells, "split-cells")
+    size, t, v = (F.lit(x).cast("long") for x in (groups, test, test + valid))
+
+    def crosses(edge: F.Column) -> F.Column:
+        return (F.col("before") < edge) & (F.col("upto") > edge)
+
+    whole = cells.filter(~(crosses(t) | crosses(v))).select("seed", _split_of_rank(F.col("upto"), size).alias("split"), *counts)
+    edges = cells.filter(crosses(t) | crosses(v)).select("seed", "zone", "before")  # at most two rows per seed
+    single = found.filter("__h is not null").join(F.broadcast(edges), ["seed", "zone"])
+    missed = edges.filter("zone % 2 = 0")
+    if not missed.isEmpty():
+        again = drawn.withColumn("g", F.lit(1).cast("long")).join(F.broadcast(missed), ["seed", "zone"])
+        single = single.unionByName(again.select(*single.columns))
+    rank = F.col("before") + F.sum("g").over(Window.partitionBy("seed", "zone").orderBy("__h"))
+    single = single.withColumn("rank", rank).select("seed", _split_of_rank(F.col("rank"), size).alias("split"), *counts)
 
     names = ["train", "valid", "test"]
     sums = [

@@ -152,3 +152,22 @@ def test_group_sample(spark):
     rows = spark.range(900).select(F.concat(F.lit("C/CWE121_Stack_Based_Buffer_Overflow/s01/t"), F.floor(F.col("id") / 2), F.lit("k"), F.when(F.col("id") % 2 == 0, "_bad").otherwise("_goodG2B"), F.lit(".c")).alias("source_file"))
     got = S.sample_groups(rows, n=50)
     assert got.select("case_group").distinct().count() == 50 and got.count() == 100
+
+
+def test_a_boundary_outside_its_window_is_found_all_the_same(spark, monkeypatch):
+    rows = spark.range(2500).select((F.col("id") % 611).cast("string").alias("g"), (F.col("id") % 3).cast("int").alias("label"))
+    rows = rows.withColumn("g", F.when(F.col("g") != "7", F.col("g")))  # a group without a name
+    usual = sorted(map(tuple, S.search_split(rows, "g", trials=15).collect()))
+    for reach in (0, 0.3, 100):
+        monkeypatch.setattr(S, "DEVIATIONS", reach)
+        assert sorted(map(tuple, S.search_split(rows, "g", trials=15).collect())) == usual
+    assert len(usual) == 15
+
+
+def test_windows_of_a_split_search_get_narrow():
+    shares = []
+    for groups in (10**3, 10**5, 10**7):
+        a, b, c, d = (int(x, 16) / 16**8 for x in S._windows(groups, [groups // 5, groups * 2 // 5], 8))
+        assert a < 0.2 < b <= c < 0.4 < d
+        shares.append(b - a + d - c)
+    assert shares[1] < shares[0] / 5 and shares[2] < shares[1] / 5
