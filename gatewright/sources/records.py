@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,46 @@ class ArrayCutter:
             raise ValueError(f"{self.name}: cut off at {(self.held + rest)[-40:]!r}")
 
 
+def _file_runs(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(values, files) of each run of rows of one file."""
+    values, files = batch.column("value"), batch.column("file")
+    codes = files.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)] if len(codes) else []
+    for low, high in zip(edges, edges[1:]):
+        yield values.slice(low, high - low), files.slice(low, high - low)
+
+
+def _records(values: pa.Array, files: pa.Array) -> pa.RecordBatch:
+    return pa.record_batch([values, files.slice(0, len(values))], names=["value", "file"])
+
+
+def _cut_pieces(cutter: ArrayCutter, pieces: pa.Array) -> Iterator[pa.Array]:
+    """The objects that pieces, each with its brace, end. Runs of pieces that are whole flat objects without escapes are taken as
+    columns; the cutter sees the others, and those that follow an open object."""
+    bare = pc.ascii_ltrim(pieces, characters=" \t\r\n,[")
+    flat = pc.and_(pc.starts_with(bare, "{"), pc.equal(pc.count_substring(bare, "{"), 1))
+    closed = pc.equal(pc.bit_wise_and(pc.count_substring(bare, '"'), 1), 0)
+    plain = pc.and_(pc.and_(flat, closed), pc.invert(pc.match_substring(bare, "\\"))).to_numpy(zero_copy_only=False)
+    stops = np.flatnonzero(~plain)
+    texts = pieces.to_pylist() if len(stops) or cutter.held else []
+    at, held = 0, []
+    while at < len(plain):
+        if plain[at] and not cutter.held:
+            if held:
+                yield pa.array(held, pa.string())
+                held = []
+            after = np.searchsorted(stops, at)
+            upto = int(stops[after]) if after < len(stops) else len(plain)
+            yield pc.binary_join_element_wise(bare.slice(at, upto - at), "}", "")
+            at = upto
+            continue
+        if (record := cutter.add(texts[at])) is not None:
+            held.append(record)
+        at += 1
+    if held:
+        yield pa.array(held, pa.string())
+
+
 def json_array_records(spark: SparkSession, path: str) -> DataFrame:
     """(value, file): each object of the JSON arrays in the files of ``path`` as text.
 
@@ -59,24 +101,22 @@ def json_array_records(spark: SparkSession, path: str) -> DataFrame:
     pieces = spark.read.option("lineSep", "}").text(path).select("value", F.col("_metadata.file_path").alias("file"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, last, out = None, None, ([], [])
+        cutter, last = None, None
         for batch in batches:
-            for value, file in zip(batch.column("value").to_pylist(), batch.column("file").to_pylist()):
+            for values, files in _file_runs(batch):
+                file = files[0].as_py()
                 if cutter is None or cutter.name != file:
                     if cutter is not None:
                         cutter.end(last)
                     cutter, last = ArrayCutter(file), None
+                # the last piece of a file has no brace behind it, so each batch's last one waits
                 if last is not None and (record := cutter.add(last)) is not None:
-                    out[0].append(record)
-                    out[1].append(file)
-                last = value
-                if len(out[0]) >= _BATCH:
-                    yield pa.record_batch([pa.array(c, pa.string()) for c in out], names=["value", "file"])
-                    out = ([], [])
+                    yield _records(pa.array([record]), files)
+                for records in _cut_pieces(cutter, values[:-1]):
+                    yield _records(records, files)
+                last = values[-1].as_py()
         if cutter is not None:
             cutter.end(last)
-        if out[0]:
-            yield pa.record_batch([pa.array(c, pa.string()) for c in out], names=["value", "file"])
 
     return pieces.mapInArrow(cut, "value string, file string")
 

@@ -8,6 +8,7 @@ import io
 import json
 import random
 
+import pyarrow as pa
 import pytest
 
 from gatewright.sources import readers as S
@@ -104,3 +105,17 @@ def test_records_are_cut_at_any_block(spark, tmp_path, monkeypatch, block, shuff
 def test_no_records(spark, tmp_path):
     (tmp_path / "f.csv").write_text("a,b\n\n")
     assert S.read_csv(spark, str(tmp_path), "a string, b long").collect() == []
+
+
+def test_flat_objects_are_taken_as_columns():
+    """Only pieces that need it are put together one by one; the objects are those that the cutter finds alone."""
+    for seed in range(20):
+        data = objects(seed, 30) + [{"toolName": "plain", "line": i} for i in range(200)] + objects(seed + 50, 3)
+        *pieces, rest = json.dumps(data, indent=[None, 1][seed % 2], ensure_ascii=False).split("}")
+        alone, both, seen = R.ArrayCutter("f.gz"), R.ArrayCutter("f.gz"), []
+        want = [r for p in pieces if (r := alone.add(p)) is not None]
+        one_by_one, both.add = both.add, lambda p: seen.append(p) or one_by_one(p)
+        found = [r for chunk in R._cut_pieces(both, pa.array(pieces)) for r in chunk.to_pylist()]
+        both.end(rest)
+        assert found == want and [json.loads(r) for r in found] == data
+        assert len(seen) <= len(pieces) - 190
