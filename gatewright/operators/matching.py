@@ -77,6 +77,7 @@ def match_source(alerts: DataFrame, files: DataFrame) -> DataFrame:
     keys = ["repo_id", "report"]
     listed = files.select(*keys, paths.norm_path(F.col("source_file")).alias("path"), "ord").filter("path <> ''")
     listed = listed.groupBy(*keys, "path").agg(F.min("ord").alias("ord"))
+    listed = cut_lineage(listed, "listed-files")  # met by equal paths and by tails
     owner = (
         listed.select(*keys, F.explode(paths.path_suffixes(F.col("path"))).alias("tail"), "path", "ord")
         .groupBy(*keys, "tail")
@@ -89,6 +90,7 @@ def match_source(alerts: DataFrame, files: DataFrame) -> DataFrame:
         .distinct()
     )
     exact = wanted.join(listed.withColumn("matched_file", F.col("path")).drop("ord"), [*keys, "path"], "left")
+    exact = cut_lineage(exact, "exact-files")
     by_tail = (
         exact.filter("matched_file is null")
         .select(*keys, "path", F.explode(paths.path_suffixes(F.col("path"))).alias("tail"))

@@ -72,7 +72,7 @@ resolved AS (SELECT repo_id, path, report FROM exact WHERE report IS NOT NULL UN
 @query("jn03_match_report", ["console_alerts", "report_index"], f"""
 WITH {_resolved} SELECT a.ord, a.source_file, s.report FROM console_alerts a LEFT JOIN resolved s ON a.repo_id = s.repo_id AND a.source_file = s.path""")
 def _(t: Tables):
-    return M.match_report(t.console_alerts, t.report_index).select("ord", "source_file", "report")
+    return M.match_report(t.kept_alerts, t.report_index).select("ord", "source_file", "report")
 
 
 _matched = r"""al AS (SELECT *, 'rep' || (ord % 30) || '.plist' AS report, CASE ord % 4 WHEN 0 THEN source_file WHEN 1 THEN replace(source_file, '/work/', '')
@@ -96,7 +96,7 @@ def reported_alerts(t: Tables):
     k, path = F.col("ord"), F.col("source_file")
     short = F.when(k % 4 == 0, path).when(k % 4 == 1, F.replace(path, F.lit("/work/"), F.lit(""))).otherwise(
         F.concat(F.lit("elsewhere/"), F.substring_index(path, "/", -1)))
-    return t.console_alerts.withColumns({"report": glue("=rep", k % 30, "=.plist"), "source_file": short})
+    return t.kept_alerts.withColumns({"report": glue("=rep", k % 30, "=.plist"), "source_file": short})
 
 
 @query("jn04_match_source", ["console_alerts", "report_index"], f"WITH {_matched} SELECT ord, alert_file AS source_file, matched_file FROM af")

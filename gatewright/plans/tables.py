@@ -15,7 +15,7 @@ from gatewright.functions import alerts as A
 from gatewright.functions.numbers import md5_text
 from gatewright.operators import runs as R
 from gatewright.operators.quality import scoring_block
-from gatewright.session import widen
+from gatewright.session import cut_lineage, widen
 
 SEVERITY_OF_EVENT = {"error": "error", "purchase": "warning", "signup": "style", "click": "information"}
 FAMILY_OF_PRIORITY = {
@@ -152,10 +152,15 @@ class Tables:
 
         return console_alerts(self.console, "value", "file_name")
 
+    @cached_property
+    def kept_alerts(self) -> DataFrame:
+        """The console alerts, taken from their lines once and written: for jobs that read them several times."""
+        return cut_lineage(self.console_alerts, "console-alerts")
+
     @cached_property
     def report_index(self) -> DataFrame:
         """Files listed in reports, under equal, longer, shorter and backslash paths."""
-        a, k = self.console_alerts, F.col("ord")
+        a, k = self.kept_alerts, F.col("ord")
         path = F.col("source_file")
         listed = (
             F.when(k % 5 == 0, path)
@@ -173,7 +178,7 @@ class Tables:
         """Diagnostics of the reports: near copies of the alerts."""
         k = F.col("ord")
         context = F.when(k % 3 == 0, "CWE_bad").when(k % 3 == 1, "goodG2B1").otherwise("helper")
-        return self.console_alerts.select(
+        return self.kept_alerts.select(
             "repo_id",
             glue("=rep", k % 30, "=.plist").alias("report"),
             "line",

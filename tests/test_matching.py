@@ -107,3 +107,15 @@ def test_annotation_end_to_end(spark):
     labels = {r["ord"]: (r["priority"], r["label"]) for r in training.collect()}
     assert labels == {1: ("HIGH", 2), 3: ("LOW", 0), 5: ("UNKNOWN", None)}
     assert clang_model_rows(training).count() == 2
+
+
+def test_console_lines_are_taken_apart_once(spark, tmp_path):
+    """Reports, diagnostics and alerts read the written alerts: none of their plans holds the lines' pattern."""
+    from gatewright.plans.tables import Tables
+
+    rows = [(k, k % 50, "1-URGENT", "FOP"[k % 3]) for k in range(200)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderpriority string, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    t = Tables(spark, str(tmp_path))
+    plans = [d._jdf.queryExecution().toString() for d in (t.report_index, t.diagnostics, t.kept_alerts)]
+    assert not any("warning|error|note" in p for p in plans)
+    assert sorted(map(tuple, t.kept_alerts.collect())) == sorted(map(tuple, t.console_alerts.collect()))
