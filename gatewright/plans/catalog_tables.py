@@ -17,7 +17,7 @@ from gatewright.operators.models import one_hot_stages
 from gatewright.plans.registry import query
 from gatewright.plans.tables import Tables, glue
 from gatewright.plans.views import listed, r
-from gatewright.session import cut_lineage, scratch_dir
+from gatewright.session import cut_lineage, scratch_dir, widen
 from gatewright.sources import readers as S
 from gatewright.sources import sinks as K
 
@@ -118,7 +118,7 @@ def _(t: Tables):
     message = F.when(n % 3 == 0, glue("=<!-- BUGDESC Bug in ", n, "= &amp; more -->\n")).otherwise(glue("=<h3 class='x'>Leak\n <b>", n, "=</b></h3>"))
     file = F.when(n % 5 == 0, glue("=<!-- BUGFILE src/", n, "=.c -->")).otherwise(glue("=<td>File:</td>\n<td class='f'>src/", n, "=.c</td>"))
     line = F.when(n % 4 == 0, glue("=<!-- BUGLINE ", n, "= -->")).when(n % 2 == 0, glue("=<td>Line:</td><td>", n, "=</td>")).otherwise("")
-    pages = t.read("pages").select(F.concat(message, file, line, F.lit("\n"), F.coalesce("html", F.lit(""))).alias("value"))
+    pages = widen(t.read("pages")).select(F.concat(message, file, line, F.lit("\n"), F.coalesce("html", F.lit(""))).alias("value"))
     pages.write.option("maxRecordsPerFile", 1).text(path)  # a file for each report, as analyzers write them
     return S.read_html_reports(t.spark, path, "*.txt").drop("report_file")
 

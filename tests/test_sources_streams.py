@@ -242,3 +242,16 @@ def test_prior_scores_go_on_after_a_restart(spark, tmp_path):
             else:
                 assert r["z"] is None
             seen += [] if value is None else [value]
+
+
+def test_report_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from gatewright.plans import catalog_tables, registry
+
+    pages = spark.createDataFrame([(i, f"u{i}", "<p>File: z.c<") for i in range(60)], "page_id long, url string, html string")
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr(catalog_tables, "scratch_dir", lambda *_: f"{tmp_path}/reports")
+    registry.load_all()
+    found = registry.run("src06_html_report_files", spark, str(tmp_path)).collect()
+    assert sorted(r["file"] for r in found) == sorted(f"src/{i}.c" for i in range(60))
+    parts = {p.name[:10] for p in (tmp_path / "reports").glob("part-*")}
+    assert len(parts) >= spark.sparkContext.defaultParallelism
