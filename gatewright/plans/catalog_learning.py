@@ -535,12 +535,12 @@ SELECT repo_id, run_id, n AS prior_runs, {r('m', 6)} AS prior_mean, {r('s', 6)}
 SELECT repo_id, run_id, total_alerts, count(*) OVER o AS n, avg(total_alerts) OVER o AS m, stddev_pop(total_alerts) OVER o AS s FROM history
 WINDOW o AS (PARTITION BY repo_id ORDER BY ts, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""")
 def _(t: Tables):
-    """Runs arrive in three files, day by day; each is scored against all runs before it."""
+    """Runs arrive in three parts, day by day; each is scored against all runs before it."""
     arriving, out, mark = (scratch_dir(t.spark, x) for x in ("arriving", "prior-scores", "stream-mark"))
     rows = cut_lineage(t.history.select("repo_id", "run_id", F.timestamp_seconds("ts").alias("ts"), "total_alerts"), "history")
     day = F.substring("run_id", 9, 2).cast("int")
     for low, high in ((0, 9), (10, 24), (25, 99)):
-        rows.filter(day.between(low, high)).coalesce(1).write.mode("append").parquet(arriving)
+        rows.filter(day.between(low, high)).write.mode("append").parquet(arriving)
         stream = t.spark.readStream.schema(rows.schema).parquet(arriving)
         ST.run_to_end(ST.stream_prior_scores(stream, out, mark))
     schema = "repo_id string, run_id string, prior_runs long, prior_mean double, prior_std double, z double"

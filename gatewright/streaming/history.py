@@ -101,10 +101,17 @@ def stream_prior_scores(
     names = [c.split()[0] for c in schema.split(", ")]
 
     def score(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values([time, tie], kind="stable")
+        frames = list(parts)
+        rows = frames[0] if len(frames) == 1 else pd.concat(frames)
+        columns = [rows[c].tolist() for c in (time, tie, feature)]
+        if len(rows) > 1:  # sorted here: a pandas sort costs more than all else of a short group
+            # nulls come last, as pandas sorts them
+            places = [(at is pd.NaT, 0 if at is pd.NaT else at, run is None, run or "") for at, run in zip(*columns[:2])]
+            order = sorted(range(len(rows)), key=places.__getitem__)
+            columns = [[c[i] for i in order] for c in columns]
         n, mean, m2, last = state.get if state.exists else (0, 0.0, 0.0, "")
         out = []
-        for at, run, value in zip(rows[time], rows[tie], rows[feature]):
+        for at, run, value in zip(*columns):
             place = f"{at.isoformat()}|{run}"
             std = (m2 / n) ** 0.5 if n else None
             known = n > 0 and value == value
@@ -116,7 +123,7 @@ def stream_prior_scores(
                 m2 += gap * (value - mean)
             last = max(last, place)
         state.update((n, mean, m2, last))
-        yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(dict(zip(names, map(list, zip(*out)))))
 
     wanted = runs.select("repo_id", tie, time, F.col(feature).cast("double").alias(feature))
     scored = wanted.groupBy("repo_id").applyInPandasWithState(score, schema, MOMENTS, "append", GroupStateTimeout.NoTimeout)

@@ -255,3 +255,21 @@ def test_report_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
     assert sorted(r["file"] for r in found) == sorted(f"src/{i}.c" for i in range(60))
     parts = {p.name[:10] for p in (tmp_path / "reports").glob("part-*")}
     assert len(parts) >= spark.sparkContext.defaultParallelism
+
+
+def test_arriving_runs_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from gatewright.plans import catalog_learning, registry
+
+    spark.range(1200).selectExpr(
+        "id event_id", "timestamp_seconds(id % 30 * 86400) ts", "id % 40 user_id", "'error' event_type", "10D value", "'p' props"
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(catalog_learning, "scratch_dir", lambda _, label: f"{tmp_path}/{label}")
+    registry.load_all()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = registry.run("stm03_prior_scores", spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    runs = {(r["repo_id"], r["run_id"]) for r in found}
+    assert len(found) == len(runs) == spark.read.parquet(f"{tmp_path}/events.parquet").selectExpr("user_id", "date(ts)").distinct().count()
+    assert len(list((tmp_path / "arriving").glob("part-*"))) > 3  # one a part before
