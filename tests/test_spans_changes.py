@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from gatewright.operators import changes as C
 from gatewright.operators import spans as X
@@ -93,3 +94,22 @@ def test_enclosing_function(spark):
     alerts = spark.createDataFrame([("r", "1", "t.c", n) for n in range(1, 9)], "repo_id string, run_id string, file_path string, line int")
     got = {r["line"]: r["enclosing_function"] for r in C.enclosing_function(alerts, spans, KEYS, width=3).collect()}
     assert got == {1: "bad", 2: "bad", 3: "bad", 4: None, 5: "good1", 6: "good1", 7: "good1", 8: None}
+
+
+def test_only_lines_with_braces_are_scanned(monkeypatch):
+    class Counted:
+        seen: list = []
+
+        def findall(self, line):
+            self.seen.append(line)
+            return [c for c in line if c in "{}"]
+
+    monkeypatch.setattr(X, "BRACE", Counted())
+    assert X.heuristic_spans("void f()\n{\n" + "  x = 1;\n" * 1000 + "}\n") == [("f", 1, 1003)]
+    assert Counted.seen == ["{", "}"]
+
+
+def test_lines_of_texts(spark):
+    texts = {"a\r\nb\rc\n": ["a", "b", "c"], "a\n\n": ["a", ""], "\n": [""], "": [], "\r": [""], "a": ["a"], None: None}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.source_lines(F.col("t")).alias("n")).collect()
+    assert {r["t"]: r["n"] for r in rows} == texts
