@@ -1,9 +1,8 @@
-"""Classifier candidates, training, selection and scoring with MLlib."""
+"""Classifier candidates, training, selection and scoring."""
 
 from __future__ import annotations
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import (
     OneHotEncoder,
     SQLTransformer,
@@ -26,6 +25,7 @@ from gatewright.operators.features import (
     fit_tfidf,
     scaling_stats,
 )
+from gatewright.operators.forest import SparseForest
 from gatewright.operators.linear import HINGE, LOGISTIC, LinearClassifier
 from gatewright.operators.network import SparseNetwork
 from gatewright.operators.rows import rank_alerts
@@ -73,8 +73,7 @@ def candidates(task: str, rows: int, width: int, seed: int = P.SEED, depth: int
     return {
         "Logistic Regression": LinearClassifier(loss=LOGISTIC, classes=classes, weightCol="weight", regParam=1.0 / rows, maxIter=2000),
         "SVM": LinearClassifier(loss=HINGE, classes=classes, weightCol="weight", regParam=1.0 / rows, maxIter=5000),
-        "Random Forest": RandomForestClassifier(numTrees=trees, maxDepth=depth, weightCol="weight", seed=seed,
-                                                maxMemoryInMB=512, cacheNodeIds=False),
+        "Random Forest": SparseForest(classes=classes, numTrees=trees, maxDepth=depth, weightCol="weight", seed=seed),
         "ANN": SparseNetwork(layers=[width, *hidden, classes], seed=seed, maxIter=20 if task == "commit_risk" else 500),
     }
 
@@ -99,10 +98,10 @@ def evaluate(scored: DataFrame, task: str) -> DataFrame:
 
 
 def rows_for(estimator: Estimator, rows: DataFrame) -> DataFrame:
-    """A forest passes over the rows once a level and splits that work by tasks, so it gets one for each core at least; the
+    """A forest cuts the rows into blocks and deals them to its trees, so it gets a task for each core at least; the
     solvers run a short job per iteration and get the rows as they are."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(max(cores, 1 + rows.count() // 100_000)) if isinstance(estimator, RandomForestClassifier) else rows
+    return rows.repartition(max(cores, 1 + rows.count() // 100_000)) if isinstance(estimator, SparseForest) else rows
 
 
 def train_and_select(
