@@ -2,8 +2,8 @@
 
 Columns are cut into at most ``BINS`` ranges, as MLlib's forest does, and rows become blocks that name only the cells outside the range
 of 0. A node that holds more than ``UNIT`` cells is split by a job over all blocks, which adds up the sums of its drawn columns. Every
-smaller node is a unit: its rows go to one task, which grows the whole subtree. A row is thus sent once per tree and not passed over once
-per level, and a task holds one unit, whatever the table's size. Trees go in batches, so that the rows sent at a time stay bounded.
+smaller node is a unit, whose whole subtree is grown by one task from the unit's rows. A task grows several units one after another and is
+sent each row that any of them has once: all rows of a small table, ``HELD`` cells of a large one, whose trees go in batches.
 
 Node by node the rules are MLlib's: a Poisson draw of each row per tree, the root of the number of columns drawn per node, Gini gain,
 leaves that are pure, at the last level or without gain, siblings of one prediction merged. Draws are hashes of tree and node.
@@ -27,14 +27,18 @@ from gatewright.operators.network import Rows, entries, sparse_rows
 
 #: Ranges of a column at most; rows from which they are found, as many as MLlib takes.
 BINS, SAMPLE = 32, 10_000
-#: Rows and cells of a block at most; cells of a unit; cells sent at a time; numbers of a job's sums.
-BLOCK_ROWS, BLOCK_CELLS, UNIT, SENT, SUMS = 4096, 1 << 18, 1 << 24, 1 << 30, 1 << 23
+#: Rows and cells of a block at most; cells of a unit; cells that a task is sent; cells of larger tables sent at a time; numbers of a job's sums.
+BLOCK_ROWS, BLOCK_CELLS, UNIT, HELD, SENT, SUMS = 4096, 1 << 18, 1 << 24, 1 << 26, 1 << 30, 1 << 23
 #: Cells looked at in one step; numbers of a table of nodes and columns.
 STEP, TABLE = 1 << 20, 1 << 24
 #: Share of rows that a draw takes at least once; a gain that counts as none.
 DRAWN, NONE = 1 - np.exp(-1), 1e-14
 BLOCK_SCHEMA = "place long, offsets binary, indices binary, bins binary, label binary, weight binary"
-TYPES = (np.int32, np.int32, np.uint8, np.int32, np.float64)
+
+
+def kinds(width: int) -> tuple:
+    """Of a block's offsets, columns, ranges, labels and weights."""
+    return np.int32, np.uint16 if width <= 1 << 16 else np.int32, np.uint8, np.int32, np.float64
 
 
 # ---- ranges of columns -------------------------------------------------------------------------------------------
@@ -95,7 +99,7 @@ class Cells:
 
     def __init__(self, offsets: np.ndarray, indices: np.ndarray, bins: np.ndarray, width: int):
         self.at, self.indices, self.bins, self.width = offsets.astype(np.int64), indices, bins, width
-        order = np.argsort(indices.astype(np.uint16) if width <= 1 << 16 else indices, kind="stable")  # two bytes are sorted by digits
+        order = np.argsort(indices, kind="stable")  # two bytes are sorted by digits
         self.column_row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))[order]
         self.column_bin = bins[order]
         self.column_at = np.r_[0, np.cumsum(np.bincount(indices, minlength=width))]
@@ -158,15 +162,15 @@ def block_rows(rows: DataFrame, cuts: np.ndarray, places_of_two: int) -> RDD:
                 kept = bins != zero[index]
                 offsets = np.r_[0, np.cumsum(kept)][table.at[first : last + 1] - table.at[first]]
                 parts = (offsets, index[kept], bins[kept], label[first:last], weight[first:last])
-                cells = [pa.array([p.astype(kind).tobytes()], pa.binary()) for p, kind in zip(parts, TYPES)]
+                cells = [pa.array([p.astype(kind).tobytes()], pa.binary()) for p, kind in zip(parts, kinds(len(cuts)))]
                 yield pa.record_batch([pa.array([place], pa.int64()), *cells], names=["place", "offsets", "indices", "bins", "label", "weight"])
                 place, first = place + 1, last
 
     return rows.mapInArrow(run, BLOCK_SCHEMA).rdd.map(tuple)
 
 
-def read(cells: Iterable[bytes]) -> list[np.ndarray]:
-    return [np.frombuffer(c, kind) for c, kind in zip(cells, TYPES)]
+def read(cells: Iterable[bytes], width: int) -> list[np.ndarray]:
+    return [np.frombuffer(c, kind) for c, kind in zip(cells, kinds(width))]
 
 
 def draws(seed: int, tree: int, place: int, rows: int) -> np.ndarray:
@@ -371,7 +375,7 @@ def top_sums(blocks: RDD, tops: dict[int, Top], zero: np.ndarray, classes: int,
         whole = {t: np.zeros((len(top.open) * (m * BINS + 1), most)) for t, top in tops.items()}
         drawn = {t: drawn_columns(seed, t, np.array([top.names[a] for a in top.open]), width, m) for t, top in tops.items()}
         for place, *raw in part:
-            offsets, indices, bins, label, weight = read(raw)
+            offsets, indices, bins, label, weight = read(raw, width)
             cells = Cells(offsets, indices, bins, width)
             for t, top in tops.items():
                 times = draws(seed, t, place, len(label))
@@ -422,58 +426,74 @@ def grow_tops(blocks: RDD, trees: int, cells: int, zero: np.ndarray, classes: in
     return tops
 
 
-def grow_units(blocks: RDD, tops: dict[int, Top], zero: np.ndarray, classes: int, m: int, depth: int, seed: int) -> dict[tuple[int, int], tuple]:
-    """The subtrees of all units, by (tree, node). Each task gets the rows of some units, no more than one large one at a time."""
-    spark, width = SparkSession.active(), len(zero)
+def dealt_units(tops: dict[int, Top], cells: float, cores: int) -> dict[tuple[int, int], int]:
+    """The task of each unit. A task is sent each row that its units have once: the table at most, or ``HELD`` cells of a larger one."""
     units = [(t, at, n) for t, top in tops.items() for at, n in top.units.items()]
-    share = min(UNIT, sum(n for *_, n in units) / (3 * spark.sparkContext.defaultParallelism))
+    share = sum(n for *_, n in units) / (2 * cores)
+    share = share if cells <= HELD else min(share, HELD)
     task, tasks, held = {}, 0, 0.0
     for t, at, n in units:
         if held and held + n > share:
             tasks, held = tasks + 1, 0.0
         task[t, at], held = tasks, held + n
+    return task
+
+
+def grow_units(blocks: RDD, tops: dict[int, Top], cells: float, zero: np.ndarray, classes: int, m: int, depth: int, seed: int) -> dict[tuple[int, int], tuple]:
+    """The subtrees of all units, by (tree, node)."""
+    spark, width = SparkSession.active(), len(zero)
+    task = dealt_units(tops, cells, spark.sparkContext.defaultParallelism)
+    if not task:
+        return {}
 
     def sent(block: tuple) -> Iterator[tuple]:
         place, *raw = block
-        offsets, indices, bins, label, weight = read(raw)
-        cells = Cells(offsets, indices, bins, width) if any(len(top.column) > 1 for top in tops.values()) else None
-        n = np.diff(offsets)
+        offsets, indices, bins, label, weight = read(raw, width)
+        columns = Cells(offsets, indices, bins, width) if any(len(top.column) > 1 for top in tops.values()) else None
+        n, wanted = np.diff(offsets), {}
         for t, top in tops.items():
-            times = draws(seed, t, place, len(label)) * weight
-            node = top.walk(cells, zero, len(label)) if len(top.column) > 1 else np.zeros(len(label), np.int32)
+            times = draws(seed, t, place, len(label))
+            node = top.walk(columns, zero, len(label)) if len(top.column) > 1 else np.zeros(len(label), np.int32)
             for at in top.units:
-                rows = np.flatnonzero((node == at) & (times > 0))
+                rows = np.flatnonzero((node == at) & (times * weight > 0))
                 if len(rows):
-                    some = places(offsets[rows].astype(np.int64), n[rows])
-                    parts = (np.r_[0, np.cumsum(n[rows])], indices[some], bins[some], label[rows], times[rows])
-                    yield task[t, at], t, at, place, *[p.astype(kind).tobytes() for p, kind in zip(parts, TYPES)]
+                    wanted.setdefault(task[t, at], []).append((t, at, rows, times[rows]))
+        for k, found in wanted.items():
+            has = np.zeros(len(label), bool)
+            for *_, rows, _ in found:
+                has[rows] = True
+            own, number = np.flatnonzero(has), np.cumsum(has) - 1
+            some = places(offsets[own].astype(np.int64), n[own])
+            parts = (np.r_[0, np.cumsum(n[own])], indices[some], bins[some], label[own], weight[own])
+            units = [[t, at, len(rows)] for t, at, rows, _ in found]
+            drawn = (units, np.concatenate([number[rows] for *_, rows, _ in found]), np.concatenate([times for *_, times in found]))
+            yield k, place, *[p.astype(kind).tobytes() for p, kind in zip(parts, kinds(width))], *[np.asarray(x, np.int32).tobytes() for x in drawn]
 
     def grown(part: Iterator[tuple]) -> Iterator[tuple]:
-        held, key = [], None
-
-        def made() -> Iterator[tuple]:
-            if held:
-                columns = list(zip(*held))
-                offsets = np.r_[0, np.cumsum(np.concatenate([np.diff(x) for x in columns[0]]))]
-                cells = Cells(offsets, np.concatenate(columns[1]), np.concatenate(columns[2]), width)
-                top = tops[key[0]]
-                found = grow(cells, np.concatenate(columns[3]), np.concatenate(columns[4]), classes, zero, m, depth - top.level[key[1]], seed, key[0], top.names[key[1]])
-                yield *key, *[x.tobytes() for x in found]
-
-        for _, t, at, _, *raw in part:
-            if (t, at) != key:
-                yield from made()
-                held, key = [], (t, at)
-            held.append(read(raw))
-        yield from made()
-
-    schema = "task int, tree int, node int, place long, offsets binary, indices binary, bins binary, label binary, weight binary"
-    rows = spark.createDataFrame(blocks.flatMap(sent), schema, verifySchema=False)
-    dealt = rows.repartitionById(tasks + 1, F.col("task")).sortWithinPartitions("tree", "node", "place")
-    kinds = (np.int32, np.uint8, np.int32, np.float64)
+        held, wanted = [], {}
+        for _, place, *raw in sorted(part, key=lambda r: r[1]):
+            units, rows, times = (np.frombuffer(x, np.int32) for x in raw[5:])
+            held.append(read(raw[:5], width))
+            first = 0
+            for t, at, count in units.reshape(-1, 3).tolist():
+                wanted.setdefault((t, at), []).append((len(held) - 1, rows[first : first + count], times[first : first + count]))
+                first += count
+        for (t, at), found in wanted.items():
+            sizes, parts = [], []
+            for k, rows, times in found:
+                offsets, indices, bins, label, weight = held[k]
+                sizes.append(np.diff(offsets)[rows])
+                some = places(offsets[rows].astype(np.int64), sizes[-1])
+                parts.append((indices[some], bins[some], label[rows], times * weight[rows]))
+            indices, bins, label, weight = (np.concatenate(x) for x in zip(*parts))
+            own = Cells(np.r_[0, np.cumsum(np.concatenate(sizes))], indices, bins, width)
+            yield t, at, *[x.tobytes() for x in grow(own, label, weight, classes, zero, m, depth - tops[t].level[at], seed, t, tops[t].names[at])]
+
+    schema = "task int, place long, offsets binary, indices binary, bins binary, label binary, weight binary, units binary, rows binary, times binary"
+    rows = spark.createDataFrame(blocks.flatMap(sent), schema, verifySchema=False).repartitionById(max(task.values()) + 1, F.col("task"))
     out = {}
-    for t, at, *raw in dealt.rdd.map(tuple).mapPartitions(grown).collect():
-        *nodes, weights = [np.frombuffer(x, kind) for x, kind in zip(raw, kinds)]
+    for t, at, *raw in rows.rdd.map(tuple).mapPartitions(grown).collect():
+        *nodes, weights = [np.frombuffer(x, kind) for x, kind in zip(raw, (np.int32, np.uint8, np.int32, np.float64))]
         out[t, at] = (*nodes, weights.reshape(-1, classes))
     return out
 
@@ -533,10 +553,10 @@ class SparseForest(Estimator, _Settings, DefaultParamsReadable, DefaultParamsWri
         blocks = block_rows(rows, cuts, 52 - int(np.ceil(np.log2(2 * (m + 1) * max(total, 1))))).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             tops = grow_tops(blocks, trees, cells, zero, classes, m, depth, seed)
-            grown, size = [], max(1, int(SENT / max(1.0, cells * DRAWN)))
+            grown, size = [], trees if cells <= HELD else max(1, int(SENT / (cells * DRAWN)))
             for first in range(0, trees, size):
                 some = {t: tops[t] for t in range(first, min(trees, first + size))}
-                subtrees = grow_units(blocks, some, zero, classes, m, depth, seed) if any(top.units for top in some.values()) else {}
+                subtrees = grow_units(blocks, some, cells, zero, classes, m, depth, seed)
                 grown += [joined(top, {at: subtrees[t, at] for at in top.units if (t, at) in subtrees}, classes) for t, top in some.items()]
         finally:
             blocks.unpersist()

@@ -64,13 +64,19 @@ def unpacked(flat: np.ndarray, layers: list[int]) -> list[tuple[np.ndarray, np.n
     return out
 
 
-def forward(weights: list, row: np.ndarray, index: np.ndarray, value: np.ndarray, n: int) -> list[np.ndarray]:
+def filled(row: np.ndarray, index: np.ndarray, value: np.ndarray, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(terms that a batch has, its rows over these terms): products of matrices take a fraction of the time of sums by entries."""
+    has = np.zeros(width, bool)
+    has[index] = True
+    terms, x = np.flatnonzero(has), np.zeros((n, has.sum()))
+    x[row, (np.cumsum(has) - 1)[index]] = value
+    return terms, x
+
+
+def forward(weights: list, terms: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
     """Outputs of all layers, the last as probabilities."""
     first, constant = weights[0]
-    z = np.zeros((n, first.shape[1])) + constant
-    if len(row):
-        starts = np.flatnonzero(np.r_[True, np.diff(row) > 0])
-        z[row[starts]] += np.add.reduceat(first[index] * value[:, None], starts, axis=0)
+    z = x @ first[terms] + constant
     out = []
     for k in range(1, len(weights) + 1):
         if k == len(weights):
@@ -85,8 +91,8 @@ def forward(weights: list, row: np.ndarray, index: np.ndarray, value: np.ndarray
 def gradient(flat: np.ndarray, layers: list[int], entries: tuple, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
     """(gradient, mean loss) of a batch."""
     weights, out = unpacked(flat, layers), np.zeros_like(flat)
-    row, index, value = entries
-    made, slots = forward(weights, row, index, value, len(y)), unpacked(out, layers)
+    terms, x = filled(*entries, len(y), layers[0])
+    made, slots = forward(weights, terms, x), unpacked(out, layers)
     share = weight / len(y)
     loss = float(-(share * np.log(np.maximum(made[-1][np.arange(len(y)), y], 1e-12))).sum())
     delta = made[-1].copy()
@@ -96,11 +102,7 @@ def gradient(flat: np.ndarray, layers: list[int], entries: tuple, y: np.ndarray,
         slots[k][0][:] = made[k - 1].T @ delta + PENALTY / len(y) * weights[k][0]
         slots[k][1][:] = delta.sum(axis=0)
         delta = (delta @ weights[k][0].T) * (made[k - 1] > 0)
-    if len(index):
-        order = np.argsort(index, kind="stable")
-        own = index[order]
-        starts = np.flatnonzero(np.r_[True, np.diff(own) > 0])
-        slots[0][0][own[starts]] = np.add.reduceat(delta[row[order]] * value[order][:, None], starts, axis=0)
+    slots[0][0][terms] = x.T @ delta
     slots[0][0][:] += PENALTY / len(y) * weights[0][0]
     slots[0][1][:] = delta.sum(axis=0)
     return out, loss
@@ -210,9 +212,9 @@ class SparseNetworkModel(Model, _Settings, DefaultParamsReadable, DefaultParamsW
             weights = unpacked(flat, layers)
             for indices, values in parts:
                 table, out = Rows(pa.record_batch([indices, values], names=["indices", "values"])), []
-                for at in range(0, len(table), 1024):
-                    some = np.arange(at, min(at + 1024, len(table)))
-                    out += list(forward(weights, *table.take(some), len(some))[-1])
+                for at in range(0, len(table), BATCH):
+                    some = np.arange(at, min(at + BATCH, len(table)))
+                    out += list(forward(weights, *filled(*table.take(some), len(some), layers[0]))[-1])
                 yield pa.array(out, pa.list_(pa.float64()))
 
         made = data.withColumn("__classes", classes(*entries()))

@@ -84,6 +84,7 @@ def test_the_same_trees_by_jobs_and_by_tasks(spark, monkeypatch, classes, width)
     want = nodes(fit())
     monkeypatch.setattr(T, "UNIT", 2500)
     monkeypatch.setattr(T, "SUMS", 60_000)
+    monkeypatch.setattr(T, "HELD", 5000)
     monkeypatch.setattr(T, "SENT", 30_000)
     assert nodes(fit()) == want
     monkeypatch.setattr(T, "STEP", 50)

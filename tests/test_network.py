@@ -74,3 +74,17 @@ def test_training_ends_when_the_loss_stays(spark):
     fit = N.SparseNetwork(layers=[300, 4, 3], maxIter=60, seed=1, stepSize=0.05)
     fit.fit(rows)
     assert len(fit.losses) < 60
+
+
+def test_a_batch_is_a_matrix_of_its_own_terms():
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(30, 5000)) * (draw.random((30, 5000)) < 0.01)
+    x[7] = 0
+    terms, own = N.filled(*entries(x), 30, 5000)
+    assert terms.tolist() == np.flatnonzero(x.any(axis=0)).tolist() and (own == x[:, terms]).all()
+    layers, y = [5000, 6, 2], draw.integers(0, 2, 30)
+    weights = N.unpacked(N.initial(layers, 1), layers)
+    out = N.forward(weights, terms, own)
+    assert np.allclose(out[0], np.maximum(x @ weights[0][0] + weights[0][1], 0))
+    terms, own = N.filled(*entries(np.zeros((2, 9))), 2, 9)  # no entries at all
+    assert own.shape == (2, 0) and N.gradient(N.initial([9, 3, 2], 1), [9, 3, 2], entries(np.zeros((2, 9))), y[:2], np.ones(2))[1] > 0
