@@ -30,7 +30,7 @@ from gatewright.operators.linear import HINGE, LOGISTIC, LinearClassifier
 from gatewright.operators.network import SparseNetwork
 from gatewright.operators.rows import rank_alerts
 from gatewright.operators.runs import score_risk
-from gatewright.session import scratch_dir
+from gatewright.session import cut_lineage, scratch_dir
 from gatewright.sources.readers import file_bytes
 
 TASK_BYTES = 8 << 20
@@ -153,7 +153,8 @@ def score_functions(model: PipelineModel, functions: DataFrame, params: P.RiskPa
 
 
 def prioritise(model: PipelineModel, alerts: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Alerts with predicted priority, from HIGH to LOW."""
+    """Alerts with predicted priority, from HIGH to LOW. They are written before they are sorted: a sort reads its input twice, first for
+    the bounds of its ranges, and would score them twice."""
     scored = model.transform(alerts).withColumn("priority", A.priority_of(F.col("prediction")))
     columns = ["priority", "tool", "file", "line", "alert_id", "cwe", "severity", "message"]
-    return rank_alerts(scored.select(*(keep or []), *columns))
+    return rank_alerts(cut_lineage(scored.select(*(keep or []), *columns), "scored-alerts"))

@@ -85,6 +85,18 @@ def test_prioritiser_learns_and_ranks(spark):
     assert len(out) == 600 and [r["priority"] for r in out] == sorted((r["priority"] for r in out), key=["HIGH", "MEDIUM", "LOW"].index)
 
 
+def test_alerts_are_scored_once(spark, capsys):
+    """The sort reads what was scored: it would score its input a second time to find its ranges."""
+    from gatewright.operators.linear import LinearClassifier
+
+    rows = warnings(spark).na.fill("0", subset=["cwe"])
+    features = M.feature_model(rows, "cppcheck", 5)
+    model = PipelineModel([*features.stages, LinearClassifier(classes=3, maxIter=2).fit(features.transform(rows))])
+    out = M.prioritise(model, rows.drop("priority", "label"))
+    out.explain()
+    assert "Python" not in capsys.readouterr().out and out.count() == 600
+
+
 def test_no_split_with_all_classes_is_an_error(spark):
     rows = warnings(spark).withColumn("file", F.when(F.col("label") == 2, "one.c").otherwise(F.col("file")))
     with pytest.raises(ValueError, match="required classes"):
