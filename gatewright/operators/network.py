@@ -20,6 +20,8 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatewright.session import short_lived_shuffles
+
 #: Adam and the penalty as commonly set; training ends when the loss did not fall by TOLERANCE for PATIENCE epochs.
 BETA1, BETA2, EPSILON, PENALTY = 0.9, 0.999, 1e-8, 1e-4
 BATCH, TOLERANCE, PATIENCE = 200, 1e-4, 10
@@ -184,7 +186,8 @@ class SparseNetwork(Estimator, _Settings, DefaultParamsReadable, DefaultParamsWr
         self.losses = []
         try:
             for number in range(self.getOrDefault("maxIter")):
-                state, loss, more = epoch(rows, state, layers, round(steps), number, seed, self.getOrDefault("stepSize"))
+                with short_lived_shuffles(data.sparkSession):
+                    state, loss, more = epoch(rows, state, layers, round(steps), number, seed, self.getOrDefault("stepSize"))
                 steps += more
                 self.losses.append(loss)
                 idle = 0 if loss < best - TOLERANCE else idle + 1

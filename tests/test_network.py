@@ -88,3 +88,18 @@ def test_a_batch_is_a_matrix_of_its_own_terms():
     assert np.allclose(out[0], np.maximum(x @ weights[0][0] + weights[0][1], 0))
     terms, own = N.filled(*entries(np.zeros((2, 9))), 2, 9)  # no entries at all
     assert own.shape == (2, 0) and N.gradient(N.initial([9, 3, 2], 1), [9, 3, 2], entries(np.zeros((2, 9))), y[:2], np.ones(2))[1] > 0
+
+
+def test_epochs_leave_no_shuffles(spark, monkeypatch):
+    """Every epoch runs where the files of its shuffle are deleted after it; then the session's setting is as it was."""
+    from gatewright.session import short_lived_shuffles
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    with short_lived_shuffles(spark):
+        assert spark.conf.get(name) == "true"
+    assert spark.conf.get(name, None) == before
+    seen, epoch = [], N.epoch
+    monkeypatch.setattr(N, "epoch", lambda *a: (seen.append(spark.conf.get(name, None)), epoch(*a))[1])
+    N.SparseNetwork(layers=[300, 4, 3], maxIter=3, seed=1).fit(table(spark, 60, 4))
+    assert seen == ["true"] * 3 and spark.conf.get(name, None) == before
